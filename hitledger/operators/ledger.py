@@ -24,9 +24,9 @@ def classify(listing: DataFrame) -> DataFrame:
 
 
 def newest(entries: DataFrame) -> DataFrame:
-    """Newest entry of every source; later ingests win over equal times."""
+    """Newest entry of every source; the larger ingest id wins between commits of one moment."""
     latest = entries.groupBy("source").agg(
-        F.max_by(F.struct(*(c for c in entries.columns if c != "source")), F.struct("ingested_at", "ingest_id")).alias("e"))
+        F.max_by(F.struct(*(c for c in entries.columns if c != "source")), F.struct("committed_at", "ingest_id")).alias("e"))
     return latest.select("source", "e.*")
 
 
@@ -35,9 +35,9 @@ def live(entries: DataFrame) -> DataFrame:
     return newest(entries).filter(~F.col("deleted"))
 
 
-def changed(listing: DataFrame, ledger: DataFrame, now: str,
-            cooldown_seconds: int = fixed.COOLDOWN_SECONDS) -> DataFrame:
-    """Files of ``listing`` that need ingesting.
+def with_status(listing: DataFrame, ledger: DataFrame, now: str,
+                cooldown_seconds: int = fixed.COOLDOWN_SECONDS) -> DataFrame:
+    """Add ``current`` to a listing: whether the file needs no ingest.
 
     A file is current when its ledger entry has the same size and, within a millisecond, the same modification time,
     or when it was ingested less than ``cooldown_seconds`` before ``now`` (UTC); files without an entry are not.
@@ -47,7 +47,13 @@ def changed(listing: DataFrame, ledger: DataFrame, now: str,
     age = F.lit(now).cast("timestamp_ntz") - F.col("ingested_at")
     recent = (age < F.make_dt_interval(secs=F.lit(cooldown_seconds))) & F.lit(cooldown_seconds > 0)
     current = F.coalesce(same | F.coalesce(recent, F.lit(False)), F.lit(False))
-    return listing.join(known, "source", "left").filter(~current).select(*listing.columns)
+    return listing.join(known, "source", "left").select(*listing.columns, current.alias("current"))
+
+
+def changed(listing: DataFrame, ledger: DataFrame, now: str,
+            cooldown_seconds: int = fixed.COOLDOWN_SECONDS) -> DataFrame:
+    """Files of ``listing`` that need ingesting."""
+    return with_status(listing, ledger, now, cooldown_seconds).filter(~F.col("current")).drop("current")
 
 
 def newest_first(ledger: DataFrame) -> DataFrame:

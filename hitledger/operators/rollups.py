@@ -6,7 +6,7 @@ rows, so requests are neither doubled before the shuffle nor aggregated twice.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 from operator import and_
 
@@ -88,29 +88,67 @@ def ip_path_pairs(reqs: DataFrame) -> DataFrame:
             .groupBy("day", "source", "ip", "path").agg(F.count("*").alias("count")))
 
 
-def top_pairs(pairs: DataFrame, outer: str, inner: str, outer_n: int, inner_n: int) -> DataFrame:
-    """Per day and source the busiest ``outer`` keys, each with its busiest ``inner`` keys."""
+def top_pairs(pairs: DataFrame, outer: str, inner: str, outer_n: int | None, inner_n: int | None) -> DataFrame:
+    """Per day and source the busiest ``outer`` keys, each with its busiest ``inner`` keys; None keeps all."""
     day = ["day", "source"]
+    if outer_n is None:
+        kept = pairs
+    else:
+        kept = _of_busiest(pairs, day, outer, outer_n)
+    if inner_n is not None:
+        kept = top_per_group(kept, [*day, outer], "count", [inner], inner_n)
+    return kept.select(*day, outer, inner, "count")
+
+
+def _of_busiest(pairs: DataFrame, day: list[str], outer: str, outer_n: int) -> DataFrame:
     busiest = top_per_group(pairs.groupBy(*day, outer).agg(F.sum("count").alias("n")), day, "n", [outer], outer_n)
     keys = [*day, outer]
     wanted = busiest.select(*(F.col(k).alias(f"_{k}") for k in keys))
     # null-safe keys: without inferred null filters both uses of ``pairs`` share one shuffle
     same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
-    kept = pairs.join(wanted, same, "left_semi")
-    return top_per_group(kept, [*day, outer], "count", [inner], inner_n).select(*day, outer, inner, "count")
-
-
-def build(parsed: DataFrame, as_of: str, caps: Mapping[str, int] | None = None,
-          drill_ips: int = fixed.DRILL_IPS_PER_DAY, paths_per_ip: int = fixed.DRILL_PATHS_PER_IP,
-          drill_paths: int = fixed.DRILL_PATHS_PER_DAY, ips_per_path: int = fixed.DRILL_IPS_PER_PATH
-          ) -> dict[str, DataFrame]:
-    """All ten rollups, unevaluated. ``caps`` optionally limits the keys of single tables."""
-    reqs = requests(parsed)
-    pairs = ip_path_pairs(reqs)
-    return {
-        "daily_totals": daily_totals(parsed, as_of),
-        **{table: keyed_counts(reqs, table, (caps or {}).get(table)) for table in KEYED_TABLES},
-        "hourly_totals": hourly_totals(reqs),
-        "daily_ip_paths": top_pairs(pairs, "ip", "path", drill_ips, paths_per_ip),
-        "daily_path_ips": top_pairs(pairs, "path", "ip", drill_paths, ips_per_path),
-    }
+    return pairs.join(wanted, same, "left_semi")
+
+
+class Rollups(Mapping[str, DataFrame]):
+    """Tables by name, each planned only when it is asked for."""
+
+    def __init__(self, plans: Mapping[str, Callable[[], DataFrame]]):
+        self._plans = dict(plans)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._plans[name]()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._plans)
+
+    def __len__(self) -> int:
+        return len(self._plans)
+
+    def replaced(self, **plans: Callable[[DataFrame], DataFrame]) -> Rollups:
+        """The same tables with some of them passed through a function."""
+        return Rollups({**self._plans, **{
+            name: lambda step=step, name=name: step(self[name]) for name, step in plans.items()}})
+
+
+def build(parsed: DataFrame, as_of: str, caps: Mapping[str, int] | None = None, pairs: DataFrame | None = None,
+          drill_ips: int | None = fixed.DRILL_IPS_PER_DAY, paths_per_ip: int | None = fixed.DRILL_PATHS_PER_IP,
+          drill_paths: int | None = fixed.DRILL_PATHS_PER_DAY, ips_per_path: int | None = fixed.DRILL_IPS_PER_PATH
+          ) -> Rollups:
+    """All ten rollups, unevaluated.
+
+    ``caps`` optionally limits the keys of single tables; ``pairs`` may give ready ``ip_path_pairs``. The drill-down
+    tables hold the busiest keys per day and source, or with None for a limit all of them.
+    """
+    def drill(outer: str, inner: str, outer_n: int | None, inner_n: int | None) -> DataFrame:
+        return top_pairs(ip_path_pairs(requests(parsed)) if pairs is None else pairs, outer, inner, outer_n, inner_n)
+
+    def keyed(table: str) -> Callable[[], DataFrame]:
+        return lambda: keyed_counts(requests(parsed), table, (caps or {}).get(table))
+
+    return Rollups({
+        "daily_totals": lambda: daily_totals(parsed, as_of),
+        **{table: keyed(table) for table in KEYED_TABLES},
+        "hourly_totals": lambda: hourly_totals(requests(parsed)),
+        "daily_ip_paths": lambda: drill("ip", "path", drill_ips, paths_per_ip),
+        "daily_path_ips": lambda: drill("path", "ip", drill_paths, ips_per_path),
+    })

@@ -8,9 +8,16 @@ AS_OF = "2024-01-31"
 FROM_DAY, TO_DAY = "2024-01-10", "2024-01-20"
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table of fewer files than cores; tables of many files keep their splits unshuffled."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if len(table.inputFiles()) < cores else table
+
+
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ``(event_id, source, line)`` row per event; every page of ``pages`` is requested in turn."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", "ts", "user_id", "event_type", "value"), "event_id")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     events.createOrReplaceTempView("hl_events")
     pages.createOrReplaceTempView("hl_pages")

@@ -198,6 +198,73 @@ def _report(category: str, label: str) -> str:
             CAST(round_even(n / (SELECT CASE WHEN max(n) > 0 THEN max(n) ELSE 1 END FROM m) * 100, 0) AS BIGINT) FROM m"""
 
 
+_MEASURES = ("total_requests", "bytes_total", "errors", "rt_sum", "rt_n")
+
+
+def _daily_sums(factor: int = 1, first: str = "") -> str:
+    sums = ", ".join(f"CAST({factor} * sum({m}) AS BIGINT) AS {m}" for m in _MEASURES)
+    return f"SELECT {first} day, category, {sums} FROM daily_totals GROUP BY day, category"
+
+
+def _source_totals(where: str) -> str:
+    return _with("daily_totals") + f"""
+        SELECT source, CAST(sum(total_requests) AS BIGINT) AS total_requests, CAST(sum(errors) AS BIGINT) AS errors
+        FROM daily_totals WHERE category = 'all' AND {where} GROUP BY source"""
+
+
+def _stats(category: str) -> str:
+    """Rows of one statistics document."""
+    w = _scope(category)
+
+    def rows(section: str, key: str, table: str, detail: str = "NULL", group: str | None = None, limit: int | None = None,
+             where: str = "true", measure: str = "count") -> str:
+        tail = "" if limit is None else f" ORDER BY n DESC, {group or key} LIMIT {limit}"
+        return (f"SELECT * FROM (SELECT '{category}' AS category, '{section}' AS section, CAST({key} AS VARCHAR) AS key, "
+                f"CAST({detail} AS VARCHAR) AS detail, CAST(sum({measure}) AS BIGINT) AS n FROM {table} "
+                f"WHERE {w} AND {where} GROUP BY {group or key}{tail})")
+
+    sums = ", ".join(f"coalesce(sum({m}), 0) AS {m}" for m in _MEASURES)
+    scalars = {"total_requests": "total_requests", "bytes_total": "bytes_total", "errors": "errors",
+               "avg_response_time_us": "CASE WHEN rt_n > 0 THEN rt_sum // rt_n END",
+               "unique_ips": f"(SELECT count(DISTINCT ip) FROM located_ips WHERE {w})"}
+    totals = [f"SELECT '{category}' AS category, 'totals' AS section, '{k}' AS key, CAST(NULL AS VARCHAR) AS detail, "
+              f"CAST({v} AS BIGINT) AS n FROM (SELECT {sums} FROM daily_totals WHERE {w})" for k, v in scalars.items()]
+    hourly = f"""SELECT '{category}', 'hourly', strftime(hour, '%Y-%m-%d %H:00'), NULL, CAST(sum(count) AS BIGINT)
+        FROM hourly_totals WHERE category = '{category}' AND CAST(hour AS DATE) BETWEEN {FROM_DAY} AND {TO_DAY}
+        GROUP BY hour"""
+    return " UNION ALL ".join([
+        *totals, hourly,
+        rows("top_paths", "path", "daily_paths", limit=10), rows("all_paths", "path", "daily_paths", limit=1000),
+        rows("top_ips", "ip", "located_ips", detail="min(country_code)", limit=50),
+        rows("status_codes", "status", "daily_status"), rows("methods", "method", "daily_methods"),
+        rows("top_user_agents", "user_agent", "daily_ua", limit=20),
+        rows("top_referers", "referer", "daily_referers", limit=20),
+        rows("daily", "day", "daily_totals", measure="total_requests"),
+        rows("top_countries", "country_code", "located_ips", detail="min(country)", limit=30,
+             where="country_code IS NOT NULL"),
+        rows("top_cities", "city", "located_ips", detail="min(country_code)", limit=30, where="city IS NOT NULL")])
+
+
+_STATS_TABLES = ("daily_totals", "daily_paths", "located_ips", "daily_status", "daily_methods", "daily_ua",
+                 "daily_referers", "hourly_totals")
+
+
+def _whole_drill(section: str, outer: str, inner: str) -> str:
+    """A drill-down map from all pairs, without limits per day and source."""
+    return f"""
+        SELECT 'all', '{section}', {outer}, {inner}, n FROM (
+            SELECT {outer}, {inner}, CAST(sum(count) AS BIGINT) AS n,
+                   row_number() OVER (PARTITION BY {outer} ORDER BY sum(count) DESC, {inner}) AS r
+            FROM pairs
+            WHERE {_DAYS} AND {outer} IN (SELECT {outer} FROM {'daily_ips' if outer == 'ip' else 'daily_paths'}
+                                          WHERE {_scope('all')} GROUP BY {outer}
+                                          ORDER BY sum(count) DESC, {outer} LIMIT 200)
+            GROUP BY {outer}, {inner})
+        WHERE r <= 20"""
+
+
+_DAILY = _with("daily_totals") + _daily_sums()
+
 ORACLE: dict[str, str] = {
     "parse_log_lines": _BASE + "SELECT * FROM reqs",
     "malformed_lines": _BASE + "SELECT event_id, source, line_chars FROM lines WHERE NOT matched",
@@ -298,4 +365,26 @@ ORACLE: dict[str, str] = {
                CASE WHEN source = 'access_2.log' THEN TIMESTAMP '2024-01-31 11:59:00'
                     ELSE TIMESTAMP '2024-01-31 11:50:00' END AS ingested_at, 'run-2' AS ingest_id
         FROM ({_LISTING}) WHERE source <> 'access_3.log'""",
+    "scan_plain_gz_tar": _DAILY,
+    "classify_files": _BASE + """
+        SELECT CASE source WHEN 'access_0.log' THEN 'text' WHEN 'access_1.log' THEN 'gzip' ELSE 'archive' END AS kind,
+               CAST(count(*) AS BIGINT) AS lines
+        FROM lines GROUP BY 1""",
+    "replace_by_source": _source_totals("true"),
+    "delete_source": _source_totals("source <> 'access_1.log'"),
+    "compacted_store": _with("hourly_totals") + """
+        SELECT hour, category, CAST(sum(count) AS BIGINT) AS count FROM hourly_totals
+        WHERE source <> 'access_3.log' AND hour >= TIMESTAMP '2024-01-16 00:00:00' GROUP BY hour, category""",
+    "changed_file_reingest": _with("daily_totals") + _daily_sums(1, "'before' AS state,") + " UNION ALL "
+                             + _daily_sums(2, "'after' AS state,"),
+    "traffic_stats": _with(*_STATS_TABLES) + _stats("all"),
+    "ingest_and_report": _with(*_STATS_TABLES, "pairs") + " UNION ALL ".join(
+        [*(_stats(c) for c in ("all", "human", "bot")), _whole_drill("drill_ip", "ip", "path"),
+         _whole_drill("drill_path", "path", "ip")]),
+    "stream_daily_totals": _DAILY,
+    "stream_replay_idempotent": _DAILY,
+    "stream_late_data": _DAILY,
 }
+ORACLE["stored_top_paths"] = ORACLE["top_paths"]
+ORACLE["stored_subnets"] = ORACLE["subnet_share"]
+ORACLE["stream_hourly_totals"] = ORACLE["hourly_totals"]

@@ -10,6 +10,7 @@ from hitledger.operators import geo, ledger, parse, rollups
 from hitledger.plans import reports, traffic
 from hitledger.plans.traffic import Traffic
 from workload.access_log import AS_OF, FROM_DAY, TO_DAY, geo_blocks, raw_log
+from workload.stored import STORED
 
 DAYS = (FROM_DAY, TO_DAY)
 ALL, HUMAN, BOT = (("all", *DAYS), ("human", *DAYS), ("bot", *DAYS))
@@ -29,10 +30,9 @@ def reqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.requests(parsed(spark, sf_dir))
 
 
-def tables(spark: SparkSession, sf_dir: str, located: bool = False) -> dict[str, DataFrame]:
-    found = rollups.build(parsed(spark, sf_dir), AS_OF)
+def tables(spark: SparkSession, sf_dir: str, located: bool = False) -> rollups.Rollups:
     blocks = geo.blocks_from_ranges(geo_blocks(spark, sf_dir)) if located else None
-    return {**found, "daily_ips": geo.locate(found["daily_ips"], blocks)}
+    return rollups.build(parsed(spark, sf_dir), AS_OF).replaced(daily_ips=lambda ips: geo.locate(ips, blocks))
 
 
 def _traffic(answer: Callable[[Traffic], DataFrame], located: bool = False) -> Query:
@@ -66,7 +66,8 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.select(
         "source", "path", "mtime", (F.col("size") - F.when(number == "0", 0).otherwise(10)).alias("size"),
         (F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(secs=age)).alias("ingested_at"),
-        F.concat(F.lit("run-"), F.col("version").cast("string")).alias("ingest_id"), F.lit(False).alias("deleted"))
+        F.concat(F.lit("run-"), F.col("version").cast("string")).alias("ingest_id"), F.lit(False).alias("deleted")
+    ).withColumn("committed_at", F.col("ingested_at"))
 
 
 def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,4 +177,6 @@ QUERIES: dict[str, Query] = {
     "ledger_pending": lambda s, d: _changed(s, d).limit(1).agg((F.count("*") > 0).alias("pending")),
     "ledger_latest": lambda s, d: ledger.newest_first(ledger.live(_ledger(s, d))).select(
         "source", "size", "ingested_at", "ingest_id"),
+    # files, store and streams
+    **STORED,
 }
