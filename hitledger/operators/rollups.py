@@ -104,9 +104,10 @@ def _of_busiest(pairs: DataFrame, day: list[str], outer: str, outer_n: int) -> D
     busiest = top_per_group(pairs.groupBy(*day, outer).agg(F.sum("count").alias("n")), day, "n", [outer], outer_n)
     keys = [*day, outer]
     wanted = busiest.select(*(F.col(k).alias(f"_{k}") for k in keys))
-    # null-safe keys: without inferred null filters both uses of ``pairs`` share one shuffle
+    # ``wanted`` is unique, so the inner join only filters; unlike a semi join it stays above the aggregation of pairs.
+    # With null-safe keys no null filters are inferred, and both uses of ``pairs`` share one shuffle.
     same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
-    return pairs.join(wanted, same, "left_semi")
+    return pairs.join(wanted, same).select(*pairs.columns)
 
 
 class Rollups(Mapping[str, DataFrame]):

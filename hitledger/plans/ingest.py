@@ -129,7 +129,11 @@ def ingest_listing(store: RollupStore, listing: DataFrame, settings: Settings,
 
 def ingest_directory(store: RollupStore, directory: str, settings: Settings,
                      ingest_id: str | None = None) -> IngestSummary:
-    return ingest_listing(store, source_files.list_files(store.spark, directory), settings, ingest_id)
+    """Ingest the new, changed and emptied log files of a directory."""
+    listing = source_files.list_files(store.spark, directory)
+    had_rows = store.ledger().filter(F.col("container").isNull() & (F.col("size") > 0))
+    emptied = source_files.emptied(store.spark, had_rows, listing)
+    return ingest_listing(store, listing.unionByName(emptied), settings, ingest_id)
 
 
 def ingest_lines(store: RollupStore, lines: DataFrame, settings: Settings, ingest_id: str | None = None) -> str:

@@ -37,6 +37,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop)
 
 
+def file_status(spark: SparkSession, path: str) -> tuple[float, int] | None:
+    """Modification time in seconds and size of a file, None if there is none."""
+    hadoop, fs = _path(spark, path)
+    if not fs.exists(hadoop):
+        return None
+    status = fs.getFileStatus(hadoop)
+    return status.getModificationTime() / 1000, status.getLen()
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names directly under ``path``, none if it does not exist."""
     hadoop, fs = _path(spark, path)

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
+from hitledger import session
 from hitledger.operators.ledger import ARCHIVE, GZIP, TEXT
 
 LINES = "source string, file string, line string, error string"
@@ -26,6 +27,14 @@ def list_files(spark: SparkSession, directory: str) -> DataFrame:
     return as_listing(spark.read.format("binaryFile").load(directory))
 
 
+def emptied(spark: SparkSession, known: DataFrame, listing: DataFrame) -> DataFrame:
+    """Known ``(source, path)`` files that are now empty; Spark's listings leave empty files out."""
+    missing = known.join(listing, "source", "left_anti").select("source", "path").collect()
+    rows = [(m.source, m.path, *status) for m in missing
+            if (status := session.file_status(spark, m.path)) and status[1] == 0]
+    return spark.createDataFrame(rows, "source string, path string, mtime double, size bigint")
+
+
 def _unpack(frames: Iterator) -> Iterator:
     """Stream the lines of compressed files; a file that fails ends with one null line that tells why."""
     import gzip
@@ -98,7 +107,7 @@ def _compressed_lines(spark: SparkSession, files: Sequence[Row]) -> DataFrame:
 
 def _text_lines(spark: SparkSession, files: Sequence[Row]) -> DataFrame:
     literal = [re.sub(r"([\\\[\]{}*?])", r"\\\1", f.path) for f in files]
-    name = F.col("_metadata.file_name")
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # the name is URL-encoded
     return spark.read.text(literal).select(
         name.alias("source"), name.alias("file"), F.make_valid_utf8("value").alias("line"),
         F.lit(None).cast("string").alias("error"))

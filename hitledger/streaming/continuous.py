@@ -64,12 +64,12 @@ def windowed_counts(lines: DataFrame, size: str = "1 hour", watermark: str | Non
     """
     reqs = parse.requests(parse.parse_lines(lines))
     if watermark:
-        reqs = reqs.withWatermark("ts", watermark)
+        reqs = reqs.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     counted = reqs.groupBy(F.window("ts", size), "source").agg(
         F.count("*").alias("n_all"), F.count_if("is_bot").alias("n_bot"))
     rows = F.array(*(F.struct(F.lit(c).alias("category"), n.alias("count")) for c, n in (
         ("all", F.col("n_all")), ("bot", F.col("n_bot")), ("human", F.col("n_all") - F.col("n_bot")))))
-    return counted.select(F.col("window.start").alias("start"), "source", F.inline(rows)).filter(F.col("count") > 0)
+    return counted.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "source", F.inline(rows)).filter(F.col("count") > 0)
 
 
 def keep_updates(counts: DataFrame, path: str, checkpoint: str, available_now: bool = False,
