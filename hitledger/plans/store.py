@@ -101,28 +101,31 @@ class RollupStore:
         with ThreadPoolExecutor(WRITERS) as pool:
             list(pool.map(write, schemas.ROLLUPS))
 
-    def _superseded(self) -> tuple[list[str], DataFrame]:
-        """Ingests with valid rows, and the ``(source, ingest_id)`` versions in them that are no longer valid."""
-        entries = self.entries()
-        valid = lg.live(entries).select("source", F.col("data_id").alias("ingest_id"))
-        ids = [r.ingest_id for r in valid.select("ingest_id").filter(F.col("ingest_id").isNotNull()).distinct().collect()]
-        written = entries.filter(F.col("data_id").isin(ids)).select("source", F.col("data_id").alias("ingest_id")).distinct()
-        return ids, written.join(valid, ["source", "ingest_id"], "left_anti")
+    def _versions(self) -> tuple[list[str], list[str], DataFrame]:
+        """Ingests with valid rows; those of them that also hold replaced or deleted ones; and the latter versions.
+
+        Only ingest ids come to the driver, one per run since the last ``vacuum``.
+        """
+        newest = F.max_by(F.when(~F.col("deleted"), F.col("data_id")), F.struct("committed_at", "ingest_id"))
+        versions = self.entries().groupBy("source").agg(newest.alias("valid"), F.collect_set("data_id").alias("ids")).select(
+            "source", "valid", F.filter("ids", lambda x: ~x.eqNullSafe(F.col("valid"))).alias("replaced"))
+        seen = versions.select("valid", F.explode_outer("replaced").alias("ingest_id")).agg(
+            F.collect_set("valid").alias("valid"), F.collect_set("ingest_id").alias("replaced")).first()
+        mixed = sorted(set(seen.valid) & set(seen.replaced))
+        dead = versions.select("source", F.explode("replaced").alias("ingest_id")).filter(F.col("ingest_id").isin(mixed))
+        return sorted(seen.valid), mixed, dead
 
     def tables(self) -> Rollups:
         """The valid rows of every rollup.
 
-        Folders of failed and fully replaced ingests are pruned. Rows are joined only with the versions replaced since
-        the last ``compact``; after it there are none and the tables are plain scans.
+        Folders of failed and fully replaced ingests are pruned. Rows of ingests that were replaced in part are joined
+        with those replaced versions; after ``compact`` there are none and the tables are plain scans.
         """
-        ids, dead = self._superseded()
-        any_dead = not dead.isEmpty()
+        valid, mixed, dead = self._versions()
 
         def plan(table: str) -> DataFrame:
-            rows = self._read(self._table_path(table), schemas.ROLLUPS[table]).filter(F.col("ingest_id").isin(ids))
-            if any_dead:
-                rows = rows.join(dead, ["source", "ingest_id"], "left_anti")
-            return rows.drop("ingest_id")
+            rows = self._read(self._table_path(table), schemas.ROLLUPS[table]).filter(F.col("ingest_id").isin(valid))
+            return (rows.join(dead, ["source", "ingest_id"], "left_anti") if mixed else rows).drop("ingest_id")
 
         return Rollups({table: (lambda t=table: plan(t)) for table in rollups.TABLES})
 
