@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hitledger.functions import network as net
@@ -9,6 +12,8 @@ from hitledger.functions import network as net
 GEO = ("country_code", "country", "city")
 SPREAD = 16
 NO_ADDRESS_PARTS = 1024
+HOT_PARTS = 1000
+HOT_ROWS = 100_000
 V4_BUCKET, V6_BUCKET = 4, 5  # hexadecimal digits of an address that name its bucket
 
 
@@ -38,27 +43,51 @@ def _bucket(key: Column) -> Column:
     return F.when(F.startswith(key, F.lit(net.V4_PREFIX)), v4).otherwise(v6)
 
 
-def locate(rows: DataFrame, blocks: DataFrame | None, ip: str = "ip", spread: int = SPREAD) -> DataFrame:
+def network_key(ip: str) -> Column:
+    return net.address_key(F.col(ip))
+
+
+def hot_buckets(rows: DataFrame, ip: str = "ip", parts: int = HOT_PARTS, least: int = HOT_ROWS) -> dict[int, int]:
+    """Buckets that hold more than one of ``parts`` equal shares of the rows, and over how many parts to spread each.
+
+    At most ``parts`` buckets qualify, so the answer is small at any scale.
+    """
+    share = max(rows.count() / parts, least)
+    counted = rows.groupBy(_bucket(network_key(ip)).alias("bucket")).count()
+    hot = counted.filter(F.col("bucket").isNotNull() & (F.col("count") > share)).collect()
+    return {r.bucket: math.ceil(r["count"] / share) for r in hot}
+
+
+def _parts(bucket: Column, spread: int | Mapping[int, int]) -> Column:
+    if isinstance(spread, int):
+        return F.lit(spread)
+    if not spread:
+        return F.lit(1)
+    pairs = [F.lit(x) for pair in spread.items() for x in pair]
+    return F.coalesce(F.element_at(F.create_map(*pairs), bucket), F.lit(1))
+
+
+def locate(rows: DataFrame, blocks: DataFrame | None, ip: str = "ip",
+           spread: int | Mapping[int, int] = SPREAD) -> DataFrame:
     """Add country code, country and city to ``rows``; null where no block holds the address.
 
     ``blocks`` has ``lo_key``, ``hi_key`` and the geo columns and its blocks do not overlap, so the only block that can
     hold an address is the last one starting at or before it. Rows and blocks are therefore merged in address order
-    within each bucket: one shuffle, no pairs. Each bucket is spread over ``spread`` parts of the rows, with the
-    bucket's blocks copied to each, so a hot network does not end up in one task.
+    within each bucket: one shuffle, no pairs. The rows of a bucket are spread over ``spread`` parts, with the bucket's
+    blocks copied to each, so a hot network does not end up in one task; ``hot_buckets`` says which need it.
     """
     if blocks is None:
         return rows.select("*", *(F.lit(None).cast("string").alias(c) for c in GEO))
-    keyed = rows.select(F.struct(*rows.columns).alias("row"), net.address_key(F.col(ip)).alias("key"))
+    keyed = rows.select(F.struct(*rows.columns).alias("row"), network_key(ip).alias("key"))
     row_hash = F.xxhash64("row")
     no_bucket = F.pmod(row_hash, F.lit(NO_ADDRESS_PARTS)).cast("int") - NO_ADDRESS_PARTS
-    clients = keyed.select(
-        "row", "key", F.coalesce(_bucket(F.col("key")), no_bucket).alias("bucket"),
-        F.pmod(row_hash, F.lit(spread)).cast("int").alias("part"), F.lit(None).alias("block"))
+    clients = keyed.select("row", "key", F.coalesce(_bucket(F.col("key")), no_bucket).alias("bucket")).select(
+        "*", F.pmod(row_hash, _parts(F.col("bucket"), spread)).cast("int").alias("part"), F.lit(None).alias("block"))
     starts = blocks.select(
         F.lit(None).alias("row"), F.col("lo_key").alias("key"),
         F.explode(F.sequence(_bucket(F.col("lo_key")), _bucket(F.col("hi_key")))).alias("bucket"),
         F.struct("hi_key", *GEO).alias("block")).select(
-        "row", "key", "bucket", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"), "block")
+        "row", "key", "bucket", F.explode(F.sequence(F.lit(0), _parts(F.col("bucket"), spread) - 1)).alias("part"), "block")
     in_order = (Window.partitionBy("bucket", "part").orderBy("key", F.col("block").isNull())
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     merged = clients.unionByName(starts).withColumn("block", F.last("block", ignorenulls=True).over(in_order))

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from hitledger import schemas
 from hitledger.operators import parse
-from hitledger.plans.ingest import Settings, ingest_lines, ingest_listing
+from hitledger.plans.ingest import Settings, ingest_listing
 from hitledger.plans.store import RollupStore
 from hitledger.sources import files as source_files
 
@@ -45,17 +45,6 @@ def watch_directory(store: RollupStore, directory: str, checkpoint: str, setting
     return _started(listing.writeStream.foreachBatch(ingest), checkpoint, available_now, every)
 
 
-def follow_lines(store: RollupStore, lines: DataFrame, checkpoint: str, settings: Callable[[], Settings],
-                 name: str = "follow", available_now: bool = False, every: str = EVERY) -> StreamingQuery:
-    """Ingest a stream of ``(source, line)`` rows; every micro-batch is kept beside the earlier ones of its sources."""
-    def ingest(batch: DataFrame, batch_id: int) -> None:
-        ingest_id = f"{name}-{batch_id:012d}"
-        part = F.concat("source", F.lit(f"@{ingest_id}"))  # an append-only stream adds to a source, it does not replace it
-        ingest_lines(store, batch.withColumn("source", part), settings(), ingest_id)
-
-    return _started(lines.writeStream.foreachBatch(ingest), checkpoint, available_now, every)
-
-
 def windowed_counts(lines: DataFrame, size: str = "1 hour", watermark: str | None = None) -> DataFrame:
     """Requests per tumbling window, source and category of a stream (or batch) of ``(source, line)`` rows.
 

@@ -40,7 +40,16 @@ def test_network_bounds(spark):
         assert (lo, hi) == (_key(str(net[0])), _key(str(net[-1]))), text
 
 
-@pytest.mark.parametrize("spread", [1, 16])
+HOT = 10 * 256 + 9  # the /16 of 10.9.9.9
+
+
+def test_hot_buckets(spark):
+    rows = spark.createDataFrame([("10.9.9.9",)] * 70 + [(f"11.{i}.0.0",) for i in range(29)] + [("bad",)], "ip string")
+    assert geo.hot_buckets(rows, parts=10, least=1) == {HOT: 7}
+    assert geo.hot_buckets(rows) == {}
+
+
+@pytest.mark.parametrize("spread", [1, 16, {}, {HOT: 7, 65536 + 0x20010: 3}])
 def test_locate_matches_brute_force(spark, spread):
     random = Random(2)
     networks = [ipaddress.ip_network(n) for n in NETWORKS]

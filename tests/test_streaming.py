@@ -56,17 +56,6 @@ def test_watched_directory_equals_batch(spark, tmp_path):
     assert stored_rows(store, "hourly_totals") == batch_rows(spark, logs, "hourly_totals")
 
 
-def test_followed_lines_add_up(spark, tmp_path):
-    store = RollupStore(spark, session.shared_dir(spark, "store"))
-    write_logs(tmp_path)
-    lines = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(str(tmp_path)).select(
-        F.lit("live").alias("source"), F.col("value").alias("line"))
-    continuous.follow_lines(store, lines, session.shared_dir(spark, "checkpoint"), settings,
-                            available_now=True).awaitTermination()
-    totals = store.tables()["daily_totals"].filter("category = 'all'").agg(F.sum("total_requests"), F.sum("errors"))
-    assert tuple(totals.first()) == (5, 1)
-
-
 def test_live_counts_equal_batch_and_keep_late_lines(spark, tmp_path):
     logs = write_logs(tmp_path)
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(str(tmp_path)).select(
