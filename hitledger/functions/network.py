@@ -31,24 +31,19 @@ def ipv4_key(number: Column) -> Column:
 
 
 def ipv6_key(ip: Column) -> Column:
-    """32 hexadecimal digits of an IPv6 address (``::`` and a dotted tail allowed), null when it is not one."""
-    tail = F.regexp_extract(ip, r"^.*:([0-9]+(?:\.[0-9]+){3})$", 1)
-    tail_hex = _hex(ipv4_number(tail), 8)
-    dotted = F.concat(
-        F.regexp_replace(ip, r"[0-9]+(?:\.[0-9]+){3}$", ""), F.substring(tail_hex, 1, 4), F.lit(":"),
-        F.substring(tail_hex, 5, 4))
-    text = F.lower(F.when(tail == "", ip).otherwise(dotted))
-    sides = F.split(text, "::")
-    left = F.filter(F.split(F.get(sides, 0), ":"), lambda g: g != "")
-    right = F.filter(F.split(F.coalesce(F.get(sides, 1), F.lit("")), ":"), lambda g: g != "")
-    gap = 8 - F.size(left) - F.size(right)
-    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
-    key = F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
-    group = "[0-9a-f]{1,4}"
-    run = rf"{group}(?::{group})*"
-    well_formed = F.when(F.size(sides) == 1, text.rlike(rf"^{run}$") & (gap == 0)).otherwise(
-        text.rlike(rf"^(?:{run})?::(?:{run})?$") & (gap >= 1))
-    return F.when(well_formed, key)
+    """32 hexadecimal digits of an IPv6 address (``::`` and a dotted tail allowed), null when it is not one.
+
+    Plain text steps: ``::`` becomes the zero groups it stands for, then every group is padded to four digits.
+    """
+    tail = _hex(ipv4_number(F.substring_index(ip, ":", -1)), 8)
+    dotted = F.concat(F.regexp_replace(ip, "[^:]*$", ""), F.regexp_replace(tail, "^(.{4})", "$1:"))
+    text = F.lower(F.when(F.contains(ip, F.lit(".")), dotted).otherwise(ip))
+    groups = F.regexp_count(text, F.lit("[0-9a-f]+"))
+    full = F.trim(F.regexp_replace(text, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), 8 - groups))), F.lit(":"))
+    key = F.regexp_replace(F.regexp_replace(full, "(^|:)", "$1000"), "0*([0-9a-f]{4})(:|$)", "$1")
+    run = "[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
+    shape = F.when(groups == 8, text.rlike(f"^{run}$")).otherwise((groups < 8) & text.rlike(f"^(?:{run})?::(?:{run})?$"))
+    return F.when(shape, key)
 
 
 def address_key(ip: Column) -> Column:

@@ -97,7 +97,7 @@ def locate(rows: DataFrame, blocks: DataFrame | None, ip: str = "ip",
 
 
 def latest(daily_ips: DataFrame) -> DataFrame:
-    """Most recent known location of each client."""
-    known = daily_ips.filter(F.col("country_code").isNotNull())
+    """Most recent known location of each client; hash-aggregated to one row per location before the newest is taken."""
+    known = daily_ips.filter(F.col("country_code").isNotNull()).groupBy("ip", *GEO).agg(F.max("day").alias("day"))
     return (known.groupBy("ip").agg(F.max(F.struct("day", *GEO)).alias("newest"))
             .select("ip", *(F.col(f"newest.{c}").alias(c) for c in GEO)))

@@ -22,6 +22,7 @@ KEYED_TABLES = {
     "daily_ua": "user_agent", "daily_referers": "referer",
 }
 PAIR_TABLES = {"daily_ip_paths": ("ip", "path"), "daily_path_ips": ("path", "ip")}
+Step = Callable[[DataFrame], DataFrame]
 TABLES = ("daily_totals", *KEYED_TABLES, "hourly_totals", *PAIR_TABLES)
 
 
@@ -34,9 +35,13 @@ def _category_rows(grouped: DataFrame, keys: list[str], measures: Mapping[str, t
     return grouped.select(*keys, F.inline(F.array(*rows)))
 
 
-def _counted(reqs: DataFrame, keys: list[str]) -> DataFrame:
+def _counted(reqs: DataFrame, keys: list[str], enrich: Step | None = None) -> DataFrame:
+    """Counts per keys and category; ``enrich`` may add columns while there is one row per key."""
     grouped = reqs.groupBy(*keys).agg(F.count("*").alias("n_all"), F.count_if("is_bot").alias("n_bot"))
-    rows = _category_rows(grouped, keys, {"count": (F.col("n_all"), F.col("n_bot"))})
+    if enrich:
+        grouped = enrich(grouped)
+    kept = [c for c in grouped.columns if c not in ("n_all", "n_bot")]
+    rows = _category_rows(grouped, kept, {"count": (F.col("n_all"), F.col("n_bot"))})
     return rows.filter(F.col("count") > 0)
 
 
@@ -67,14 +72,19 @@ def daily_totals(parsed: DataFrame, as_of: str) -> DataFrame:
             .select("day", "category", "source", "total_requests", "bytes_total", "errors", "rt_sum", "rt_n"))
 
 
-def keyed_counts(reqs: DataFrame, table: str, cap: int | None = None) -> DataFrame:
-    """Requests per value of the table's key; ``cap`` keeps the most requested keys of each day, category and source."""
+def keyed_counts(reqs: DataFrame, table: str, cap: int | None = None, enrich: Step | None = None) -> DataFrame:
+    """Requests per value of the table's key, with the columns that ``enrich`` adds to the counted keys.
+
+    ``cap`` keeps the most requested keys of each day, category and source.
+    """
     key = KEYED_TABLES[table]
     counted = {
         "user_agent": F.col(key) != fixed.ABSENT,
         "referer": ~F.col(key).isin(*fixed.UNCOUNTED_REFERERS),
     }.get(key, F.col(key).isNotNull())
-    rows = _counted(reqs.filter(counted), ["day", "source", key]).select("day", "category", "source", key, "count")
+    rows = _counted(reqs.filter(counted), ["day", "source", key], enrich)
+    added = [c for c in rows.columns if c not in ("day", "category", "source", key, "count")]
+    rows = rows.select("day", "category", "source", key, "count", *added)
     return rows if cap is None else top_per_group(rows, ["day", "category", "source"], "count", [key], cap)
 
 
@@ -125,26 +135,23 @@ class Rollups(Mapping[str, DataFrame]):
     def __len__(self) -> int:
         return len(self._plans)
 
-    def replaced(self, **plans: Callable[[DataFrame], DataFrame]) -> Rollups:
-        """The same tables with some of them passed through a function."""
-        return Rollups({**self._plans, **{
-            name: lambda step=step, name=name: step(self[name]) for name, step in plans.items()}})
-
 
 def build(parsed: DataFrame, as_of: str, caps: Mapping[str, int] | None = None, pairs: DataFrame | None = None,
-          drill_ips: int | None = fixed.DRILL_IPS_PER_DAY, paths_per_ip: int | None = fixed.DRILL_PATHS_PER_IP,
-          drill_paths: int | None = fixed.DRILL_PATHS_PER_DAY, ips_per_path: int | None = fixed.DRILL_IPS_PER_PATH
-          ) -> Rollups:
+          locate: Step | None = None, drill_ips: int | None = fixed.DRILL_IPS_PER_DAY,
+          paths_per_ip: int | None = fixed.DRILL_PATHS_PER_IP, drill_paths: int | None = fixed.DRILL_PATHS_PER_DAY,
+          ips_per_path: int | None = fixed.DRILL_IPS_PER_PATH) -> Rollups:
     """All ten rollups, unevaluated.
 
-    ``caps`` optionally limits the keys of single tables; ``pairs`` may give ready ``ip_path_pairs``. The drill-down
-    tables hold the busiest keys per day and source, or with None for a limit all of them.
+    ``caps`` optionally limits the keys of single tables; ``pairs`` may give ready ``ip_path_pairs``; ``locate`` adds the
+    location columns of ``daily_ips`` from its ``ip``. The drill-down tables hold the busiest keys per day and source,
+    or with None for a limit all of them.
     """
     def drill(outer: str, inner: str, outer_n: int | None, inner_n: int | None) -> DataFrame:
         return top_pairs(ip_path_pairs(requests(parsed)) if pairs is None else pairs, outer, inner, outer_n, inner_n)
 
     def keyed(table: str) -> Callable[[], DataFrame]:
-        return lambda: keyed_counts(requests(parsed), table, (caps or {}).get(table))
+        enrich = locate if table == "daily_ips" else None
+        return lambda: keyed_counts(requests(parsed), table, (caps or {}).get(table), enrich)
 
     return Rollups({
         "daily_totals": lambda: daily_totals(parsed, as_of),

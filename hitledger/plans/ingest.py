@@ -64,9 +64,10 @@ def _write_rollups(store: RollupStore, ingest_id: str, parsed: DataFrame, settin
     path = store.staging_path(ingest_id, "pairs")
     rollups.ip_path_pairs(parse.requests(parsed)).write.mode("overwrite").parquet(path)
     pairs = store.spark.read.schema(schemas.PAIRS).parquet(path)
-    tables = rollups.build(parsed, settings.as_of, settings.caps, pairs, **settings.drill)
     hot = {} if settings.blocks is None else geo.hot_buckets(parse.requests(parsed))
-    store.write_tables(ingest_id, tables.replaced(daily_ips=lambda ips: geo.locate(ips, settings.blocks, spread=hot)))
+    store.write_tables(ingest_id, rollups.build(
+        parsed, settings.as_of, settings.caps, pairs, lambda ips: geo.locate(ips, settings.blocks, spread=hot),
+        **settings.drill))
 
 
 def _entries(store: RollupStore, ingest_id: str, files: list[Row], parsed: DataFrame, now: str,

@@ -123,21 +123,27 @@ class Traffic:
     def top_referers(self, category: str, from_day: str, to_day: str, limit: int = fixed.TOP_REFERERS) -> DataFrame:
         return top(self._by_key("daily_referers", "referer", (category, from_day, to_day)), "n", ["referer"], limit)
 
+    def _counted_with(self, key: str, along: tuple[str, ...], rows: DataFrame) -> DataFrame:
+        """Requests per ``key`` with one value each of the columns ``along``.
+
+        Text minima cannot be hash-aggregated, so the rows are first counted by all columns, which can.
+        """
+        counted = rows.groupBy(key, *along).agg(_total())
+        return counted.groupBy(key).agg(*(F.min(c).alias(c) for c in along), _total("n"))
+
     def top_ips(self, category: str, from_day: str, to_day: str, limit: int = fixed.TOP_IPS) -> DataFrame:
         """Busiest clients with a known country code, country and city of each, if any."""
         scope = self._scope("daily_ips", category, from_day, to_day)
-        return top(scope.groupBy("ip").agg(_total(), *(F.min(c).alias(c) for c in geo.GEO)), "n", ["ip"], limit)
+        return top(self._counted_with("ip", geo.GEO, scope), "n", ["ip"], limit)
 
     def top_countries(self, category: str, from_day: str, to_day: str, limit: int = fixed.TOP_COUNTRIES) -> DataFrame:
         known = self._scope("daily_ips", category, from_day, to_day).filter(
             F.col("country_code").isNotNull() & F.col("country").isNotNull())
-        counted = known.groupBy("country_code").agg(F.min("country").alias("country"), _total())
-        return top(counted, "n", ["country_code"], limit)
+        return top(self._counted_with("country_code", ("country",), known), "n", ["country_code"], limit)
 
     def top_cities(self, category: str, from_day: str, to_day: str, limit: int = fixed.TOP_CITIES) -> DataFrame:
         known = self._scope("daily_ips", category, from_day, to_day).filter(F.col("city").isNotNull())
-        counted = known.groupBy("city").agg(F.min("country_code").alias("country_code"), _total())
-        return top(counted, "n", ["city"], limit)
+        return top(self._counted_with("city", ("country_code",), known), "n", ["city"], limit)
 
     def subnets(self, category: str, from_day: str, to_day: str, limit: int = fixed.TOP_SUBNETS,
                 alert_pct: float = fixed.SUBNET_ALERT_PCT) -> DataFrame:

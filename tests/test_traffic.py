@@ -11,8 +11,7 @@ DAYS = ("2025-03-01", AS_OF)
 
 
 def answers(spark, lines):
-    built = rollups.build(parse.parse_lines(frame(spark, lines)), AS_OF)
-    return Traffic(built.replaced(daily_ips=lambda ips: geo.locate(ips, None)))
+    return Traffic(rollups.build(parse.parse_lines(frame(spark, lines)), AS_OF, locate=lambda ips: geo.locate(ips, None)))
 
 
 @pytest.mark.parametrize("call", [

@@ -32,7 +32,7 @@ def reqs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tables(spark: SparkSession, sf_dir: str, located: bool = False) -> rollups.Rollups:
     blocks = geo.blocks_from_ranges(geo_blocks(spark, sf_dir)) if located else None
-    return rollups.build(parsed(spark, sf_dir), AS_OF).replaced(daily_ips=lambda ips: geo.locate(ips, blocks))
+    return rollups.build(parsed(spark, sf_dir), AS_OF, locate=lambda ips: geo.locate(ips, blocks))
 
 
 def _traffic(answer: Callable[[Traffic], DataFrame], located: bool = False) -> Query:
