@@ -149,8 +149,8 @@ class Traffic:
                 alert_pct: float = fixed.SUBNET_ALERT_PCT) -> DataFrame:
         """Busiest /24 prefixes with their share of all traffic in the range and an alert flag."""
         scope = self._scope("daily_ips", category, from_day, to_day)
-        everything = scope.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).scalar()
         counted = scope.groupBy(network.subnet_24(F.col("ip")).alias("ip_prefix")).agg(_total())
+        everything = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()  # shares the scan and the shuffle
         busiest = top(counted, "n", ["ip_prefix"], limit)
         shared = busiest.select("ip_prefix", "n", labels.share_pct(F.col("n"), everything).alias("pct"))
         return shared.withColumn("is_alert", F.col("pct") >= F.lit(alert_pct))
