@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from hitledger import session
 from hitledger.operators.ledger import ARCHIVE, GZIP, TEXT
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no installed copy of this package
+
 LINES = "source string, file string, line string, error string"
 LINES_PER_BATCH = 10_000
 SPREAD_ABOVE = 128 * 2**20  # compressed files beyond this are parsed by more than the one task that unpacks them

@@ -190,3 +190,9 @@ def test_ingest_and_report(spark, store, tmp_path):
 
 def test_clock_is_utc():
     assert len(stores.utc_now().split(".")[0]) == 19
+
+
+def test_empty_store_answers(store):
+    traffic = Traffic(store.tables())
+    assert traffic.available_years("all").isEmpty() and traffic.subnets("all", *DAYS).isEmpty()
+    assert traffic.totals("all", *DAYS).first().total_requests == 0
