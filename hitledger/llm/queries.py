@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hitledger.llm import exact_dedup, quality
+from hitledger.llm import exact_dedup, mixing, packing, quality, token_files
 from hitledger.llm.common import written
+from hitledger.session import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,29 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = token_files.encode_documents(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    path = shared_dir(spark, "token-files")
+    token_files.write_token_files(encoded, path)
+    return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = mixing.mix(_table(spark, sf_dir, "documents"), F.array("source"))
+    by_source = spark.createDataFrame(
+        [(s, result.sizes[s], result.targets[s]) for s in result.sizes], "source string, source_size long, target double")
+    rows = result.documents.withColumn("_source", F.col("members")[0])
+    return rows.join(by_source, rows["_source"].eqNullSafe(by_source["source"])).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenised_pieces(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packing.pack(pieces)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = quality.with_statistics(_table(spark, sf_dir, "documents")).drop("text", "source", "n_chars")
     statistics = written(counted, "quality")
@@ -28,5 +53,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_token_files": op5_token_files,
+    "op7_mixing": op7_mixing,
+    "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
