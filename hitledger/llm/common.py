@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hitledger.session import shared_dir
@@ -40,3 +41,8 @@ def words(text: Column) -> Column:
     """The words of a text that is not null, in order; an empty array if it has none."""
     bare = F.btrim(text, F.lit(WORD_BREAKS))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
+
+
+def arrow_table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
+    """Rows, or none, as an Arrow table."""
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])

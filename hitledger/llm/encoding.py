@@ -128,11 +128,11 @@ def read_vocabulary(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
-def slices(values: list, texts: list, most_chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
-    """(values, texts) in runs of ``most_chars`` characters or one document; a text is bytes or None (empty)."""
+def slices(values: list, texts: list, most_chars: int = 4_000_000, decode: bool = True) -> Iterator[tuple[list, list]]:
+    """(values, texts) in runs of ``most_chars`` characters or one document; a text comes as bytes or None (empty)."""
     kept, run, size = [], [], 0
     for value, raw in zip(values, texts):
-        text = (raw or b"").decode("utf-8", "replace")
+        text = (raw or b"").decode("utf-8", "replace") if decode else raw or b""
         if run and size + len(text) > most_chars:
             yield kept, run
             kept, run, size = [], [], 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hitledger.llm import exact_dedup, mixing, packing, quality, token_files
+from hitledger.llm import exact_dedup, mixing, packing, quality, substrings, token_files
 from hitledger.llm.common import written
 from hitledger.session import shared_dir
 
@@ -37,6 +37,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenised_pieces(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_token_files": op5_token_files,
     "op7_mixing": op7_mixing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
