@@ -171,7 +171,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: in
         from pyspark import TaskContext
         encoder, part, seen = encoder_of(shipped.value, spaces), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for doc_ids, texts in slices(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            for doc_ids, texts in slices([batch["doc_id"]], batch["text"]):
                 rows = []
                 for doc_id, ids in zip(doc_ids, encoder.encode(texts)):
                     ids += end
@@ -197,25 +197,24 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shipped = pieces.sparkSession.sparkContext.broadcast(astuple(slots(pack_lengths(counts))))
     before = F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")
     numbered = pieces.drop("ids").join(parts.select("length", "part", before.alias("_before")), ["length", "part"]).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("nth")).alias("number"))
+        "doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", (F.col("_before") + F.col("nth")).alias("number"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = Slots(*shipped.value)
         for batch in batches:
             sequence, offset = where.find(batch["length"].to_numpy(), batch["number"].to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[
-                *batch.schema.names[:5], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(sequence), pa.array(offset)], names=[
+                *batch.schema.names[:7], "sequence_id", "offset"])
 
-    return numbered.mapInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long, "
+                                      "sequence_id long, offset long")
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
-    """The packed sequences: sequence_id, ids (binary, at most ``capacity`` ids) and the doc_ids in it, in order."""
-    where = placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").distinct()
-    keys = ["piece", "start", "length", "ids_crc32"]
-    whole = pieces.join(where, [pieces["doc_id"].eqNullSafe(where["doc_id"]), *[pieces[k] == where[k] for k in keys]]).select(
-        "sequence_id", F.struct("offset", "ids", pieces["doc_id"]).alias("slot"))
-    ordered = whole.groupBy("sequence_id").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+    """The packed sequences: sequence_id, ids (binary, at most the capacity) and the doc_ids of its pieces, in order."""
+    numbered = ["part", "nth", "length"]
+    slots_ = pieces.select("doc_id", "ids", *numbered).join(placed.select("sequence_id", "offset", *numbered), numbered).select(
+        "sequence_id", F.struct("offset", "ids", "doc_id").alias("slot"))
+    ordered = slots_.groupBy("sequence_id").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
     joined = F.aggregate("slots", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["ids"]))
     return ordered.select("sequence_id", joined.alias("ids"), F.col("slots.doc_id").alias("doc_ids"))

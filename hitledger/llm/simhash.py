@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         import xxhash
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            for doc_ids, texts in slices(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), 1_000_000, decode=False):
+            for doc_ids, texts in slices([batch["doc_id"]], batch["text"]):
                 found = np.zeros(len(texts), np.uint64)
                 for i, text in enumerate(texts):
                     joined = b" ".join(text.lower().split())  # bytes.lower() changes A-Z alone
@@ -161,3 +161,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = rooted.select("fp", "root").join(named, "root").select(F.col("fp").alias("fingerprint"), "component_id")
     return marked.join(of_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without those whose component has a smaller doc_id.
+
+    An id stays if any of the rows that carry it does; rows without an id go where a component has one.
+    """
+    found = near_duplicates(docs, shingle)
+    stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    dropped = found.groupBy("doc_id").agg(stays.alias("stays")).filter("NOT stays").select(F.col("doc_id").alias("id"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id")
+    return rows.join(dropped, rows["doc_id"].eqNullSafe(dropped["id"]), "left_anti").select("row.*")

@@ -24,7 +24,7 @@ from hitledger.llm.encoding import slices
 WINDOW, PERIOD = 20, 13
 COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-SLICE_BYTES, PART_BYTES = 1_000_000, 16_000_000
+PART_BYTES = 16_000_000
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
@@ -93,7 +93,7 @@ def _part(parts: int) -> Column:
 def _ask(buckets: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for parts, texts in slices(batch["part"].to_pylist(), batch["text"].to_pylist(), SLICE_BYTES, decode=False):
+            for parts, texts in slices([batch["part"]], batch["text"]):
                 words = Words(texts)
                 at, hashed = words.anchors()
                 part = np.array(parts, np.int32)[words.owner[at]]
@@ -160,7 +160,7 @@ def _find(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """Documents of a part with the starts of the windows around repeated anchors; words only where there are such windows."""
     known = np.unique(np.frombuffer(b"".join(answers["hashes"].to_pylist()), np.uint64))
     rows = []
-    for values, texts in slices(list(zip(docs["doc_id"].to_pylist(), docs["part"].to_pylist())), docs["text"].to_pylist(), SLICE_BYTES, decode=False):
+    for values, texts in slices([docs["doc_id"], docs["part"]], docs["text"]):
         words = Words(texts)
         at, hashed = words.anchors()
         starts = words.around(at[np.isin(hashed, known)])
@@ -174,8 +174,7 @@ def _find(docs: pa.Table, answers: pa.Table) -> pa.Table:
 def _list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(high, low, doc_id): the hash of each different window of a slice of documents and the smallest id that has it."""
     for batch in batches:
-        for values, texts in slices(list(zip(batch["doc_id"].to_pylist(), batch["windows"].to_pylist())), batch["words"].to_pylist(),
-                                    SLICE_BYTES, decode=False):
+        for values, texts in slices([batch["doc_id"], batch["windows"]], batch["words"]):
             least: dict[bytes, int | None] = {}
             for (doc_id, runs), text in zip(values, texts):
                 words = Words([text])
