@@ -1,12 +1,13 @@
 """Token-id files in a static range asymmetric numeral system (rANS).
 
-A folder holds ``frequencies`` (the table all blocks share: id, freq, summing to 2**SCALE) and ``blocks``: one row per block with the
-ids of whole documents, in ascending doc_id order. Blocks are independent. A block is cut by checkpoints every ``STEPS`` steps of
-``LANES`` interleaved coders; the coders' states at each checkpoint are stored, so all stretches between checkpoints are decoded at
-once, and any one can be decoded alone. Each block carries the CRC-32 of its payload and of its ids.
-
-Payload, little-endian: ids u64, stretches u32, words u32, then the states (stretches x LANES, u64), the words of each stretch
-(u32) and the words themselves (u32). Files are Spark's: written by its committer, read from any store it reads.
+A file is a row of groups, in ascending doc_id order; a group holds whole documents, about ``GROUP_IDS`` ids. Its frequency table (ids
+and freqs, summing to 2**SCALE) is shared by its blocks of ``BLOCK_IDS`` ids, which are independent of each other. A block is cut by
+checkpoints every ``STEPS`` steps of ``LANES`` interleaved coders; the coders' states at each checkpoint are stored, so all stretches
+between checkpoints are decoded at once, and any one can be decoded alone. Each group carries the CRC-32 of its blocks and of its ids.
+
+A block, little-endian: ids u64, stretches u32, words u32, then the states (stretches x LANES, u64), the words of each stretch
+(u32) and the words themselves (u32). A table: its ids, then its freqs, u32, deflated. Files are Spark's: written by its committer, read from any store it
+reads, group by group.
 """
 
 from __future__ import annotations
@@ -17,13 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hitledger.llm.common import written
 from hitledger.llm.encoding import IDS, encoder_of, read_vocabulary, slices
 
-SCALE, LANES, STEPS = 20, 32, 512
-BLOCK_IDS, FILE_IDS = 1 << 18, 1 << 23
+SCALE, LANES, STEPS = 20, 32, 256
+BLOCK_IDS, GROUP_IDS, FILE_BYTES = 1 << 20, 1 << 21, 32_000_000
 LOW, WORD_BITS = np.uint64(1 << 31), np.uint64(32)
 _HEAD = "<QII"
 
@@ -34,28 +34,33 @@ class Coder:
     def __init__(self, ids: np.ndarray, freqs: np.ndarray):
         self.ids, self.freqs = ids.astype(np.int64), freqs.astype(np.uint64)
         self.starts = np.concatenate([[0], np.cumsum(self.freqs)[:-1]]).astype(np.uint64)
+        self.place = np.zeros(int(ids.max(initial=-1)) + 1, np.int32)
+        self.place[ids] = np.arange(len(ids))
         self.slots = np.repeat(np.arange(len(ids)), freqs.astype(np.int64)).astype(np.int32)
 
     def encode(self, ids: np.ndarray) -> bytes:
-        symbols = np.searchsorted(self.ids, ids)
         stretches = -(-len(ids) // (LANES * STEPS))
-        padded = np.full(stretches * STEPS * LANES, -1, np.int64)
-        padded[:len(ids)] = symbols
+        padded = np.full(stretches * STEPS * LANES, -1, np.int32)
+        padded[:len(ids)] = self.place[ids]
         grid = padded.reshape(stretches, STEPS, LANES)
         states = np.full((stretches, LANES), LOW, np.uint64)
+        whole_steps = (len(ids) - (stretches - 1) * LANES * STEPS) // LANES
         words, owners = [], []
         for step in range(STEPS - 1, -1, -1):
             s = grid[:, step]
-            full = s >= 0
-            if not full.any():
+            full = None if step < whole_steps else s >= 0  # all coders have an id, or some
+            if full is not None and not full.any():
                 continue
             f, c = self.freqs[s], self.starts[s]
-            spill = full & (states >= f << np.uint64(63 - SCALE))
+            spill = states >= f << np.uint64(63 - SCALE)
+            if full is not None:
+                spill &= full
             words.append((states[spill] & np.uint64(0xFFFFFFFF)).astype(IDS))
             owners.append(np.nonzero(spill)[0])
             x = np.where(spill, states >> WORD_BITS, states)
-            x = ((x // f) << np.uint64(SCALE)) + x % f + c
-            states = np.where(full, x, states)
+            quotient = x // f
+            x = (quotient << np.uint64(SCALE)) + (x - quotient * f) + c
+            states = x if full is None else np.where(full, x, states)
         owner = np.concatenate([*owners[::-1], np.empty(0, np.int64)])
         stream = np.concatenate([*words[::-1], np.empty(0, IDS)])[np.argsort(owner, kind="stable")]
         counts = np.bincount(owner, minlength=stretches).astype(IDS)
@@ -74,137 +79,128 @@ class Coder:
         states, next_word = states[first:last].copy(), np.cumsum(counts)[first:last] - counts[first:last]
         left = np.clip(n - np.arange(first, last) * LANES * STEPS, 0, LANES * STEPS)
         out = np.zeros((last - first, STEPS, LANES), np.int32)
-        mask, lane = np.uint64((1 << SCALE) - 1), np.arange(LANES)
+        mask, lane, whole_steps = np.uint64((1 << SCALE) - 1), np.arange(LANES), left.min(initial=0) // LANES
         for step in range(STEPS):
-            full = step * LANES + lane < left[:, None]
-            if not full.any():
+            full = None if step < whole_steps else step * LANES + lane < left[:, None]
+            if full is not None and not full.any():
                 break
             slot = states & mask
             s = self.slots[slot]
             out[:, step] = s
             x = self.freqs[s] * (states >> np.uint64(SCALE)) + slot - self.starts[s]
-            need = full & (x < LOW)
+            need = x < LOW
+            if full is not None:
+                need &= full
             where = (next_word[:, None] + np.cumsum(need, axis=1) - 1)[need]
             x[need] = (x[need] << WORD_BITS) | stream[where]
             next_word += need.sum(axis=1)
-            states = np.where(full, x, states)
+            states = x if full is None else np.where(full, x, states)
         return self.ids[out.reshape(-1)[:int(left.sum())]].astype(IDS)
 
 
-def table_of(counts: dict[int, int], scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in order and their freqs: at least 1 each, in proportion otherwise, summing to 2**scale."""
-    ids = np.array(sorted(counts), np.int64)
-    n = np.array([counts[i] for i in ids], np.float64)
-    if len(ids) > 1 << scale:
+def table_of(ids: np.ndarray, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
+    """The different ``ids`` and their freqs: at least 1 each, in proportion otherwise, summing to 2**scale."""
+    counts = np.bincount(ids)
+    there = np.flatnonzero(counts)
+    n = counts[there].astype(np.float64)
+    if len(there) > 1 << scale:
         raise ValueError("more different ids than the table has room for")
-    if not len(ids):
-        return ids, ids
-    freqs = np.maximum(1, np.floor(n / n.sum() * ((1 << scale) - len(ids)))).astype(np.int64)
+    if not len(there):
+        return there, there
+    freqs = np.maximum(1, np.floor(n / n.sum() * ((1 << scale) - len(there)))).astype(np.int64)
     freqs[np.argmax(n)] += (1 << scale) - freqs.sum()
-    return ids, freqs
+    return there, freqs
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, spaces: str = "attached") -> DataFrame:
-    """A written table of doc_id and ids (little-endian unsigned 32-bit, ``end_id`` appended). A null text is empty."""
-    shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    end = np.array([end_id], IDS).tobytes()
+FIELDS = [("part", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
+          ("table", pa.binary()), ("blocks", pa.list_(pa.binary())), ("blocks_crc32", pa.int64()), ("ids_crc32", pa.int64())]
+SCHEMA = ("part int, start long, n_ids long, doc_ids array<long>, lengths array<long>, table binary, blocks array<binary>, "
+          "blocks_crc32 long, ids_crc32 long")
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(shipped.value, spaces)
-        for batch in batches:
-            for doc_ids, texts in slices(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(
-                    [ids + end for ids in encoder.encode(texts)], pa.binary())], names=["doc_id", "ids"])
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return written(rows.mapInArrow(encode, "doc_id long, ids binary"), "ids")
+def encode_group(part: int, start: int, doc_ids: list, ids: list[bytes], block_ids: int = BLOCK_IDS) -> tuple:
+    """A group's row from its documents' ids."""
+    joined = b"".join(ids)
+    every = np.frombuffer(joined, IDS)
+    table = table_of(every)
+    coder = Coder(*table)
+    blocks = [coder.encode(every[at:at + block_ids]) for at in range(0, len(every), block_ids)]
+    return (part, start, len(every), doc_ids, [len(x) // 4 for x in ids], zlib.compress(np.stack(table, axis=0).astype(IDS).tobytes()), blocks,
+            zlib.crc32(b"".join(blocks)), zlib.crc32(joined))
 
 
-def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch["ids"].to_pylist():
-            found = np.bincount(np.frombuffer(ids, IDS))
-            if len(found) > len(total):
-                total, found = found, total
-            total[:len(found)] += found
-    there = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["id", "n"])
+def decode_group(row: dict) -> bytes:
+    """All ids of a group, little-endian unsigned 32-bit; an error if it is damaged."""
+    where = f"group {row['part']}/{row['start']}"
+    if zlib.crc32(b"".join(row["blocks"])) != row["blocks_crc32"]:
+        raise ValueError(f"{where} is damaged")
+    coder = Coder(*np.frombuffer(zlib.decompress(row["table"]), IDS).reshape(2, -1).astype(np.int64))
+    raw = b"".join(coder.decode(block).tobytes() for block in row["blocks"])
+    if zlib.crc32(raw) != row["ids_crc32"]:
+        raise ValueError(f"{where} does not decode to the ids it was made of")
+    return raw
 
 
-def write_token_files(encoded: DataFrame, path: str, block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS) -> None:
-    """Writes the format to ``path`` from a table of doc_id and ids. Rows of equal or null doc_id keep an order of their own (by ids).
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, spaces: str = "attached", group_ids: int = GROUP_IDS,
+                      block_ids: int = BLOCK_IDS, file_bytes: int = FILE_BYTES) -> None:
+    """Encodes every text of ``docs``, appends ``end_id``, and writes the files to ``path`` in ascending doc_id order.
 
-    The frequency table covers every id of the table. The driver reads one count per vocabulary entry.
+    A null text counts as empty; a null doc_id comes first. Rows that repeat a doc_id are written each, in the order of a hash of
+    their texts. Texts are dealt by ranges of doc_id to files of about ``file_bytes`` of text, which bounds a task's memory by a
+    group. No table of all ids is ever made: one pass tokenises, counts and encodes.
     """
-    spark = encoded.sparkSession
-    counts = {x["id"]: x["n"] for x in encoded.select("ids").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(
-        F.sum("n").alias("n")).collect()}
-    ids, freqs = table_of(counts)
-    spark.createDataFrame([(int(i), int(f)) for i, f in zip(ids, freqs)], "id long, freq long").coalesce(1).write.parquet(
-        f"{path}/frequencies")
-    table = spark.sparkContext.broadcast((ids, freqs))
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    end = np.array([end_id], IDS).tobytes()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        coder, part, number, before = Coder(*table.value), TaskContext.get().partitionId(), 0, 0
+        encoder, part, before = encoder_of(shipped.value, spaces), TaskContext.get().partitionId(), 0
         doc_ids: list = []
         held: list[bytes] = []
         size = 0
 
-        def block() -> pa.RecordBatch:
-            joined = b"".join(held)
-            payload = coder.encode(np.frombuffer(joined, IDS))
-            row = (part, number, before, len(joined) // 4, list(doc_ids), [len(x) // 4 for x in held], payload, zlib.crc32(payload), zlib.crc32(joined))
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (
-                pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()))],
-                names=["part", "block", "start", "n_ids", "doc_ids", "lengths", "payload", "payload_crc32", "ids_crc32"])
+        def group() -> pa.RecordBatch:
+            row = encode_group(part, before, doc_ids, held, block_ids)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, FIELDS)], names=[n for n, _ in FIELDS])
 
         for batch in batches:
-            for doc_id, raw in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist()):
-                doc_ids.append(doc_id)
-                held.append(raw)
-                size += len(raw) // 4
-                if size >= block_ids:
-                    yield block()
-                    number, before, size = number + 1, before + size, 0
-                    doc_ids.clear()
-                    held.clear()
+            for new, texts in slices([batch["doc_id"]], batch["text"]):
+                for doc_id, ids in zip(new, encoder.encode(texts)):
+                    doc_ids.append(doc_id)
+                    held.append(ids + end)
+                    size += len(ids) // 4 + 1
+                    if size >= group_ids:
+                        yield group()
+                        doc_ids, held, before, size = [], [], before + size, 0
         if held:
-            yield block()
+            yield group()
 
-    total = sum(counts.values())
-    tie = F.xxhash64("ids").alias("_tie")
-    ordered = encoded.select("doc_id", "ids", tie).repartitionByRange(max(1, -(-total // file_ids)), "doc_id", "_tie")
-    ordered.sortWithinPartitions("doc_id", "_tie").drop("_tie").mapInArrow(
-        blocks, "part int, block long, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary, "
-                "payload_crc32 long, ids_crc32 long").write.parquet(f"{path}/blocks")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("_tie"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = rows.repartitionByRange(max(1, -(-total // file_bytes)), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
+    ordered.drop("_tie").mapInArrow(encode, SCHEMA).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids: every document of the files, checksums verified."""
-    table = spark.read.parquet(f"{path}/frequencies").orderBy("id").collect()
-    shipped = spark.sparkContext.broadcast((np.array([x["id"] for x in table], np.int64), np.array([x["freq"] for x in table], np.int64)))
-    blocks = spark.read.parquet(f"{path}/blocks")
+    groups = spark.read.schema(SCHEMA).parquet(path)
     base, before = [], 0
-    for x in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():  # one row a file
+    for x in groups.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():  # one row a file
         base.append((x["part"], before))
         before += x["n"]
     bases = spark.createDataFrame(base, "part int, _base long")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(*shipped.value)
         for batch in batches:
-            for row in batch.to_pylist():
-                if zlib.crc32(row["payload"]) != row["payload_crc32"]:
-                    raise ValueError(f"block {row['part']}/{row['block']} is damaged")
-                raw = coder.decode(row["payload"]).tobytes()
-                if zlib.crc32(raw) != row["ids_crc32"]:
-                    raise ValueError(f"block {row['part']}/{row['block']} does not decode to the ids it was made of")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                raw = decode_group(row)
                 ends = np.cumsum(row["lengths"])
                 starts = ends - row["lengths"]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["start"] + row["_base"]), pa.array(row["lengths"], pa.int64()),
-                    pa.array([raw[4 * a:4 * b] for a, b in zip(starts, ends)], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                for low in range(0, len(ends), 2000):
+                    a, z = starts[low:low + 2000], ends[low:low + 2000]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(row["doc_ids"][low:low + 2000], pa.int64()), pa.array(a + row["start"] + row["_base"]), pa.array(z - a),
+                        pa.array([raw[4 * x:4 * y] for x, y in zip(a, z)], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.join(bases, "part").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return groups.join(bases, "part").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
