@@ -48,9 +48,9 @@ def exact_groups(docs: DataFrame, keep: str = "min", normalise: Callable[[Column
 def drop_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Same rules as ``exact_groups``.
 
-    Only ids of dropped rows are joined to the documents; rows without a doc_id are dropped if their text stays elsewhere.
+    Only ids and hashes of dropped rows are joined to the documents.
     """
-    groups = exact_groups(docs, keep)
-    dropped = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    same_row = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.sha2(ascii_lower(text_or_empty()), 256) == F.col("_sha"))
-    return docs.join(dropped, same_row, "left_anti")
+    dropped = exact_groups(docs, keep).filter(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.sha2(ascii_lower(text_or_empty()), 256).alias("own_sha"))
+    same = rows["doc_id"].eqNullSafe(dropped["id"]) & (rows["own_sha"] == dropped["sha"])
+    return rows.join(dropped, same, "left_anti").select("row.*")

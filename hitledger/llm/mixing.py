@@ -21,9 +21,11 @@ FILLS = 5
 
 @dataclass(frozen=True)
 class Mix:
-    """``words``: (pattern, source_sizes, targets, hash, size, words taken) of every document; ``targets`` by source; ``routes``
-    gives the words that each (pattern, source) contributes."""
+    """``documents``: doc_id, members, size (words), copies and taken (words) of every row. ``targets`` and ``sizes`` by source;
+    ``routes``: words that each (pattern, source) contributes; ``plan``: by pattern, how documents are chosen by their hash."""
     documents: DataFrame
+    plan: DataFrame
+    seed: int
     sizes: dict[str | None, int]
     targets: dict[str | None, float]
     routes: dict[tuple[tuple, str | None], int]
@@ -145,10 +147,7 @@ def mix(docs: DataFrame, members: Column, weights=repeating_weights, share: floa
     refuses more than ``max_patterns``.
     """
     spark = docs.sparkSession
-    text, listed = text_or_empty(), F.sort_array(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))))
-    sized = written(docs.select(
-        "doc_id", listed.alias("members"), F.to_json(listed).alias("_key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", text).alias("_hash")), "mix")
+    sized = written(docs.select("doc_id", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), *_drawn(members, seed)), "mix")
     found = sized.groupBy("_key", "members").agg(F.sum("size").alias("n")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} combinations of sources")
@@ -180,17 +179,24 @@ def mix(docs: DataFrame, members: Column, weights=repeating_weights, share: floa
     plan = spark.createDataFrame(
         [(key, *((rounds.get(key) or (0, 0))[:1]), cuts.get(key, (None, 0))[0], picks.get(key, [])) for key in keys.values()],
         "_key string, _rounds int, _cut long, _picks array<long>")
-    once = F.coalesce(F.col("_hash") < F.col("_cut"), F.lit(False)) | F.array_contains("_picks", F.col("_hash"))
-    copies = F.coalesce("_rounds", F.lit(0)) + F.when(once, 1).otherwise(0)
-    documents = sized.join(plan, "_key", "left").select(
-        "doc_id", "members", "size", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "_hash")
-    return Mix(documents, sizes, targets, routes)
-
-
-def mixed_documents(docs: DataFrame, result: Mix, seed: int = 42) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them, repeated ones that many times, with the columns of ``docs``."""
-    chosen = result.documents.filter("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("_hash").alias("_chosen"), F.col("copies").alias("_copies")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.lit(seed), docs["doc_id"], text_or_empty()) == F.col("_chosen"))
-    repeated = docs.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    documents = sized.join(plan, "_key", "left").select("doc_id", "members", "size", _copies().alias("copies")).withColumn(
+        "taken", F.col("copies") * F.col("size"))
+    return Mix(documents, plan, seed, sizes, targets, routes)
+
+
+def _drawn(members: Column, seed: int) -> list[Column]:
+    """The pattern of a document, its key, and the hash that decides about it."""
+    listed = F.sort_array(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))))
+    return [listed.alias("members"), F.to_json(listed).alias("_key"), F.xxhash64(F.lit(seed), "doc_id", text_or_empty()).alias("_hash")]
+
+
+def _copies() -> Column:
+    once = F.coalesce(F.col("_hash") < F.col("_cut"), F.lit(False)) | F.coalesce(F.array_contains("_picks", F.col("_hash")), F.lit(False))
+    return F.coalesce("_rounds", F.lit(0)) + F.when(once, 1).otherwise(0)
+
+
+def mixed_documents(docs: DataFrame, members: Column, result: Mix) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them, repeated ones that many times, with the columns of ``docs``. No text is shuffled."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_drawn(members, result.seed)).join(result.plan, "_key", "left")
+    return rows.withColumn("copies", _copies()).filter("copies > 0").select(
+        "row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

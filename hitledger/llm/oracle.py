@@ -10,4 +10,21 @@ ORACLE: dict[str, str] = {
                doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
         FROM (SELECT doc_id, {_LOWER} AS norm FROM documents)
         WINDOW same AS (PARTITION BY norm)""",
+    "op8_substring_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        windows AS (
+            SELECT doc_id, s, array_to_string(ws[s + 1 : s + 20], ' ') AS k
+            FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 19)) AS s FROM split WHERE len(ws) >= 20)),
+        later AS (
+            SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+        gone AS (
+            SELECT DISTINCT doc_id, s + j AS i FROM later, (SELECT unnest(range(0, 20)) AS j)),
+        words AS (
+            SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM split),
+        kept AS (
+            SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS text
+            FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM split LEFT JOIN kept USING (doc_id)""",
 }

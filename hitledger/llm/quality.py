@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hitledger.llm.common import let, text_or_empty, words
+from hitledger.llm.common import let, text_or_empty, words, written
 
 # Fixed values of the base rules.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -141,3 +141,10 @@ def with_verdict(statistics: DataFrame, cutoffs: Cutoffs) -> DataFrame:
     for (stratum, rule), level in sorted(cutoffs.levels.items(), key=repr):
         rejected = rejected | (F.col(cutoffs.stratum).eqNullSafe(F.lit(stratum)) & (_level(rule) >= level))
     return statistics.withColumn("kept", ~rejected)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns. Texts are measured once, into a table in the shared folder."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", stratum)
+    measured = written(with_statistics(rows).drop("text"), "measured")
+    return with_verdict(measured, calibrate(measured, labels, stratum)).filter("kept").select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hitledger.llm import exact_dedup, mixing, packing, quality, simhash, substrings, token_files
+from hitledger.llm import exact_dedup, mixing, packing, quality, simhash, substrings, token_counts, token_files, toxicity, url_filter
 from hitledger.llm.common import written
 from hitledger.session import shared_dir
 
@@ -25,6 +25,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = token_counts.zipf_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), scores)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").alias("n_offending"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "token-files")
     token_files.write_token_files(
@@ -32,6 +44,16 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+# Fixed values of the filter: list entries with their verdicts.
+URL_RULES = [url_filter.Rule("net/", "block"), url_filter.Rule("example.net/en/", "allow"), url_filter.Rule("example.com/de/", "block"),
+             url_filter.Rule("org/fr/", "allow")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.train(pages, URL_RULES)).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = mixing.mix(_table(spark, sf_dir, "documents"), F.array("source"))
     by_source = spark.createDataFrame(
@@ -49,7 +71,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenised_pieces(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return packing.pack(pieces)
+    return packing.pack(pieces).drop("part", "nth")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +85,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
+    "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
