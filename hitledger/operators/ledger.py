@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from hitledger import fixed_values as fixed
 
@@ -40,20 +42,33 @@ def with_status(listing: DataFrame, ledger: DataFrame, now: str,
     """Add ``current`` to a listing: whether the file needs no ingest.
 
     A file is current when its ledger entry has the same size and, within a millisecond, the same modification time,
-    or when it was ingested less than ``cooldown_seconds`` before ``now`` (UTC); files without an entry are not.
+    or when it was ingested less than ``cooldown_seconds`` before ``now`` (UTC); files without an entry, or of another
+    path than the entry's (``known_path``), are not.
     """
-    known = ledger.select("source", F.col("mtime").alias("_mtime"), F.col("size").alias("_size"), "ingested_at")
+    known = ledger.select("source", F.col("mtime").alias("_mtime"), F.col("size").alias("_size"), "ingested_at",
+                          F.col("path").alias("known_path"))
     same = (F.abs(F.col("mtime") - F.col("_mtime")) < fixed.MTIME_TOLERANCE_SECONDS) & (F.col("size") == F.col("_size"))
     age = F.lit(now).cast("timestamp_ntz") - F.col("ingested_at")
     recent = (age < F.make_dt_interval(secs=F.lit(cooldown_seconds))) & F.lit(cooldown_seconds > 0)
-    current = F.coalesce(same | F.coalesce(recent, F.lit(False)), F.lit(False))
-    return listing.join(known, "source", "left").select(*listing.columns, current.alias("current"))
+    same_file = F.col("path") == F.col("known_path")
+    current = F.coalesce(same_file & (same | F.coalesce(recent, F.lit(False))), F.lit(False))
+    return listing.join(known, "source", "left").select(*listing.columns, current.alias("current"), "known_path")
 
 
 def changed(listing: DataFrame, ledger: DataFrame, now: str,
             cooldown_seconds: int = fixed.COOLDOWN_SECONDS) -> DataFrame:
     """Files of ``listing`` that need ingesting."""
-    return with_status(listing, ledger, now, cooldown_seconds).filter(~F.col("current")).drop("current")
+    return with_status(listing, ledger, now, cooldown_seconds).filter(~F.col("current")).drop("current", "known_path")
+
+
+def same_names(found: Sequence[Row]) -> dict[str, str]:
+    """Why files can't be told from others: their name stands for another path in the ledger, or twice in the listing."""
+    clashes, paths = {}, {}
+    for f in found:
+        other = paths.setdefault(f.source, f.known_path or f.path)
+        if other != f.path:
+            clashes[f.source] = f"{f.path} has the name of {other}"
+    return clashes
 
 
 def newest_first(ledger: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, functions as F
@@ -22,7 +21,7 @@ _FILE = "source string, path string, mtime double, size bigint, kind string"
 class IngestSummary:
     ingest_id: str
     files_ingested: list[str] = field(default_factory=list)
-    files_unchanged: list[str] = field(default_factory=list)
+    n_unchanged: int = 0
     files_skipped: dict[str, str] = field(default_factory=dict)  # unreadable archives and why
     errors: dict[str, str] = field(default_factory=dict)  # other unreadable files and why
     duration_s: float = 0.0
@@ -30,15 +29,13 @@ class IngestSummary:
 
 @dataclass
 class Settings:
-    """What an ingest may be told: the day of malformed lines, the clock (UTC), locations and limits."""
+    """What an ingest may be told: the day of malformed lines, the clock (UTC; now if None) and locations."""
 
     as_of: str
     now: str | None = None
     cooldown_seconds: int = fixed.COOLDOWN_SECONDS
     retention_days: int = fixed.RETENTION_DAYS
     blocks: DataFrame | None = None
-    caps: Mapping[str, int] | None = None
-    drill: Mapping[str, int | None] = field(default_factory=dict)  # drill-down limits of ``rollups.build``
     keep_staging: bool = False
 
 
@@ -66,8 +63,15 @@ def _write_rollups(store: RollupStore, ingest_id: str, parsed: DataFrame, settin
     pairs = store.spark.read.schema(schemas.PAIRS).parquet(path)
     hot = {} if settings.blocks is None else geo.hot_buckets(parse.requests(parsed))
     store.write_tables(ingest_id, rollups.build(
-        parsed, settings.as_of, settings.caps, pairs, lambda ips: geo.locate(ips, settings.blocks, spread=hot),
-        **settings.drill))
+        parsed, settings.as_of, pairs, lambda ips: geo.locate(ips, settings.blocks, spread=hot)))
+
+
+def _unusable(parsed: DataFrame) -> DataFrame:
+    """(file, error) of files that can't be read, or whose sizes or times sum to more than a bigint holds."""
+    wide = [F.sum(F.abs(F.col(c).cast("decimal(38,0)"))) for c in ("bytes", "response_time_us")]
+    largest = F.lit(2**63 - 1).cast("decimal(38,0)")
+    over = F.when(F.greatest(*wide) > largest, F.lit("sizes or response times sum to more than 2^63 - 1"))
+    return parsed.groupBy("file").agg(F.coalesce(F.min("error"), over).alias("error")).filter("error IS NOT NULL")
 
 
 def _entries(store: RollupStore, ingest_id: str, files: list[Row], parsed: DataFrame, now: str,
@@ -94,8 +98,9 @@ def ingest_listing(store: RollupStore, listing: DataFrame, settings: Settings,
                    ingest_id: str | None = None) -> IngestSummary:
     """Ingest the new and changed log files of a listing; each replaces its earlier version.
 
-    Only the file names, sizes and times come to the driver. An unreadable file is reported and keeps its old rows. An
-    ingest id that is already committed is left as it is.
+    Only names, sizes and times of new and changed files come to the driver. A file that cannot be used is reported and
+    keeps its old rows; the others are ingested. So is a file whose name another directory's file already has in the
+    store. An ingest id that is already committed is left as it is.
     """
     started = time.time()
     ingest_id = ingest_id or new_ingest_id()
@@ -103,13 +108,14 @@ def ingest_listing(store: RollupStore, listing: DataFrame, settings: Settings,
     summary = IngestSummary(ingest_id)
     if store.has_ingest(ingest_id):
         return summary
-    found = lg.with_status(lg.classify(listing), store.ledger(), now, settings.cooldown_seconds).orderBy("source").collect()
-    summary.files_unchanged = [f.source for f in found if f.current]
-    todo = [f for f in found if not f.current]
+    status = lg.with_status(lg.classify(listing), store.ledger(), now, settings.cooldown_seconds)
+    summary.n_unchanged = status.filter("current").count()
+    found = status.filter("NOT current").orderBy("source", "path").collect()
+    summary.errors = lg.same_names(found)
+    todo = [f for f in found if f.source not in summary.errors]
     if todo:
         parsed = _stage(store, ingest_id, source_files.read_lines(store.spark, todo))
-        unreadable = parsed.filter(F.col("outcome") == parse.UNREADABLE).groupBy("file").agg(F.min("error").alias("error"))
-        broken = {r.file: r.error for r in unreadable.collect()}
+        broken = {r.file: r.error for r in _unusable(parsed).collect()}
         if broken:
             names = store.spark.createDataFrame([(b,) for b in broken], "file string")
             parsed = parsed.join(names, "file", "left_anti")
@@ -117,11 +123,11 @@ def ingest_listing(store: RollupStore, listing: DataFrame, settings: Settings,
         if good:
             _write_rollups(store, ingest_id, parsed, settings)
             entries = _entries(store, ingest_id, good, parsed, now, round(time.time() - started, 2))
-            store.append_entries(ingest_id, entries, now)
+            store.append_entries(ingest_id, entries, settings.now)
         summary.files_ingested = [f.source for f in good]
         archives = {f.source for f in todo if f.kind == lg.ARCHIVE}
         summary.files_skipped = {f: why for f, why in broken.items() if f in archives}
-        summary.errors = {f: why for f, why in broken.items() if f not in archives}
+        summary.errors |= {f: why for f, why in broken.items() if f not in archives}
         if not settings.keep_staging:
             store.drop_staging(ingest_id)
     store.enforce_retention(settings.as_of, settings.retention_days)
@@ -133,9 +139,9 @@ def ingest_directory(store: RollupStore, directory: str, settings: Settings,
                      ingest_id: str | None = None) -> IngestSummary:
     """Ingest the new, changed and emptied log files of a directory."""
     listing = source_files.list_files(store.spark, directory)
-    had_rows = store.ledger().filter(F.col("container").isNull() & (F.col("size") > 0))
-    emptied = source_files.emptied(store.spark, had_rows, listing)
-    return ingest_listing(store, listing.unionByName(emptied), settings, ingest_id)
+    had_rows = store.ledger().filter(F.col("container").isNull() & (F.col("size") > 0)).select("source")
+    empty = source_files.empty_files(store.spark, directory).join(had_rows, "source", "left_semi")
+    return ingest_listing(store, listing.unionByName(empty), settings, ingest_id)
 
 
 def ingest_lines(store: RollupStore, lines: DataFrame, settings: Settings, ingest_id: str | None = None) -> str:
@@ -153,7 +159,7 @@ def ingest_lines(store: RollupStore, lines: DataFrame, settings: Settings, inges
         "*", F.col("source").alias("path"), F.unix_seconds(F.lit(now).cast("timestamp")).cast("double").alias("mtime"),
         F.lit(None).cast("string").alias("container"), F.lit(ingest_id).alias("data_id"), F.lit(False).alias("deleted"),
         F.lit(now).cast("timestamp_ntz").alias("ingested_at"), F.lit(round(time.time() - started, 2)).alias("duration_s"))
-    store.append_entries(ingest_id, entries, now)
+    store.append_entries(ingest_id, entries, settings.now)
     if not settings.keep_staging:
         store.drop_staging(ingest_id)
     store.enforce_retention(settings.as_of, settings.retention_days)

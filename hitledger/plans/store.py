@@ -81,6 +81,30 @@ class RollupStore:
         entries = self.ledger().join(gone, "source", "left_semi").withColumn("deleted", F.lit(True))
         self.append_entries(ingest_id, entries, now)
 
+    # files a stream could not use
+
+    def _failed_path(self, stream: str) -> str:
+        return f"{self.root}/failed/{stream}"
+
+    def failed_files(self, stream: str) -> DataFrame:
+        """Listing rows of the files that the stream has to try again, as they are now; files that are gone are left out."""
+        rows = []
+        if versions := session.children(self.spark, self._failed_path(stream)):
+            kept = self.spark.read.schema("source string, path string").parquet(f"{self._failed_path(stream)}/{versions[-1]}")
+            rows = [(f.source, f.path, *status) for f in kept.collect() if (status := session.file_status(self.spark, f.path))]
+        return self.spark.createDataFrame(rows, "source string, path string, mtime double, size bigint")
+
+    def keep_failed(self, stream: str, files: Iterable) -> None:
+        """Replace what ``failed_files`` gives, in a new folder; older ones go once it is complete."""
+        path = self._failed_path(stream)
+        before = session.children(self.spark, path)
+        rows = [(f.source, f.path) for f in files]
+        if rows:
+            number = int(before[-1].removeprefix("v")) + 1 if before else 0
+            self.spark.createDataFrame(rows, "source string, path string").coalesce(1).write.mode("overwrite").parquet(f"{path}/v{number:012d}")
+        for old in before:
+            session.remove(self.spark, f"{path}/{old}")
+
     # rollups
 
     def _write_table(self, ingest_id: str, table: str, rows: DataFrame) -> None:
@@ -145,9 +169,12 @@ class RollupStore:
 
     def compact(self, ingest_id: str, now: str | None = None) -> None:
         """Rewrite the valid rows of all ingests as one and point the ledger to it."""
+        before = session.children(self.spark, self._ledger_path)
         entries = self.ledger()
         has_rows = F.col("data_id").isNotNull()
         self.write_tables(ingest_id, self.tables())
+        if session.children(self.spark, self._ledger_path) != before:
+            raise RuntimeError("another ingest was committed meanwhile; nothing has changed, compact again")
         self.append_entries(ingest_id, entries.withColumn("data_id", F.when(has_rows, F.lit(ingest_id))), now)
 
     def vacuum(self, compacted_id: str) -> int:

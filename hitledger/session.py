@@ -46,6 +46,15 @@ def file_status(spark: SparkSession, path: str) -> tuple[float, int] | None:
     return status.getModificationTime() / 1000, status.getLen()
 
 
+def empty_files(spark: SparkSession, path: str) -> list[tuple[str, str, float, int]]:
+    """Name, path, modification time in seconds and size (0) of the empty files directly under ``path``: one listing."""
+    hadoop, fs = _path(spark, path)
+    statuses = fs.globStatus(hadoop) or []
+    listed = [s for top in statuses for s in fs.listStatus(top.getPath()) if s.isFile() and s.getLen() == 0]
+    return [(s.getPath().getName(), s.getPath().toString(), s.getModificationTime() / 1000, 0) for s in listed
+            if not s.getPath().getName().startswith((".", "_"))]
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names directly under ``path``, none if it does not exist."""
     hadoop, fs = _path(spark, path)

@@ -15,8 +15,8 @@ from hitledger.operators.ledger import ARCHIVE, GZIP, TEXT
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no installed copy of this package
 
 LINES = "source string, file string, line string, error string"
-LINES_PER_BATCH = 10_000
-SPREAD_ABOVE = 128 * 2**20  # compressed files beyond this are parsed by more than the one task that unpacks them
+BLOCKS = "source string, file string, block binary, error string"
+BLOCK_BYTES = 4 * 2**20
 
 
 def as_listing(files: DataFrame) -> DataFrame:
@@ -31,16 +31,13 @@ def list_files(spark: SparkSession, directory: str) -> DataFrame:
     return as_listing(spark.read.format("binaryFile").load(directory))
 
 
-def emptied(spark: SparkSession, known: DataFrame, listing: DataFrame) -> DataFrame:
-    """Known ``(source, path)`` files that are now empty; Spark's listings leave empty files out."""
-    missing = known.join(listing, "source", "left_anti").select("source", "path").collect()
-    rows = [(m.source, m.path, *status) for m in missing
-            if (status := session.file_status(spark, m.path)) and status[1] == 0]
-    return spark.createDataFrame(rows, "source string, path string, mtime double, size bigint")
+def empty_files(spark: SparkSession, directory: str) -> DataFrame:
+    """The empty files directly in ``directory``, which Spark's listings leave out."""
+    return spark.createDataFrame(session.empty_files(spark, directory), "source string, path string, mtime double, size bigint")
 
 
 def _unpack(frames: Iterator) -> Iterator:
-    """Stream the lines of compressed files; a file that fails ends with one null line that tells why."""
+    """Stream compressed files as blocks of whole lines; a file that fails ends with one null block that tells why."""
     import gzip
     import io
     import tarfile
@@ -79,34 +76,35 @@ def _unpack(frames: Iterator) -> Iterator:
             with tarfile.open(fileobj=raw, mode="r|gz") as archive:
                 for member in archive:
                     if member.isfile():
-                        yield f"{name}/{member.name.removeprefix('./')}", archive.extractfile(member)
+                        stream = archive.extractfile(member)
+                        packed = member.name.lower().endswith(".gz")
+                        yield f"{name}/{member.name.removeprefix('./')}", gzip.GzipFile(fileobj=stream) if packed else stream
 
-    def lines(path: str, kind: str, name: str):
+    def blocks(path: str, kind: str, name: str):
         try:
             for source, stream in members(path, kind, name):
-                for line in io.TextIOWrapper(io.BufferedReader(Bytes(stream)), encoding="utf-8", errors="replace"):
-                    yield source, name, line.rstrip("\n"), None
+                reader, rest = io.BufferedReader(Bytes(stream)), b""
+                while chunk := reader.read(BLOCK_BYTES):
+                    head, end, tail = (rest + chunk).rpartition(b"\n")
+                    if end:
+                        yield source, name, head, None
+                    rest = tail
+                if rest:
+                    yield source, name, rest, None
         except Exception as problem:  # any damage makes the whole file unreadable; the caller reports it
             yield name, name, None, repr(problem)
 
-    batch: list[tuple] = []
     for frame in frames:
         for row in frame.itertuples(index=False):
-            for line in lines(row.path, row.kind, row.source):
-                batch.append(line)
-                if len(batch) >= LINES_PER_BATCH:
-                    yield pd.DataFrame(batch, columns=["source", "file", "line", "error"])
-                    batch = []
-    if batch:
-        yield pd.DataFrame(batch, columns=["source", "file", "line", "error"])
+            for block in blocks(row.path, row.kind, row.source):
+                yield pd.DataFrame([block], columns=["source", "file", "block", "error"])
 
 
 def _compressed_lines(spark: SparkSession, files: Sequence[Row]) -> DataFrame:
     rows = spark.createDataFrame([(f.source, f.path, f.kind) for f in files], "source string, path string, kind string")
-    lines = rows.repartition(len(files)).mapInPandas(_unpack, LINES)
-    if max(f.size for f in files) > SPREAD_ABOVE:
-        lines = lines.repartition(max(spark.sparkContext.defaultParallelism, sum(f.size for f in files) // SPREAD_ABOVE))
-    return lines
+    blocks = rows.repartition(len(files)).mapInPandas(_unpack, BLOCKS)
+    line = F.explode_outer(F.split(F.make_valid_utf8(F.col("block").cast("string")), r"\r\n|\r|\n"))
+    return blocks.select("source", "file", line.alias("line"), "error")
 
 
 def _text_lines(spark: SparkSession, files: Sequence[Row]) -> DataFrame:
@@ -120,7 +118,8 @@ def _text_lines(spark: SparkSession, files: Sequence[Row]) -> DataFrame:
 def read_lines(spark: SparkSession, files: Sequence[Row]) -> DataFrame:
     """``(source, file, line)`` of classified listing rows; archive members are sources named ``archive/member``.
 
-    Text is read in splits by many tasks. A compressed stream has one reader, which holds one batch of lines at a time.
+    Text is read in splits by many tasks. A compressed stream has one reader, which hands on blocks of
+    some megabytes; these are split into lines by Spark.
     """
     text = [f for f in files if f.kind == TEXT]
     compressed = [f for f in files if f.kind in (GZIP, ARCHIVE)]

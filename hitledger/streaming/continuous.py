@@ -6,13 +6,15 @@ known path again: logs that still grow need a scheduled ``ingest_directory``, wh
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from hitledger import schemas
+from hitledger import schemas, session
 from hitledger.operators import parse
 from hitledger.plans.ingest import Settings, ingest_listing
 from hitledger.plans.store import RollupStore
@@ -27,29 +29,37 @@ def _started(writer: DataStreamWriter, checkpoint: str, available_now: bool, eve
 
 
 def watch_directory(store: RollupStore, directory: str, checkpoint: str, settings: Callable[[], Settings],
-                    name: str = "watch", files_per_batch: int | None = None, available_now: bool = False,
+                    files_per_batch: int | None = None, available_now: bool = False,
                     every: str = EVERY) -> StreamingQuery:
     """Ingest files as they appear, whole files per micro-batch, text, gzip and archives alike.
 
-    The stream carries only file names; each batch runs the batch ingest under an id made of ``name`` and the batch
-    number, so a replayed batch finds its id committed, or replaces what it had begun. Late lines go to their own day.
+    The stream carries only file names; each batch is a batch ingest of its own. What is a replay is decided by the ledger
+    (name, path, time, size), not by batch numbers, so several streams and new checkpoints may feed one store. The cooldown
+    does not apply, as a stream shows a file once. Files that could not be used are kept in the checkpoint's folder in the
+    store and tried again with the next batch and at the next start. Late lines go to their own day.
     """
     reader = store.spark.readStream.format("binaryFile").schema(schemas.LISTING)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     listing = source_files.as_listing(reader.load(directory))
+    stream = hashlib.sha256(session.qualified(store.spark, checkpoint).encode()).hexdigest()[:16]
 
-    def ingest(files: DataFrame, batch_id: int) -> None:
-        ingest_listing(store, files, settings(), f"{name}-{batch_id:012d}")
+    def ingest(files: DataFrame) -> None:
+        batch = files.unionByName(store.failed_files(stream)).dropDuplicates(["path"]).persist()
+        summary = ingest_listing(store, batch, replace(settings(), cooldown_seconds=0))
+        failed = {**summary.errors, **summary.files_skipped}
+        store.keep_failed(stream, [f for f in batch.select("source", "path").collect() if f.source in failed] if failed else [])
+        batch.unpersist()
 
-    return _started(listing.writeStream.foreachBatch(ingest), checkpoint, available_now, every)
+    ingest(store.spark.createDataFrame([], listing.schema))
+    return _started(listing.writeStream.foreachBatch(lambda files, _: ingest(files)), checkpoint, available_now, every)
 
 
-def windowed_counts(lines: DataFrame, size: str = "1 hour", watermark: str | None = None) -> DataFrame:
+def windowed_counts(lines: DataFrame, size: str = "1 hour", watermark: str | None = "2 days") -> DataFrame:
     """Requests per tumbling window, source and category of a stream (or batch) of ``(source, line)`` rows.
 
-    Without a watermark no late line is dropped and the state keeps every window; with one, windows older than the
-    watermark are closed.
+    Windows older than the watermark are closed and leave the state; later lines for them are dropped. With None no line is
+    dropped and the state keeps every window, for streams that end.
     """
     reqs = parse.requests(parse.parse_lines(lines))
     if watermark:

@@ -35,6 +35,7 @@ def write_tar(path, members):
     with tarfile.open(path, "w:gz") as archive:
         for name, lines in members.items():
             data = "".join(x + "\n" for x in lines).encode()
+            data = gzip.compress(data) if name.lower().endswith(".gz") else data
             entry = tarfile.TarInfo(name)
             entry.size = len(data)
             archive.addfile(entry, io.BytesIO(data))
@@ -54,20 +55,21 @@ def test_all_kinds_of_files(spark, store, tmp_path):
     (tmp_path / "crlf.log").write_bytes((line() + "\r\n" + line() + "\r" + line()).encode() + b" \xff\xfe\n")
     with gzip.open(tmp_path / "b.log.GZ", "wt") as out:
         out.write((line() + "\n") * 5)
-    write_tar(tmp_path / "c.tar.gz", {"x/one.log": [line()] * 3, "y/one.log": [line()] * 2, "empty.log": []})
+    write_tar(tmp_path / "c.tar.gz", {"x/one.log": [line()] * 3, "y/one.log": [line()] * 2, "empty.log": [], "z/old.log.1.GZ": [line()] * 6})
     (tmp_path / "sub").mkdir()
     write(tmp_path / "sub" / "deep.log", [line()])
     assert ingest.has_pending_work(store, str(tmp_path))
     summary = ingest_directory(store, str(tmp_path), at(0))
     assert summary.files_ingested == ["b.log.GZ", "c.tar.gz", "crlf.log", "plain [1].log"]
-    assert (summary.files_unchanged, summary.files_skipped, summary.errors) == ([], {}, {})
+    assert (summary.n_unchanged, summary.files_skipped, summary.errors) == (0, {}, {})
     by_source = {r.source: r.total_requests for r in store.tables()["daily_totals"].filter(
         "category = 'all' AND total_requests > 0").collect()}
-    assert by_source == {"plain [1].log": 4, "crlf.log": 3, "b.log.GZ": 5, "c.tar.gz/x/one.log": 3, "c.tar.gz/y/one.log": 2}
+    assert by_source == {"plain [1].log": 4, "crlf.log": 3, "b.log.GZ": 5, "c.tar.gz/x/one.log": 3, "c.tar.gz/y/one.log": 2,
+                         "c.tar.gz/z/old.log.1.GZ": 6}
     rows = {r.source: r.rows_ingested for r in store.ledger().collect()}
     assert rows == {**by_source, "c.tar.gz": 0}
     again = ingest_directory(store, str(tmp_path), at(30))
-    assert again.files_ingested == [] and again.files_unchanged == summary.files_ingested
+    assert again.files_ingested == [] and again.n_unchanged == 4
     assert not ingest.has_pending_work(store, str(tmp_path))
 
 
@@ -196,3 +198,76 @@ def test_empty_store_answers(store):
     traffic = Traffic(store.tables())
     assert traffic.available_years("all").isEmpty() and traffic.subnets("all", *DAYS).isEmpty()
     assert traffic.totals("all", *DAYS).first().total_requests == 0
+
+
+def test_sizes_beyond_a_bigint_fail_their_file_alone(store, tmp_path):
+    write(tmp_path / "good.log", [line(size=str(2**63 - 1)), line()])
+    write(tmp_path / "bad.log", [line(size=str(2**63 - 1))] * 2)
+    write(tmp_path / "fine.log", [line(size=str(2**63 - 1))])
+    write(tmp_path / "good.log", [line()] * 2)
+    summary = ingest_directory(store, str(tmp_path), at(0))
+    assert summary.files_ingested == ["fine.log", "good.log"] and set(summary.errors) == {"bad.log"}
+    assert "2^63" in summary.errors["bad.log"] and total(store) == 3
+
+
+def test_blocks_of_a_compressed_file_lose_no_line(spark, store, tmp_path, monkeypatch):
+    from hitledger.sources import files
+    monkeypatch.setattr(files, "BLOCK_BYTES", 1000)
+    lines = [line(path=f"/{i}") for i in range(300)] + ["x" * 5000] + [line(path="/last")]
+    with gzip.open(tmp_path / "a.log.gz", "wb") as out:
+        out.write("\n".join(lines).encode())
+    ingest_directory(store, str(tmp_path), at(0))
+    assert total(store) == 301
+    assert store.tables()["daily_paths"].filter("category = 'all'").select("path").distinct().count() == 301
+
+
+def test_same_name_in_two_directories_is_refused(store, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        write(tmp_path / name / "a.log", [line()] * (2 if name == "one" else 9))
+    assert ingest_directory(store, str(tmp_path / "one"), at(0)).files_ingested == ["a.log"]
+    summary = ingest_directory(store, str(tmp_path / "two"), at(30))
+    assert summary.files_ingested == [] and "has the name of" in summary.errors["a.log"] and total(store) == 2
+
+
+def test_drill_downs_hold_everything(spark, store):
+    """More clients, paths of a client and clients of a path than any top list has."""
+    lines = [line(ip=f"10.1.{i // 250}.{i % 250}", path="/common") for i in range(600)]
+    lines += [line(ip="10.1.2.99", path=f"/p{i}") for i in range(25)] + [line(path=f"/q{i}/needle") for i in range(1150)]
+    ingest_lines(store, frame(spark, lines), at(0), "one")
+    traffic = Traffic(store.tables())
+    assert traffic.drill_path_total("/common", *DAYS, limit=1000).first().total_requests == 600
+    assert traffic.drill_path("/common", *DAYS, limit=1000).count() == 600
+    assert traffic.drill_ip("10.1.2.99", *DAYS, limit=100).count() == 26
+    assert all(traffic.drill_ip(f"10.1.{i // 250}.{i % 250}", *DAYS).count() == 1 for i in (0, 555, 598))
+    assert traffic.search_paths("/q1149/", "all", *DAYS).count() == 1
+    assert traffic.search_paths("/needle", "all", *DAYS).count() == 1150
+
+
+def test_driver_work_does_not_grow_with_history(spark, store, tmp_path, monkeypatch):
+    """Sources that are gone and earlier ingests cost no file-system calls."""
+    write(tmp_path / "a.log", [line()])
+    gone = spark.range(1000).selectExpr("concat('gone', id) AS source", "concat('/old/gone', id) AS path", "1.0D AS mtime", "9L AS size",
+        "timestamp_ntz'2025-03-01 00:00:00' AS ingested_at", "1L AS rows_ingested", "0.0D AS duration_s", "cast(null AS string) AS container",
+        "cast(null AS string) AS data_id", "false AS deleted")
+    store.append_entries("old", gone, "2025-03-01 00:00:00")
+    calls = []
+    for name in ("file_status", "exists", "children", "empty_files"):
+        whole = getattr(session, name)
+        monkeypatch.setattr(session, name, lambda *a, f=whole, n=name: calls.append(n) or f(*a))
+    ingest_directory(store, str(tmp_path), at(0))
+    assert len(calls) < 60 and "file_status" not in calls
+
+
+def test_compact_refuses_when_the_ledger_moved(spark, store, monkeypatch):
+    ingest_lines(store, frame(spark, [line()] * 2), at(0), "one")
+    write_tables = store.write_tables
+
+    def interrupted(ingest_id, tables):
+        write_tables(ingest_id, tables)
+        monkeypatch.undo()
+        ingest_lines(store, frame(spark, [line()] * 5), at(2), "two")
+    monkeypatch.setattr(store, "write_tables", interrupted)
+    with pytest.raises(RuntimeError, match="compact again"):
+        store.compact("whole", "2025-03-10 10:07:00")
+    assert total(store) == 5

@@ -8,7 +8,7 @@ LEDGER = "source string, mtime double, size bigint, ingested_at string"
 
 def changed(spark, entries, listing, cooldown=300):
     known = spark.createDataFrame(entries, LEDGER).selectExpr(
-        "source", "mtime", "size", "CAST(ingested_at AS timestamp_ntz) AS ingested_at")
+        "source", "concat('/x/', source) AS path", "mtime", "size", "CAST(ingested_at AS timestamp_ntz) AS ingested_at")
     files = spark.createDataFrame(listing, "source string, path string, mtime double, size bigint")
     return {r.source for r in ledger.changed(files, known, NOW, cooldown).collect()}
 
@@ -31,6 +31,15 @@ def test_currency(spark, entry, disk, cooldown, current):
     assert changed(spark, entries, [("a.log", "/x/a.log", *disk)], cooldown) == (set() if current else {"a.log"})
 
 
+def test_a_name_stands_for_one_path(spark):
+    known = spark.createDataFrame([("a.log", "/x/a.log", 1.0, 1)], "source string, path string, mtime double, size bigint").selectExpr(
+        "*", "timestamp_ntz'2025-03-10 11:59:00' AS ingested_at")
+    files = spark.createDataFrame([("a.log", "/y/a.log", 1.0, 1), ("b.log", "/x/b.log", 1.0, 1), ("b.log", "/y/b.log", 1.0, 1), ("c.log", "/y/c.log", 1.0, 1)],
+                                  "source string, path string, mtime double, size bigint")
+    found = ledger.with_status(files, known, NOW).filter("NOT current").orderBy("source", "path").collect()
+    assert len(found) == 4 and set(ledger.same_names(found)) == {"a.log", "b.log"}
+
+
 def test_kinds(spark):
     names = {"access.log": "text", "access": "text", "logfile.2020-01-01": "text", "a.log.GZ": "gzip", "a.TAR.GZ": "archive",
              "a.tar.gz": "archive", "a.tgz": "text", "x.duckdb": None, "x.wal": None, "x.DB": None, "x.json": None,

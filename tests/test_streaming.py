@@ -1,3 +1,4 @@
+import gzip
 import os
 
 from hitledger import session
@@ -48,20 +49,49 @@ def test_watched_directory_equals_batch(spark, tmp_path):
     run(checkpoint)
     for table in ("daily_totals", "daily_paths", "hourly_totals", "daily_ip_paths"):
         assert stored_rows(store, table) == batch_rows(spark, logs, table)
-    assert {r.ingest_id for r in store.ledger().collect()} == {f"watch-{i:012d}" for i in range(3)}
-    run(session.shared_dir(spark, "checkpoint"))  # a replay under the same ids
+    run(session.shared_dir(spark, "checkpoint"))  # a new checkpoint shows all files again
     logs["d.log"] = [line(at="2025-03-01T11:00:00")]
     (tmp_path / "d.log").write_text(logs["d.log"][0] + "\n")
     run(checkpoint)  # the next batch of the first stream
     assert stored_rows(store, "hourly_totals") == batch_rows(spark, logs, "hourly_totals")
 
 
+def total(store):
+    return store.tables()["daily_totals"].filter("category = 'all'").agg(F.coalesce(F.sum("total_requests"), F.lit(0))).first()[0]
+
+
+def watch(store, directory, checkpoint):
+    continuous.watch_directory(store, str(directory), checkpoint, settings, available_now=True).awaitTermination()
+
+
+def test_no_file_is_lost(spark, tmp_path):
+    """Two directories, a grown file under a new checkpoint, and a truncated file completed later, all into one store."""
+    store, one, two = RollupStore(spark, session.shared_dir(spark, "store")), tmp_path / "one", tmp_path / "two"
+    for directory, n in ((one, 2), (two, 3)):
+        directory.mkdir()
+        (directory / f"{directory.name}.log").write_text((line() + "\n") * n)
+    checkpoints = [session.shared_dir(spark, "checkpoint") for _ in range(3)]
+    watch(store, one, checkpoints[0])
+    watch(store, two, checkpoints[1])
+    assert total(store) == 5
+    (one / "one.log").write_text((line() + "\n") * 7)  # within the cooldown of its ingest
+    whole = gzip.compress("".join(f"{line(path=f'/{i}')}\n" for i in range(5000)).encode())
+    (one / "late.log.gz").write_bytes(whole[:-500])
+    watch(store, one, checkpoints[2])
+    assert total(store) == 10
+    (one / "late.log.gz").write_bytes(whole)
+    watch(store, one, checkpoints[2])  # the stream shows no new file
+    assert total(store) == 5010
+    watch(store, one, checkpoints[2])
+    assert total(store) == 5010 and store.failed_files("x").isEmpty()
+
+
 def test_live_counts_equal_batch_and_keep_late_lines(spark, tmp_path):
     logs = write_logs(tmp_path)
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(str(tmp_path)).select(
         F.col("_metadata.file_name").alias("source"), F.col("value").alias("line"))
     path = session.shared_dir(spark, "counts")
-    continuous.keep_updates(continuous.windowed_counts(lines), path, session.shared_dir(spark, "checkpoint"),
+    continuous.keep_updates(continuous.windowed_counts(lines, watermark=None), path, session.shared_dir(spark, "checkpoint"),
                             available_now=True).awaitTermination()
     got = continuous.latest_counts(spark, path).withColumnRenamed("start", "hour")
     assert sorted(map(str, got.select(sorted(got.columns)).collect())) == batch_rows(spark, logs, "hourly_totals")
