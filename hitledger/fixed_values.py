@@ -65,13 +65,7 @@ RETENTION_DAYS = 1095
 COOLDOWN_SECONDS = 300
 MTIME_TOLERANCE_SECONDS = 0.001
 SUBNET_ALERT_PCT = 20.0
-USER_AGENTS_PER_BUCKET = 5_000
-REFERERS_PER_BUCKET = 5_000
-PATHS_PER_BUCKET = 50_000
-IPS_PER_BUCKET = 50_000
-DRILL_IPS_PER_DAY = 500
 DRILL_PATHS_PER_IP = 20
-DRILL_PATHS_PER_DAY = 500
 DRILL_IPS_PER_PATH = 20
 ALL_PATHS = 1000
 TOP_PATHS = 10
@@ -84,6 +78,5 @@ TOP_SUBNETS = 50
 DRILL_ROWS = 20
 DRILL_MAP_KEYS = 200
 LOG_TAIL = 200
-LOG_TAIL_MAX = 1000
 FIRST_YEAR = 1970
 LAST_YEAR = 9999

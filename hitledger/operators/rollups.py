@@ -7,8 +7,6 @@ rows, so requests are neither doubled before the shuffle nor aggregated twice.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -72,11 +70,8 @@ def daily_totals(parsed: DataFrame, as_of: str) -> DataFrame:
             .select("day", "category", "source", "total_requests", "bytes_total", "errors", "rt_sum", "rt_n"))
 
 
-def keyed_counts(reqs: DataFrame, table: str, cap: int | None = None, enrich: Step | None = None) -> DataFrame:
-    """Requests per value of the table's key, with the columns that ``enrich`` adds to the counted keys.
-
-    ``cap`` keeps the most requested keys of each day, category and source.
-    """
+def keyed_counts(reqs: DataFrame, table: str, enrich: Step | None = None) -> DataFrame:
+    """Requests per value of the table's key, with the columns that ``enrich`` adds to the counted keys."""
     key = KEYED_TABLES[table]
     counted = {
         "user_agent": F.col(key) != fixed.ABSENT,
@@ -84,8 +79,12 @@ def keyed_counts(reqs: DataFrame, table: str, cap: int | None = None, enrich: St
     }.get(key, F.col(key).isNotNull())
     rows = _counted(reqs.filter(counted), ["day", "source", key], enrich)
     added = [c for c in rows.columns if c not in ("day", "category", "source", key, "count")]
-    rows = rows.select("day", "category", "source", key, "count", *added)
-    return rows if cap is None else top_per_group(rows, ["day", "category", "source"], "count", [key], cap)
+    return rows.select("day", "category", "source", key, "count", *added)
+
+
+def busiest_keys(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` most requested keys of each day, category and source, for a report; rollups hold all keys."""
+    return top_per_group(rows, ["day", "category", "source"], "count", [key], n)
 
 
 def hourly_totals(reqs: DataFrame) -> DataFrame:
@@ -98,26 +97,15 @@ def ip_path_pairs(reqs: DataFrame) -> DataFrame:
             .groupBy("day", "source", "ip", "path").agg(F.count("*").alias("count")))
 
 
-def top_pairs(pairs: DataFrame, outer: str, inner: str, outer_n: int | None, inner_n: int | None) -> DataFrame:
-    """Per day and source the busiest ``outer`` keys, each with its busiest ``inner`` keys; None keeps all."""
-    day = ["day", "source"]
-    if outer_n is None:
-        kept = pairs
-    else:
-        kept = _of_busiest(pairs, day, outer, outer_n)
-    if inner_n is not None:
-        kept = top_per_group(kept, [*day, outer], "count", [inner], inner_n)
-    return kept.select(*day, outer, inner, "count")
-
+def top_pairs(pairs: DataFrame, outer: str, inner: str, outer_n: int, inner_n: int) -> DataFrame:
+    """Per day and source the ``outer_n`` busiest ``outer`` keys, each with its ``inner_n`` busiest ``inner`` keys.
 
-def _of_busiest(pairs: DataFrame, day: list[str], outer: str, outer_n: int) -> DataFrame:
-    busiest = top_per_group(pairs.groupBy(*day, outer).agg(F.sum("count").alias("n")), day, "n", [outer], outer_n)
-    keys = [*day, outer]
-    wanted = busiest.select(*(F.col(k).alias(f"_{k}") for k in keys))
-    # ``wanted`` is unique, so the inner join only filters; unlike a semi join it stays above the aggregation of pairs.
-    # With null-safe keys no null filters are inferred, and both uses of ``pairs`` share one shuffle.
-    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
-    return pairs.join(wanted, same).select(*pairs.columns)
+    Inner keys are ranked first: each task keeps at most ``inner_n`` rows of a key before the shuffle, so no hot key is joined.
+    """
+    keys = ["day", "source", outer]
+    ranked = top_per_group(pairs, keys, "count", [inner], inner_n)
+    busiest = top_per_group(pairs.groupBy(*keys).agg(F.sum("count").alias("n")), keys[:2], "n", [outer], outer_n)
+    return ranked.join(busiest.select(*keys), keys).select(*keys, inner, "count")
 
 
 class Rollups(Mapping[str, DataFrame]):
@@ -136,27 +124,23 @@ class Rollups(Mapping[str, DataFrame]):
         return len(self._plans)
 
 
-def build(parsed: DataFrame, as_of: str, caps: Mapping[str, int] | None = None, pairs: DataFrame | None = None,
-          locate: Step | None = None, drill_ips: int | None = fixed.DRILL_IPS_PER_DAY,
-          paths_per_ip: int | None = fixed.DRILL_PATHS_PER_IP, drill_paths: int | None = fixed.DRILL_PATHS_PER_DAY,
-          ips_per_path: int | None = fixed.DRILL_IPS_PER_PATH) -> Rollups:
-    """All ten rollups, unevaluated.
+def build(parsed: DataFrame, as_of: str, pairs: DataFrame | None = None, locate: Step | None = None) -> Rollups:
+    """All ten rollups, unevaluated and complete.
 
-    ``caps`` optionally limits the keys of single tables; ``pairs`` may give ready ``ip_path_pairs``; ``locate`` adds the
-    location columns of ``daily_ips`` from its ``ip``. The drill-down tables hold the busiest keys per day and source,
-    or with None for a limit all of them.
+    ``pairs`` may give ready ``ip_path_pairs``; ``locate`` adds the location columns of ``daily_ips`` from its ``ip``.
+    The two drill-down tables hold every pair, each ordered for lookups by its first key.
     """
-    def drill(outer: str, inner: str, outer_n: int | None, inner_n: int | None) -> DataFrame:
-        return top_pairs(ip_path_pairs(requests(parsed)) if pairs is None else pairs, outer, inner, outer_n, inner_n)
+    def drill(outer: str, inner: str) -> DataFrame:
+        every = ip_path_pairs(requests(parsed)) if pairs is None else pairs
+        return every.select("day", "source", outer, inner, "count")
 
     def keyed(table: str) -> Callable[[], DataFrame]:
-        enrich = locate if table == "daily_ips" else None
-        return lambda: keyed_counts(requests(parsed), table, (caps or {}).get(table), enrich)
+        return lambda: keyed_counts(requests(parsed), table, locate if table == "daily_ips" else None)
 
     return Rollups({
         "daily_totals": lambda: daily_totals(parsed, as_of),
         **{table: keyed(table) for table in KEYED_TABLES},
         "hourly_totals": lambda: hourly_totals(requests(parsed)),
-        "daily_ip_paths": lambda: drill("ip", "path", drill_ips, paths_per_ip),
-        "daily_path_ips": lambda: drill("path", "ip", drill_paths, ips_per_path),
+        "daily_ip_paths": lambda: drill("ip", "path"),
+        "daily_path_ips": lambda: drill("path", "ip"),
     })

@@ -69,6 +69,9 @@ class Traffic:
         return self.tables[table].filter(
             (F.col("category") == check_category(category)) & _in_days(from_day, to_day))
 
+    def _scope_of_all(self, table: str) -> DataFrame:
+        return self.tables[table].filter(F.col("category") == "all")
+
     def _by_key(self, table: str, key: str, scope: tuple[str, str, str]) -> DataFrame:
         return self._scope(table, *scope).groupBy(key).agg(_total())
 
@@ -112,9 +115,9 @@ class Traffic:
         return top(self._by_key("daily_paths", "path", (category, from_day, to_day)), "n", ["path"], limit)
 
     def search_paths(self, needle: str, category: str, from_day: str, to_day: str) -> DataFrame:
-        """Those of the top paths that contain ``needle``."""
-        found = self.top_paths(category, from_day, to_day).filter(F.contains(F.col("path"), F.lit(needle)))
-        return found.orderBy(F.col("n").desc(), "path")
+        """Every path that contains ``needle``, busiest first; the store's scan filters before anything is counted."""
+        found = self._scope("daily_paths", category, from_day, to_day).filter(F.contains(F.col("path"), F.lit(needle)))
+        return found.groupBy("path").agg(_total()).orderBy(F.col("n").desc(), "path")
 
     def top_user_agents(self, category: str, from_day: str, to_day: str,
                         limit: int = fixed.TOP_USER_AGENTS) -> DataFrame:
@@ -169,7 +172,7 @@ class Traffic:
 
     def drill_ip_total(self, ip: str, from_day: str, to_day: str, limit: int = fixed.DRILL_ROWS) -> DataFrame:
         """Sum over the listed rows of ``drill_ip``, with the client's latest known location."""
-        place = geo.latest(self.tables["daily_ips"].filter(F.col("ip") == F.lit(ip)))
+        place = geo.latest(self._scope_of_all("daily_ips").filter(F.col("ip") == F.lit(ip)))
         listed = self.drill_ip(ip, from_day, to_day, limit).agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("total_requests"))
         return listed.select(F.lit(ip).alias("ip"), "total_requests",
@@ -255,5 +258,5 @@ def nested(pairs: DataFrame, outer: str, inner: str) -> DataFrame:
 
 def recent_records(records: DataFrame, n: int = fixed.LOG_TAIL, level: str | None = None) -> DataFrame:
     """The last ``n`` log records by ``ts`` (ties by ``id``), then those of one level among them."""
-    tail = records.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(min(n, fixed.LOG_TAIL_MAX))
+    tail = records.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(n)
     return tail.filter(F.col("level") == level.upper()) if level else tail

@@ -24,7 +24,7 @@ def tables(spark):
     rows = frame(spark, lines["a.log"]).unionByName(frame(spark, lines["b.log"], "b.log"))
     path = spark.conf.get("spark.checkpoint.dir") + "/parsed"
     parse.parse_lines(rows).write.mode("overwrite").parquet(path)
-    return rollups.build(spark.read.parquet(path), AS_OF, drill_ips=5, paths_per_ip=2, drill_paths=4, ips_per_path=3)
+    return rollups.build(spark.read.parquet(path), AS_OF)
 
 
 KEYS = {"daily_totals": ["day", "category", "source"], "hourly_totals": ["hour", "category", "source"],
@@ -83,18 +83,34 @@ def _drill(pairs, outer, inner, outer_n, inner_n):
     return kept
 
 
-def test_drill_tables(spark, tables):
+def _pairs(spark):
     parsed = spark.read.parquet(spark.conf.get("spark.checkpoint.dir") + "/parsed")
-    pairs = [r.asDict() for r in rollups.ip_path_pairs(parse.requests(parsed)).collect()]
-    for table, outer, inner, outer_n, inner_n in (("daily_ip_paths", "ip", "path", 5, 2), ("daily_path_ips", "path", "ip", 4, 3)):
-        got = {(r.day, r.source, r[outer], r[inner], r["count"]) for r in tables[table].collect()}
-        assert got == _drill(pairs, outer, inner, outer_n, inner_n)
+    return rollups.ip_path_pairs(parse.requests(parsed))
 
 
-def test_drill_pairs_share_one_shuffle(spark, tables):
-    rows = tables["daily_ip_paths"]
-    rows.collect()
-    assert "ReusedExchange" in rows._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("outer, inner, outer_n, inner_n", [("ip", "path", 5, 2), ("path", "ip", 4, 3)])
+def test_top_pairs(spark, tables, outer, inner, outer_n, inner_n):
+    pairs = _pairs(spark)
+    got = {tuple(r) for r in rollups.top_pairs(pairs, outer, inner, outer_n, inner_n).collect()}
+    assert got == _drill([r.asDict() for r in pairs.collect()], outer, inner, outer_n, inner_n)
+
+
+def test_drill_tables_hold_all_pairs(spark, tables):
+    for table, (outer, inner) in rollups.PAIR_TABLES.items():
+        same = _pairs(spark).select("day", "source", outer, inner, "count")
+        assert tables[table].exceptAll(same).isEmpty() and same.exceptAll(tables[table]).isEmpty()
+
+
+def test_inner_keys_are_cut_before_the_join(spark, tables):
+    """With no broadcast: each task keeps its first rows of a key below the join, and pairs are shuffled once for their ranks."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = rollups.top_pairs(_pairs(spark), "ip", "path", 5, 2)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("SortMergeJoin") < plan.index("WindowGroupLimit") and "Partial" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 @pytest.mark.parametrize("n", [1, 3, 7, 1500])
@@ -109,9 +125,9 @@ def test_top_per_group_with_a_hot_group(spark, n):
     assert {tuple(r) for r in got.collect()} == expected
 
 
-def test_cap_keeps_the_most_requested_keys(spark):
+def test_busiest_keys_of_each_day(spark):
     reqs = parse.requests(parse.parse_lines(frame(spark, [line(path=p) for p in ("/a", "/b", "/b", "/c", "/c", "/c")])))
-    kept = rollups.keyed_counts(reqs, "daily_paths", cap=2).filter("category = 'all'").collect()
+    kept = rollups.busiest_keys(rollups.keyed_counts(reqs, "daily_paths"), "path", 2).filter("category = 'all'").collect()
     assert {(r.path, r["count"]) for r in kept} == {("/c", 3), ("/b", 2)}
 
 

@@ -36,17 +36,17 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                              'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'), mon), '/', substr(t, 1, 4), ':',
                              substr(t, 12, 8)) END AS time,
                    CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'get' WHEN 'signup' THEN 'POST'
-                                   WHEN 'purchase' THEN 'PUT' ELSE 'LEAKIX' END AS method,
+                                   WHEN 'purchase' THEN 'PUT' ELSE 'NOVERB' END AS method,
                    concat(regexp_replace(p.url, '^https?://[^/]+', ''), IF(k % 9 = 0, '//', '')) AS target,
                    CASE WHEN event_type = 'error' THEN '500' WHEN k % 13 = 0 THEN '404' ELSE '200' END AS status,
                    CASE k % 5 WHEN 0 THEN '-' WHEN 1 THEN 'http://-' ELSE p.url END AS referer,
                    CASE u % 8
-                        WHEN 0 THEN 'Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.google.com/bot.html)'
-                        WHEN 1 THEN 'curl/7.88' WHEN 2 THEN '-' WHEN 3 THEN ''
-                        WHEN 4 THEN 'Mozilla/5.0 (X11; Linux x86_64; rv:120.0) Gecko/20100101 Firefox/121.0'
-                        WHEN 5 THEN 'Mozilla/5.0 (Windows NT 10.0; Win64; x64) Chrome/125.0.0.0 Safari/537.36'
-                        WHEN 6 THEN 'Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) Version/17.0 Safari/605.1.15'
-                        ELSE 'python-requests/2.31' END AS agent
+                        WHEN 0 THEN 'Fetchbot/4.2 (nightly)'
+                        WHEN 1 THEN 'curl/8.9' WHEN 2 THEN '-' WHEN 3 THEN ''
+                        WHEN 4 THEN 'Lynx/2.9 libwww-FM/2.14'
+                        WHEN 5 THEN 'NetSurf/3.11 (Linux)'
+                        WHEN 6 THEN 'Dillo/3.1 (X11; Linux)'
+                        ELSE 'python-requests/2.32' END AS agent
             FROM visits v JOIN hl_pages p ON p.page_id = v.page_id)
         SELECT k AS event_id, concat('access_', k % 4, '.log') AS source,
                CASE WHEN k % 101 = 7 THEN concat('garbage line ', k)
@@ -58,10 +58,10 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IPv4 network blocks with gaps, one for most rows of ``nation``."""
+    """IPv4 network blocks, one for each row of ``nation``; some networks of the log's clients have none."""
     k = F.col("n_nationkey").cast("bigint")
-    lo = F.lit(10 * 2**24) + k % 3 * 2**16 + k % 7 * 2**8
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").filter((k < 21) & (k % 5 != 4)).select(
+    lo = F.lit(10 * 2**24) + k % 4 * 2**16 + k % 7 * 2**8
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(
         lo.alias("lo"), (lo + 255).alias("hi"), F.concat(F.lit("C"), k.cast("string")).alias("country_code"),
         F.col("n_name").alias("country"),
         F.when(k % 4 != 3, F.concat("n_name", F.lit(" City"))).alias("city"))

@@ -10,8 +10,8 @@ from hitledger import session
 KINDS = {"access_0.log": "text", "access_1.log": "gzip", "access_2.log": "archive", "access_3.log": "archive"}
 
 
-def write_log_files(lines: DataFrame, directory: str, all_text: bool = False, key: str = "event_id") -> int:
-    """Write ``(source, line)`` rows into ``directory``; returns the number of lines."""
+def write_log_files(lines: DataFrame, directory: str, all_text: bool = False, key: str = "event_id", prefix: str = "") -> int:
+    """Write ``(source, line)`` rows into ``directory``; returns the number of lines. ``prefix`` begins all names."""
     spark = lines.sparkSession
     target = session.qualified(spark, directory)
     kinds = {name: "text" for name in KINDS} if all_text else KINDS
@@ -43,15 +43,17 @@ def write_log_files(lines: DataFrame, directory: str, all_text: bool = False, ke
         for frame in frames:
             for source, rows in frame.groupby("source"):
                 data = ("\n".join(rows["line"]) + "\n").encode()
-                stem = source.removesuffix(".log")
+                stem = prefix + source.removesuffix(".log")
                 count += len(rows)
                 if kinds[source] == "text":
                     output(f"{stem}-{task}.log").write(data)
                 elif kinds[source] == "gzip":
                     output(f"{stem}-{task}.log.gz").write(gzip.compress(data))  # members of one stream
                 else:
-                    bundle = bundle or tarfile.open(fileobj=output(f"bundle-{task}.tar.gz"), mode="w|gz")
-                    entry = tarfile.TarInfo(f"{stem}-{members}.log")
+                    bundle = bundle or tarfile.open(fileobj=output(f"{prefix}bundle-{task}.tar.gz"), mode="w|gz")
+                    if members % 2:  # rotated members are compressed themselves
+                        data = gzip.compress(data)
+                    entry = tarfile.TarInfo(f"{stem}-{members}.log{'.gz' if members % 2 else ''}")
                     entry.size, members = len(data), members + 1
                     bundle.addfile(entry, io.BytesIO(data))
         if bundle:

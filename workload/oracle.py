@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+from hitledger import fixed_values as fixed
+
 AS_OF, FROM_DAY, TO_DAY = "DATE '2024-01-31'", "DATE '2024-01-10'", "DATE '2024-01-20'"
 DRILL_IP, DRILL_PATH = "10.1.2.16", "/fr/825"
 
+# The log line without the inner structure of its time and request; see hitledger.fixed_values.ACCESS_LINE.
 _LINE = (r'^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"([^"]*)"\s+(\d{3})\s+(\S+)'
          r'(?:\s+"([^"]*)")?(?:\s+"([^"]*)")?(?:\s+(\d+))?')
-_BOTS = (r"bot\b|crawler|spider|slurp|mediapartners|googlebot|bingbot|baiduspider|yandex|duckduck|facebookexternal|"
-         r"ahrefsbot|semrushbot|mj12bot|petalbot|check_http|monitoring|keepaliveclient|python-requests|python-urllib|"
-         r"curl/|wget/|go-http-client|java/|headless|scrapy|httpx|apache-httpclient|okhttp|heritrix|archive\.org")
-_METHODS = ("'GET','HEAD','POST','PUT','DELETE','CONNECT','OPTIONS','TRACE','PATCH','PROPFIND','PROPPATCH','MKCOL',"
-            "'COPY','MOVE','LOCK','UNLOCK','PRI','SEARCH'")
+_BOTS = "|".join([fixed.BOT_WORD_END + r"\b", *map(re.escape, fixed.BOT_MARKS)])
+_METHODS = ",".join(f"'{m}'" for m in fixed.HTTP_METHODS)
 
 _BASE = rf"""
 WITH raw_log AS MATERIALIZED (
@@ -23,19 +25,19 @@ WITH raw_log AS MATERIALIZED (
             || (CASE WHEN k % 103 = 5 THEN '01/Jan/2024:25:00:00' ELSE strftime(ts, '%d/%b/%Y:%H:%M:%S') END)
             || ' +0000] "'
             || (CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'get' WHEN 'signup' THEN 'POST'
-                                WHEN 'purchase' THEN 'PUT' ELSE 'LEAKIX' END)
+                                WHEN 'purchase' THEN 'PUT' ELSE 'NOVERB' END)
             || ' ' || regexp_replace(url, '^https?://[^/]+', '') || (CASE WHEN k % 9 = 0 THEN '//' ELSE '' END)
             || ' HTTP/1.1" '
             || (CASE WHEN event_type = 'error' THEN '500' WHEN k % 13 = 0 THEN '404' ELSE '200' END) || ' '
             || (CASE WHEN k % 17 = 0 THEN '-' ELSE CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) END)
             || ' "' || (CASE k % 5 WHEN 0 THEN '-' WHEN 1 THEN 'http://-' ELSE url END) || '" "'
             || (CASE u % 8
-                    WHEN 0 THEN 'Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.google.com/bot.html)'
-                    WHEN 1 THEN 'curl/7.88' WHEN 2 THEN '-' WHEN 3 THEN ''
-                    WHEN 4 THEN 'Mozilla/5.0 (X11; Linux x86_64; rv:120.0) Gecko/20100101 Firefox/121.0'
-                    WHEN 5 THEN 'Mozilla/5.0 (Windows NT 10.0; Win64; x64) Chrome/125.0.0.0 Safari/537.36'
-                    WHEN 6 THEN 'Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) Version/17.0 Safari/605.1.15'
-                    ELSE 'python-requests/2.31' END)
+                    WHEN 0 THEN 'Fetchbot/4.2 (nightly)'
+                    WHEN 1 THEN 'curl/8.9' WHEN 2 THEN '-' WHEN 3 THEN ''
+                    WHEN 4 THEN 'Lynx/2.9 libwww-FM/2.14'
+                    WHEN 5 THEN 'NetSurf/3.11 (Linux)'
+                    WHEN 6 THEN 'Dillo/3.1 (X11; Linux)'
+                    ELSE 'python-requests/2.32' END)
             || '"' || (CASE WHEN k % 3 = 0 THEN '' ELSE ' ' || (k * 37 % 5000) END)
         END AS line
     FROM (SELECT e.event_id AS k, e.user_id AS u, e.*, p.url
@@ -92,9 +94,9 @@ _GOLD = {
     "pairs": """SELECT day, source, ip, path, CAST(count(*) AS BIGINT) AS count FROM reqs WHERE path IS NOT NULL
         GROUP BY ALL""",
     "geo_blocks": """
-        SELECT 10 * 16777216 + (k % 3) * 65536 + (k % 7) * 256 AS lo, 'C' || k AS country_code, n_name AS country,
+        SELECT 10 * 16777216 + (k % 4) * 65536 + (k % 7) * 256 AS lo, 'C' || k AS country_code, n_name AS country,
                CASE WHEN k % 4 <> 3 THEN n_name || ' City' END AS city
-        FROM (SELECT CAST(n_nationkey AS BIGINT) AS k, n_name FROM nation) WHERE k < 21 AND k % 5 <> 4""",
+        FROM (SELECT CAST(n_nationkey AS BIGINT) AS k, n_name FROM nation)""",
     "located_ips": """
         SELECT i.*, g.country_code, g.country, g.city FROM daily_ips i LEFT JOIN geo_blocks g
           ON CASE WHEN contains(i.ip, '.') THEN
@@ -116,8 +118,7 @@ def _drill_table(outer: str, inner: str, outer_n: int, inner_n: int) -> str:
         WHERE r <= {inner_n}"""
 
 
-_GOLD["daily_ip_paths"] = _drill_table("ip", "path", 500, 20)
-_GOLD["daily_path_ips"] = _drill_table("path", "ip", 500, 20)
+_GOLD["daily_ip_paths"] = _GOLD["daily_path_ips"] = "SELECT * FROM pairs"
 _NEEDS = {"located_ips": ["daily_ips", "geo_blocks"], "daily_ip_paths": ["pairs"], "daily_path_ips": ["pairs"]}
 
 
@@ -308,8 +309,8 @@ ORACLE: dict[str, str] = {
     "month_scope_totals": _totals("human", "DATE '2024-01-01'", "DATE '2024-01-31'"),
     "top_paths": _grouped("daily_paths", "path", _scope("all"), 10),
     "path_search": _with("daily_paths") + f"""
-        SELECT * FROM (SELECT path, CAST(sum(count) AS BIGINT) AS n FROM daily_paths WHERE {_scope('all')}
-                       GROUP BY path ORDER BY n DESC, path LIMIT 1000) WHERE contains(path, '/en/')""",
+        SELECT path, CAST(sum(count) AS BIGINT) AS n FROM daily_paths WHERE {_scope('all')} AND contains(path, '/en/')
+        GROUP BY path""",
     "top_ips": _grouped("daily_ips", "ip", _scope("human"), 50, more=_NO_GEO),
     "top_user_agents": _grouped("daily_ua", "user_agent", _scope("all"), 4),
     "top_referers": _grouped("daily_referers", "referer", _scope("bot"), 20),
@@ -371,6 +372,10 @@ ORACLE: dict[str, str] = {
                CAST(count(*) AS BIGINT) AS lines
         FROM lines GROUP BY 1""",
     "replace_by_source": _source_totals("true"),
+    "marked_source": _with("daily_totals") + """
+        SELECT source, CAST(sum(total_requests) AS BIGINT) AS total_requests, CAST(sum(errors) AS BIGINT) AS errors,
+               source = 'access_1.log' AS marked
+        FROM daily_totals WHERE category = 'all' GROUP BY source""",
     "delete_source": _source_totals("source <> 'access_1.log'"),
     "compacted_store": _with("hourly_totals") + """
         SELECT hour, category, CAST(sum(count) AS BIGINT) AS count FROM hourly_totals

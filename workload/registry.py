@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hitledger import session
 from hitledger.operators import geo, ledger, parse, rollups
 from hitledger.plans import reports, traffic
 from hitledger.plans.traffic import Traffic
@@ -30,13 +31,19 @@ def reqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.requests(parsed(spark, sf_dir))
 
 
-def tables(spark: SparkSession, sf_dir: str, located: bool = False) -> rollups.Rollups:
+def tables(spark: SparkSession, sf_dir: str, located: bool = False, staged: bool = False) -> rollups.Rollups:
+    """Rollups of the derived log. ``staged``: lines are parsed once, to the shared folder, for answers from several rollups."""
+    rows = parsed(spark, sf_dir)
+    if staged:
+        path = session.shared_dir(spark, "parsed")
+        rows.write.parquet(path)
+        rows = spark.read.schema(rows.schema).parquet(path)
     blocks = geo.blocks_from_ranges(geo_blocks(spark, sf_dir)) if located else None
-    return rollups.build(parsed(spark, sf_dir), AS_OF, locate=lambda ips: geo.locate(ips, blocks))
+    return rollups.build(rows, AS_OF, locate=lambda ips: geo.locate(ips, blocks))
 
 
-def _traffic(answer: Callable[[Traffic], DataFrame], located: bool = False) -> Query:
-    return lambda spark, sf_dir: answer(Traffic(tables(spark, sf_dir, located)))
+def _traffic(answer: Callable[[Traffic], DataFrame], located: bool = False, staged: bool = False) -> Query:
+    return lambda spark, sf_dir: answer(Traffic(tables(spark, sf_dir, located, staged)))
 
 
 def _rollup(name: str) -> Query:
@@ -81,7 +88,7 @@ def _log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.keyed_counts(reqs(spark, sf_dir), "daily_paths", cap=5)
+    return rollups.busiest_keys(rollups.keyed_counts(reqs(spark, sf_dir), "daily_paths"), "path", 5)
 
 
 def _top_pairs(outer: str, inner: str) -> Query:
@@ -93,7 +100,7 @@ def _geo_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = traffic.nested(Traffic(tables(spark, sf_dir)).drill_ip_map(*DAYS, 20, 3), "ip", "path")
+    folded = traffic.nested(Traffic(tables(spark, sf_dir, staged=True)).drill_ip_map(*DAYS, 20, 3), "ip", "path")
     return folded.select("ip", F.explode("counts").alias("path", "n"))
 
 
@@ -119,7 +126,7 @@ QUERIES: dict[str, Query] = {
     "ingest_metrics": lambda s, d: parse.line_metrics(parsed(s, d)),
     "time_range_filter": lambda s, d: parse.between(reqs(s, d), "2024-01-10 06:30:00", "2024-01-12 18:00:00").select(
         "event_id", "ts"),
-    "default_window": _traffic(_default_window),
+    "default_window": _traffic(_default_window, staged=True),
     # rollups
     "daily_totals": _rollup("daily_totals"),
     "error_counts": lambda s, d: rollups.daily_totals(parsed(s, d), AS_OF).filter("errors > 0").select(
@@ -136,13 +143,13 @@ QUERIES: dict[str, Query] = {
     "top_ip_paths_per_day": _top_pairs("ip", "path"),
     "top_path_ips_per_day": _top_pairs("path", "ip"),
     # totals and series
-    "window_totals": _traffic(lambda t: t.totals(*ALL)),
+    "window_totals": _traffic(lambda t: t.totals(*ALL), staged=True),
     "unique_ips": _traffic(lambda t: t.unique_ips(*HUMAN)),
     "status_distribution": _traffic(lambda t: t.status_codes(*ALL)),
     "method_distribution": _traffic(lambda t: t.methods(*BOT)),
     "daily_series": _traffic(lambda t: t.daily(*HUMAN)),
     "hourly_series": _traffic(lambda t: t.hourly(*ALL)),
-    "month_scope_totals": _traffic(_month_scope),
+    "month_scope_totals": _traffic(_month_scope, staged=True),
     # top lists
     "top_paths": _traffic(lambda t: t.top_paths(*ALL, 10)),
     "path_search": _traffic(lambda t: t.search_paths("/en/", *ALL)),
@@ -158,17 +165,17 @@ QUERIES: dict[str, Query] = {
     # drill-downs
     "drill_ip": _traffic(lambda t: t.drill_ip(DRILL_IP, *DAYS)),
     "drill_path": _traffic(lambda t: t.drill_path(DRILL_PATH, *DAYS)),
-    "drill_ip_total": _traffic(lambda t: t.drill_ip_total(DRILL_IP, *DAYS), located=True),
+    "drill_ip_total": _traffic(lambda t: t.drill_ip_total(DRILL_IP, *DAYS), located=True, staged=True),
     "drill_path_total": _traffic(lambda t: t.drill_path_total(DRILL_PATH, *DAYS)),
-    "drill_ip_map": _traffic(lambda t: t.drill_ip_map(*DAYS, 20, 3)),
-    "drill_path_map": _traffic(lambda t: t.drill_path_map(*DAYS, 20, 3)),
+    "drill_ip_map": _traffic(lambda t: t.drill_ip_map(*DAYS, 20, 3), staged=True),
+    "drill_path_map": _traffic(lambda t: t.drill_path_map(*DAYS, 20, 3), staged=True),
     "drill_ip_nested": _nested,
     "subnet_share": _traffic(lambda t: t.subnets(*ALL, alert_pct=5.0)),
     # years
-    "yearly_totals": _traffic(lambda t: t.yearly_totals(YEAR, "bot")),
+    "yearly_totals": _traffic(lambda t: t.yearly_totals(YEAR, "bot"), staged=True),
     "monthly_series": _traffic(lambda t: t.monthly(YEAR, "all")),
     "available_years": _traffic(lambda t: t.available_years("all")),
-    "yearly_report": _traffic(lambda t: reports.yearly_report(t, YEAR, "human")),
+    "yearly_report": _traffic(lambda t: reports.yearly_report(t, YEAR, "human"), staged=True),
     # application log
     "recent_log_records": lambda s, d: traffic.recent_records(_log_records(s, d), 500, "error"),
     # ledger

@@ -83,6 +83,15 @@ def replace_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_source(store)
 
 
+def marked_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source recorded as seen again keeps its rows; the ledger shows what was recorded."""
+    store = new_store(spark)
+    ingest.ingest_lines(store, raw_log(spark, sf_dir), settings(FIRST), "first")
+    store.mark_ingested("access_1.log", "/logs/access_1.log", 2000.0, 5, "second", LATER)
+    seen = store.ledger().select("source", (F.col("size") == 5).alias("marked"))
+    return _by_source(store).join(seen, "source")
+
+
 def delete_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = new_store(spark)
     ingest.ingest_lines(store, raw_log(spark, sf_dir), settings(FIRST), "first")
@@ -124,8 +133,7 @@ def ingest_and_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = new_store(spark)
     blocks = geo.blocks_from_ranges(geo_blocks(spark, sf_dir))
     directory = log_directory(spark, sf_dir)
-    everything = dict.fromkeys(("drill_ips", "paths_per_ip", "drill_paths", "ips_per_path"))
-    report = ingest.ingest_and_report(store, directory, settings(blocks=blocks, drill=everything), from_day=FROM_DAY, to_day=TO_DAY)
+    report = ingest.ingest_and_report(store, directory, settings(blocks=blocks), from_day=FROM_DAY, to_day=TO_DAY)
     answers = traffic.Traffic(store.tables())
     rows = answers.stats_rows("all", FROM_DAY, TO_DAY)
     for category in fixed.CATEGORIES[1:]:
@@ -148,14 +156,21 @@ def stored_subnets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _watched(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None, rounds: int = 1) -> RollupStore:
     store = new_store(spark)
     directory = log_directory(spark, sf_dir)
-    for i in range(rounds):  # a new checkpoint replays all files under the same batch ids
+    for i in range(rounds):  # a new checkpoint shows all files again
         continuous.watch_directory(store, directory, session.shared_dir(spark, f"checkpoint-{i}"), settings,
                                    files_per_batch=files_per_batch, available_now=True).awaitTermination()
     return store
 
 
 def stream_daily_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _daily(_watched(spark, sf_dir))
+    """Two watched directories, with half of the lines each, feed one store."""
+    store, lines = new_store(spark), raw_log(spark, sf_dir)
+    for half in range(2):
+        directory = session.shared_dir(spark, "logs")
+        write_log_files(lines.filter(F.col("event_id") % 2 == half), directory, prefix=f"host{half}-")
+        continuous.watch_directory(store, directory, session.shared_dir(spark, "checkpoint"), settings,
+                                   available_now=True).awaitTermination()
+    return _daily(store)
 
 
 def stream_replay_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,12 +189,12 @@ def stream_hourly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", 16).load(directory).select(
         source.alias("source"), F.col("value").alias("line"))
     path = session.shared_dir(spark, "counts")
-    continuous.keep_updates(continuous.windowed_counts(lines), path, session.shared_dir(spark, "checkpoint"),
+    continuous.keep_updates(continuous.windowed_counts(lines, watermark=None), path, session.shared_dir(spark, "checkpoint"),
                             available_now=True).awaitTermination()
     return continuous.latest_counts(spark, path).withColumnRenamed("start", "hour")
 
 
 STORED = {f.__name__: f for f in (
-    scan_plain_gz_tar, classify_files, replace_by_source, delete_source, compacted_store, changed_file_reingest,
+    scan_plain_gz_tar, classify_files, replace_by_source, marked_source, delete_source, compacted_store, changed_file_reingest,
     traffic_stats, ingest_and_report, stored_top_paths, stored_subnets, stream_daily_totals, stream_replay_idempotent,
     stream_late_data, stream_hourly_totals)}
