@@ -50,12 +50,13 @@ def network_key(ip: str) -> Column:
 def hot_buckets(rows: DataFrame, ip: str = "ip", parts: int = HOT_PARTS, least: int = HOT_ROWS) -> dict[int, int]:
     """Buckets that hold more than one of ``parts`` equal shares of the rows, and over how many parts to spread each.
 
-    At most ``parts`` buckets qualify, so the answer is small at any scale.
+    At most ``parts`` buckets qualify, so the answer is small at any scale. Buckets and their total come from one aggregation.
     """
-    share = max(rows.count() / parts, least)
-    counted = rows.groupBy(_bucket(network_key(ip)).alias("bucket")).count()
-    hot = counted.filter(F.col("bucket").isNotNull() & (F.col("count") > share)).collect()
-    return {r.bucket: math.ceil(r["count"] / share) for r in hot}
+    counted = rows.select(F.coalesce(_bucket(network_key(ip)), F.lit(-1)).alias("bucket")).rollup("bucket").agg(
+        F.count("*").alias("n"), F.grouping("bucket").alias("total"))
+    largest = counted.orderBy(F.col("total").desc(), F.col("n").desc()).limit(parts + 2).collect()
+    share = max(sum(r.n for r in largest if r.total) / parts, least)
+    return {r.bucket: math.ceil(r.n / share) for r in largest if not r.total and r.bucket >= 0 and r.n > share}
 
 
 def _parts(bucket: Column, spread: int | Mapping[int, int]) -> Column:
@@ -96,6 +97,13 @@ def locate(rows: DataFrame, blocks: DataFrame | None, ip: str = "ip",
         "row.*", *(F.when(holds, F.col(f"block.{c}")).alias(c) for c in GEO))
 
 
+def locate_clients(rows: DataFrame, blocks: DataFrame | None, spread: int | Mapping[int, int] = SPREAD) -> DataFrame:
+    """``rows`` with a column ip, located: every different client is looked up once, however many days and sources it has."""
+    if blocks is None:
+        return locate(rows, None)
+    return rows.join(locate(rows.select("ip").distinct(), blocks, spread=spread), "ip", "left")
+
+
 def latest(daily_ips: DataFrame) -> DataFrame:
     """Most recent known location of each client; hash-aggregated to one row per location before the newest is taken."""
     known = daily_ips.filter(F.col("country_code").isNotNull()).groupBy("ip", *GEO).agg(F.max("day").alias("day"))

@@ -61,9 +61,9 @@ def _write_rollups(store: RollupStore, ingest_id: str, parsed: DataFrame, settin
     path = store.staging_path(ingest_id, "pairs")
     rollups.ip_path_pairs(parse.requests(parsed)).write.mode("overwrite").parquet(path)
     pairs = store.spark.read.schema(schemas.PAIRS).parquet(path)
-    hot = {} if settings.blocks is None else geo.hot_buckets(parse.requests(parsed))
+    hot = {} if settings.blocks is None else geo.hot_buckets(parse.requests(parsed).select("ip").distinct())
     store.write_tables(ingest_id, rollups.build(
-        parsed, settings.as_of, pairs, lambda ips: geo.locate(ips, settings.blocks, spread=hot)))
+        parsed, settings.as_of, pairs, lambda ips: geo.locate_clients(ips, settings.blocks, hot)))
 
 
 def _unusable(parsed: DataFrame) -> DataFrame:

@@ -103,3 +103,16 @@ def test_subnets(spark):
     rows = spark.createDataFrame([("10.0.1.7",), ("2001:db8::1",), ("::ffff:1.2.3.4",)], "ip string")
     got = [r.s for r in rows.select(network.subnet_24(F.col("ip")).alias("s")).collect()]
     assert got == ["10.0.1", "2001:db8::1", "::ffff:1.2.3"]
+
+
+def test_clients_of_a_hot_network_are_looked_up_once_each(spark):
+    """Half of all clients in one /16, on many days: same places as one by one, and the rows that are located are the clients."""
+    clients = [f"10.1.{i // 250}.{i % 250}" for i in range(500)] + [f"10.{i % 200 + 2}.7.{i % 250}" for i in range(500)]
+    blocks = geo.blocks_from_networks(spark.createDataFrame(
+        [("10.1.0.0/24", "AA", "A", None), ("10.7.0.0/16", "BB", "B", "b")], "network string, country_code string, country string, city string"))
+    rows = spark.createDataFrame([(c, d) for c in clients for d in range(5)], "ip string, day int")
+    hot = geo.hot_buckets(rows.select("ip").distinct(), parts=10, least=1)
+    assert max(hot.values()) >= 5 and len(hot) == 1
+    once, each = geo.locate_clients(rows, blocks, hot), geo.locate(rows, blocks, spread=hot)
+    assert sorted(map(str, once.select(sorted(once.columns)).collect())) == sorted(map(str, each.select(sorted(each.columns)).collect()))
+    assert once.filter("country_code = 'AA'").count() == 250 * 5

@@ -39,7 +39,7 @@ def tables(spark: SparkSession, sf_dir: str, located: bool = False, staged: bool
         rows.write.parquet(path)
         rows = spark.read.schema(rows.schema).parquet(path)
     blocks = geo.blocks_from_ranges(geo_blocks(spark, sf_dir)) if located else None
-    return rollups.build(rows, AS_OF, locate=lambda ips: geo.locate(ips, blocks))
+    return rollups.build(rows, AS_OF, locate=lambda ips: geo.locate_clients(ips, blocks))
 
 
 def _traffic(answer: Callable[[Traffic], DataFrame], located: bool = False, staged: bool = False) -> Query:
