@@ -6,7 +6,7 @@ import string
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hitledger.session import shared_dir
 
@@ -22,6 +22,12 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str, most: int = 100_000) -> DataFrame:
+    """Rows that the driver holds as a table, to be broadcast in joins if there are at most ``most``; else Spark shuffles."""
+    frame = spark.createDataFrame(rows, schema)
+    return F.broadcast(frame) if len(rows) <= most else frame
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once a row, also where ``use`` names it inside a lambda."""
     return F.transform(F.array(value), use)[0]

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from hitledger.llm.common import WORD, text_or_empty, written
+from hitledger.llm.common import WORD, small_table, text_or_empty, written
 
 DIGITS = (52, 40, 28, 16, 4, 0)  # shifts that bring a 64-bit hash down to its leading 12, 24, ... 64 bits
 FILLS = 5
@@ -119,7 +119,7 @@ def _cuts(sized: DataFrame, wanted: dict[str, int]) -> dict[str, tuple[int, int]
     for above, shift in zip((None, *DIGITS), DIGITS):
         if not state:
             break
-        goals = spark.createDataFrame([(k, p, n) for k, (p, n) in state.items()], "_key string, _prefix long, _wanted long")
+        goals = small_table(spark, [(k, p, n) for k, (p, n) in state.items()], "_key string, _prefix long, _wanted long")
         here = sized.join(goals, "_key")
         if above is not None:
             here = here.filter(_rank(above) == F.col("_prefix"))
@@ -165,19 +165,21 @@ def mix(docs: DataFrame, members: Column, weights=repeating_weights, share: floa
     rounds = {keys[p]: divmod(n, patterns[p]) for p, n in given.items()}
     cuts = _cuts(sized, {key: rest for key, (_, rest) in rounds.items()})
     picks: dict[str, list[int]] = {key: [] for key in cuts}
-    for _ in range(FILLS):  # what is missing up to a cut: the largest document beyond it that fits, then again
+    for turn in range(FILLS + 1):  # what is missing up to a cut: the largest document beyond it that fits, and so on
+        last = turn == FILLS  # and the smallest that does not fit, if that comes nearer
         gaps = [(key, cut, missing, picks[key]) for key, (cut, missing) in cuts.items() if missing > 0]
         if not gaps:
             break
-        frame = spark.createDataFrame(gaps, "_key string, _cut long, _missing long, _picked array<long>")
-        beyond = sized.filter("size > 0").join(frame, "_key").filter(
-            "_hash >= _cut AND size <= _missing AND NOT array_contains(_picked, _hash)")
-        best = beyond.groupBy("_key").agg(F.max(F.struct("size", "_hash")).alias("best")).collect()
+        frame = small_table(spark, gaps, "_key string, _cut long, _missing long, _picked array<long>")
+        fits = F.col("size").between(F.col("_missing") + 1, 2 * F.col("_missing") - 1) if last else F.col("size") <= F.col("_missing")
+        beyond = sized.filter("size > 0").join(frame, "_key").filter(fits & F.expr("_hash >= _cut AND NOT array_contains(_picked, _hash)"))
+        pick = (F.min if last else F.max)(F.struct("size", "_hash"))
+        best = beyond.groupBy("_key").agg(pick.alias("best")).collect()
         for x in best:
             picks[x["_key"]].append(x["best"]["_hash"])
             cuts[x["_key"]] = (cuts[x["_key"]][0], cuts[x["_key"]][1] - x["best"]["size"])
-    plan = spark.createDataFrame(
-        [(key, *((rounds.get(key) or (0, 0))[:1]), cuts.get(key, (None, 0))[0], picks.get(key, [])) for key in keys.values()],
+    plan = small_table(
+        spark, [(key, *((rounds.get(key) or (0, 0))[:1]), cuts.get(key, (None, 0))[0], picks.get(key, [])) for key in keys.values()],
         "_key string, _rounds int, _cut long, _picks array<long>")
     documents = sized.join(plan, "_key", "left").select("doc_id", "members", "size", _copies().alias("copies")).withColumn(
         "taken", F.col("copies") * F.col("size"))

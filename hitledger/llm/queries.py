@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hitledger.llm import exact_dedup, mixing, packing, quality, simhash, substrings, token_counts, token_files, toxicity, url_filter
-from hitledger.llm.common import written
+from hitledger.llm.common import small_table, written
 from hitledger.session import shared_dir
 
 
@@ -41,7 +41,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "token-files")
     token_files.write_token_files(
         _table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-    return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_files.read_token_files(spark, path, with_ids=False)
 
 
 # Fixed values of the filter: list entries with their verdicts.
@@ -56,8 +56,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = mixing.mix(_table(spark, sf_dir, "documents"), F.array("source"))
-    by_source = spark.createDataFrame(
-        [(s, result.sizes[s], result.targets[s]) for s in result.sizes], "source string, source_size long, target double")
+    by_source = small_table(
+        spark, [(s, result.sizes[s], result.targets[s]) for s in result.sizes], "source string, source_size long, target double")
     rows = result.documents.withColumn("_source", F.col("members")[0])
     return rows.join(by_source, rows["_source"].eqNullSafe(by_source["source"])).select(
         "doc_id", "size", "source_size", "target", "taken")
