@@ -20,8 +20,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each component of near-duplicates: the smallest doc_id, as component ids in op1."""
-    return simhash.keep_one(docs)
+    """One of each component of near-duplicates: the smallest doc_id, as component ids in op1, over six families of fingerprints."""
+    return simhash.keep_one(docs, families=6)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,18 +39,27 @@ KEYS = [(start, _segment_mask((start, start + 1, *pair))) for start in range(SEG
 CHAINS = [[(_segment_mask(range(start, start + k)), DISTANCE * k // SEGMENTS) for k in (5, 6, 7)] for start in range(SEGMENTS)]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fingerprint (signed long): bit b is set if it is set in over half of the text's shingle hashes.
+def _remixed(hashed: np.ndarray, family: int) -> np.ndarray:
+    """Hashes of another family, as good as independent: the first family has the hashes themselves."""
+    if not family:
+        return hashed
+    x = (hashed ^ np.uint64(family * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, families: int = 1) -> DataFrame:
+    """doc_id and fingerprints (signed longs, one a family): bit b is set if it is set in over half of the text's shingle hashes.
 
     Shingles are ``shingle`` consecutive words of the text with A-Z lower-cased, repeats included, joined by spaces; a shorter text
-    is one shingle; one without words (or null) has fingerprint 0. Hashes are XXH64 with seed 42.
+    is one shingle; one without words (or null) has fingerprints 0. Hashes are XXH64 with seed 42, remixed for further families.
     """
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             for doc_ids, texts in slices([batch["doc_id"]], batch["text"]):
-                found = np.zeros(len(texts), np.uint64)
+                found = np.zeros((len(texts), families), np.uint64)
                 for i, text in enumerate(texts):
                     joined = b" ".join(text.lower().split())  # bytes.lower() changes A-Z alone
                     if not joined:
@@ -58,16 +67,19 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist()
                     starts, ends = [0, *[g + 1 for g in gaps]], [*gaps, len(joined)]
                     view = memoryview(joined)
-                    counts, total = np.zeros(64, np.int64), max(1, len(starts) - shingle + 1)
+                    counts, total = np.zeros((families, 64), np.int64), max(1, len(starts) - shingle + 1)
                     for low in range(0, total, 1 << 16):
                         high = min(total, low + (1 << 16))
                         hashed = [digest(view[a:b], SEED) for a, b in zip(starts[low:high], ends[low + shingle - 1:high + shingle - 1] or ends[-1:])]
-                        bits = np.unpackbits(np.array(hashed, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                        counts += bits.sum(axis=0, dtype=np.uint32)
-                    found[i] = np.packbits(2 * counts > total, bitorder="little").view("<u8")[0]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(found.view(np.int64))], names=["doc_id", "fingerprint"])
+                        for family in range(families):
+                            mixed = _remixed(np.array(hashed, "<u8"), family)
+                            bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                            counts[family] += bits.sum(axis=0, dtype=np.uint32)
+                    found[i] = np.packbits(2 * counts > total, axis=1, bitorder="little").view("<u8")[:, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(found.view(np.int64).tolist(), pa.list_(pa.int64()))],
+                                                 names=["doc_id", "fingerprints"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(fingerprint, "doc_id long, fingerprint long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(fingerprint, "doc_id long, fingerprints array<long>")
 
 
 def _signed(x: int) -> int:
@@ -148,27 +160,43 @@ def near_links(prints: DataFrame, most: int = MOST) -> DataFrame:
             F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key"), "start", "fp").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def _family_links(marked: DataFrame, family: int) -> DataFrame:
+    """Links of a further family, between fingerprints of the first: the least one stands for all that share a fingerprint."""
+    pairs = written(marked.select(F.col("fingerprint").alias("first"), F.col("fingerprints")[family].alias("fp")).distinct(), "family")
+    stands = written(pairs.groupBy("fp").agg(F.min("first").alias("stand")), "stands")
+    shared = pairs.join(stands, "fp").filter("first <> stand").select(F.col("first").alias("a"), F.col("stand").alias("b"))
+    of = [stands.select(F.col("fp").alias(side), F.col("stand").alias(f"{side}_stand")) for side in "ab"]
+    near = near_links(stands.select("fp")).join(of[0], "a").join(of[1], "b").select(F.col("a_stand").alias("a"), F.col("b_stand").alias("b"))
+    return shared.unionByName(near)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, families: int = 1) -> DataFrame:
     """doc_id, fingerprint (signed long), component_id: the smallest doc_id reachable over fingerprints DISTANCE bits apart or less.
 
+    With several ``families`` texts are linked if their fingerprints of any family are that close, which finds pairs whose first
+    fingerprints happen to differ more; ``fingerprint`` is that of the first.
+
     Equal fingerprints are linked, texts without words among them. Rows without a doc_id take part; a component that has no other
     has component_id null. Rows that repeat a doc_id are rows of their own. An empty table gives an empty result.
     """
-    marked = written(fingerprints(docs, shingle), "fingerprints")
+    marked = written(fingerprints(docs, shingle, families).withColumn("fingerprint", F.col("fingerprints")[0]), "fingerprints")
     nodes = written(marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")), "nodes")
-    roots = connected_components(near_links(nodes.select("fp")))
+    links = near_links(nodes.select("fp"))
+    for family in range(1, families):
+        links = links.unionByName(_family_links(marked, family))
+    roots = connected_components(links)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = rooted.select("fp", "root").join(named, "root").select(F.col("fp").alias("fingerprint"), "component_id")
     return marked.join(of_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3, families: int = 1) -> DataFrame:
     """The rows of ``docs``, with all their columns, without those whose component has a smaller doc_id.
 
     An id stays if any of the rows that carry it does; rows without an id go where a component has one.
     """
-    found = near_duplicates(docs, shingle)
+    found = near_duplicates(docs, shingle, families)
     stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
     dropped = found.groupBy("doc_id").agg(stays.alias("stays")).filter("NOT stays").select(F.col("doc_id").alias("id"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id")

@@ -47,14 +47,23 @@ def test_drop_copies_keeps_all_columns(spark):
     assert exact_dedup.drop_copies(docs.filter("false")).count() == 0
 
 
-def fingerprint(text, shingle=3):
+def fingerprints(text, families, shingle=3):
     w = words(lower(text))
     hashed = [xxhash.xxh64_intdigest(" ".join(w[i:i + shingle]).encode(), 42) for i in range(max(1, len(w) - shingle + 1))] if w else []
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashed) > len(hashed))
+    mixed = [simhash._remixed(np.array(hashed, np.uint64), f).tolist() for f in range(families)]
+    return [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in m) > len(hashed)) for m in mixed]
+
+
+def fingerprint(text):
+    return fingerprints(text, 1)[0]
 
 
 def components(prints):
-    """Root number of each fingerprint by comparing all pairs."""
+    return components_of_families([[p] for p in prints])
+
+
+def components_of_families(prints):
+    """Root number of each list of fingerprints by comparing all pairs."""
     root = list(range(len(prints)))
 
     def find(x):
@@ -63,24 +72,25 @@ def components(prints):
         return x
     for i, a in enumerate(prints):
         for j in range(i):
-            if (a ^ prints[j]).bit_count() <= 3:
+            if any((x ^ y).bit_count() <= 3 for x, y in zip(a, prints[j])):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return [find(i) for i in range(len(prints))]
 
 
-def test_near_duplicates(spark):
-    rows = [*EDGES, *[(100 + i, " ".join(w if k % 97 != i else "changed" for k, w in enumerate(prose(400, 9).split())), "en", "a") for i in range(12)]]
-    got = simhash.near_duplicates(table(spark, rows)).collect()
-    prints = [fingerprint(text) for _, text, *_ in rows]
-    roots = components(prints)
+@pytest.mark.parametrize("families", [1, 4])
+def test_near_duplicates(spark, families):
+    rows = [*EDGES, *[(100 + i, " ".join(w if k != 7 * i else "changed" for k, w in enumerate(prose(400, 9).split())), "en", "a") for i in range(12)]]
+    got = simhash.near_duplicates(table(spark, rows), families=families).collect()
+    of_families = [fingerprints(text, families) for _, text, *_ in rows]
+    roots, prints = components_of_families(of_families), [p[0] for p in of_families]
     least = {r: min((rows[i][0] for i in range(len(rows)) if roots[i] == r and rows[i][0] is not None), default=None) for r in set(roots)}
     want = [(rows[i][0], prints[i], least[roots[i]]) for i in range(len(rows))]
     assert sorted(((r["doc_id"], r["fingerprint"] % (1 << 64), r["component_id"]) for r in got), key=repr) == sorted(want, key=repr)
     assert len({c for d, _, c in want if d is not None and d >= 100}) < 12
-    kept = simhash.keep_one(table(spark, rows))
+    kept = simhash.keep_one(table(spark, rows), families=families)
     assert sorted({r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()}) == sorted({d for d, _, c in want if d is not None and d == c})
-    assert simhash.near_duplicates(table(spark, [])).count() == 0
+    assert simhash.near_duplicates(table(spark, []), families=families).count() == 0
 
 
 @pytest.mark.parametrize("most", [3, 40, 512])

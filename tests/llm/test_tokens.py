@@ -65,15 +65,17 @@ def test_coder_round_trip(n):
             token_files.decode_group(damaged)
 
 
-@pytest.mark.parametrize("group_ids, block_ids, file_bytes", [(1 << 21, 1 << 20, 32_000_000), (40, 16, 300)])
-def test_token_files(spark, group_ids, block_ids, file_bytes):
+@pytest.mark.parametrize("group_ids, block_ids, files", [(1 << 21, 1 << 20, None), (40, 16, 7)])
+def test_token_files(spark, group_ids, block_ids, files):
     path = shared_dir(spark, "tokens")
-    token_files.write_token_files(table(spark, EDGES), path, BYTE, 0, group_ids=group_ids, block_ids=block_ids, file_bytes=file_bytes)
+    token_files.write_token_files(table(spark, EDGES), path, BYTE, 0, group_ids=group_ids, block_ids=block_ids, files=files)
     got = sorted(((r["start"], r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in token_files.read_token_files(spark, path).collect()))
     assert [r[1] for r in got] == sorted((e[0] for e in EDGES), key=lambda d: (d is not None, d))
     assert [r[0] for r in got] == [0, *itertools.accumulate(r[2] for r in got)][:-1]
     assert sorted((r[3] for r in got)) == sorted(ids_of(text, BYTE, 0).tobytes() for _, text, *_ in EDGES)
     assert all(len(r[3]) == 4 * r[2] for r in got)
+    crcs = [r["ids_crc32"] for r in token_files.read_token_files(spark, path, with_ids=False).orderBy("start").collect()]
+    assert crcs == [zlib.crc32(r[3]) for r in got]
 
 
 def test_empty_token_files(spark):
