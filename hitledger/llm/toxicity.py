@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from hitledger.llm.encoding import slices
 
 FEATURES = 1 << 18
 REMEMBERED = 200_000
-SAMPLE, SAMPLE_BYTES = 8_000, 32_768
+SAMPLE, SAMPLE_BYTES = 5_000, 16_384
 ENDS, MARKS = (b".", b"!", b"?"), b".,;:!?\"'()[]"
 STEMS = (4, 5, 6)  # bytes of the beginnings of a word
 
@@ -84,6 +85,27 @@ def noisy_or(scores: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(text, weights=np.log1p(-scores), minlength=n))
 
 
+def _words_of(texts: list[bytes], at_once: int = 200) -> tuple[np.ndarray, ...]:
+    """All words as numbers of different ones, the features of these, first word and text of each sentence, and the number of
+    texts that have each feature. Words themselves are held for ``at_once`` texts at a time."""
+    kinds: dict[bytes, int] = {}
+    of_kind, texts_with = [], np.zeros(FEATURES, np.int32)
+    parts: list[tuple] = []
+    n_words = 0
+    for low in range(0, len(texts), at_once):
+        words, first, text = split_sentences(texts[low:low + at_once])
+        kind = np.fromiter((kinds.setdefault(w, len(kinds)) for w in words), np.int32, len(words))
+        of_kind += [np.array(word_features(w), np.int32) for w in islice(kinds, len(of_kind), None)]
+        owner = np.repeat(text, np.diff(np.append(first, len(words))))
+        held = np.unique(kind.astype(np.int64) * at_once + owner)
+        pairs = np.array([of_kind[k] for k in held // at_once], np.int64).reshape(len(held), 1 + len(STEMS)) * at_once + (held % at_once)[:, None]
+        texts_with += np.bincount(np.unique(pairs) // at_once, minlength=FEATURES).astype(np.int32)
+        parts.append((kind, (first + n_words).astype(np.int32), (text + low).astype(np.int32)))
+        n_words += len(words)
+    kind, first, text = (np.concatenate([p[i] for p in parts] or [np.empty(0, np.int32)]) for i in range(3))
+    return kind, np.array(of_kind, np.int32).reshape(len(of_kind), 1 + len(STEMS)), first, text, texts_with
+
+
 def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 90, refined: int = 60, rate: float = 0.1,
         sparsity: float = 6e-4, least: int = 4) -> Model:
     """Weights that make the labels likely, by gradient steps on all texts: ``rounds`` with a penalty on the sum of the weights'
@@ -91,24 +113,18 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 90, refined: int =
 
     Features in fewer than ``least`` texts get no weight.
     """
-    words, first, text = split_sentences(texts)
+    kind, of_kind, first, text, texts_with = _words_of(texts)
     if not 0 < labels.sum() < len(labels) or not len(first):
         return Model(np.zeros(FEATURES, np.float32), 0.0, True)
-    sizes = np.diff(np.append(first, len(words)))
-    kinds: dict[bytes, int] = {}
-    kind = np.fromiter((kinds.setdefault(w, len(kinds)) for w in words), np.int64, len(words))
-    of_kind = np.array([word_features(w) for w in kinds], np.int64)
-    held = np.unique(kind * len(texts) + np.repeat(text, sizes))
-    held = np.unique(of_kind[held // len(texts)] * len(texts) + (held % len(texts))[:, None])
-    there, texts_with = np.unique(held // len(texts), return_counts=True)
-    used = there[texts_with >= least]
+    sizes = np.diff(np.append(first, len(kind)))
+    used = np.flatnonzero(texts_with >= least)
     place = np.full(FEATURES, len(used))
     place[used] = np.arange(len(used))
     columns = place[of_kind]
     telling = (columns < len(used)).any(axis=1)  # all other words are as one
     kind, columns = np.where(telling, np.cumsum(telling) - 1, telling.sum())[kind], np.concatenate(
         [columns[telling], np.full((1, columns.shape[1]), len(used))])
-    sentence = np.repeat(np.arange(len(first)), sizes)
+    sentence = np.repeat(np.arange(len(first), dtype=np.int32), sizes)
     weights, bias, n = np.zeros(len(used) + 1), -5.0, len(texts)
     speed, spread = np.zeros(len(used) + 2), np.zeros(len(used) + 2)
     toxic, open_ = labels[text] > 0, np.ones(len(used) + 1)
