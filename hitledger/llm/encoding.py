@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 IDS = np.dtype("<u4")
-REMEMBERED, LONGEST = 330_000, 48  # pieces kept by generation (two of them), and their length at most: some 150 MB a worker
+REMEMBERED, LONGEST = 240_000, 48  # pieces kept by generation (two of them), and their length at most: some 110 MB a worker
 WHOLE, FIRST = " w", " f"  # marks of pieces that are a whole text, or the first of one; no other piece has a space in it
 
 # White space that does not fall into single characters: runs of three, or of two at the end.

@@ -20,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hitledger.llm.common import small_table
 from hitledger.llm.encoding import IDS, encoder_of, read_vocabulary, slices
 
 SCALE, LANES, STEPS = 20, 32, 256
-BLOCK_IDS, GROUP_IDS, FILE_BYTES = 1 << 20, 1 << 21, 32_000_000
+BLOCK_IDS, GROUP_IDS = 1 << 20, 1 << 21
 LOW, WORD_BITS = np.uint64(1 << 31), np.uint64(32)
 _HEAD = "<QII"
 
@@ -142,12 +143,12 @@ def decode_group(row: dict) -> bytes:
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, spaces: str = "attached", group_ids: int = GROUP_IDS,
-                      block_ids: int = BLOCK_IDS, file_bytes: int = FILE_BYTES) -> None:
+                      block_ids: int = BLOCK_IDS, files: int | None = None) -> None:
     """Encodes every text of ``docs``, appends ``end_id``, and writes the files to ``path`` in ascending doc_id order.
 
     A null text counts as empty; a null doc_id comes first. Rows that repeat a doc_id are written each, in the order of a hash of
-    their texts. Texts are dealt by ranges of doc_id to files of about ``file_bytes`` of text, which bounds a task's memory by a
-    group. No table of all ids is ever made: one pass tokenises, counts and encodes.
+    their texts. Texts are dealt by ranges of doc_id to ``files`` files, or as many as Spark's shuffle settings give; a task's
+    memory is bounded by a group. No table of all ids is ever made: one pass tokenises, counts and encodes.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     end = np.array([end_id], IDS).tobytes()
@@ -176,19 +177,21 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
             yield group()
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("_tie"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = rows.repartitionByRange(max(1, -(-total // file_bytes)), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
+    ordered = rows.repartitionByRange(*([files] if files else []), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
     ordered.drop("_tie").mapInArrow(encode, SCHEMA).write.parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids: every document of the files, checksums verified."""
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and ids unless ``with_ids`` is false.
+
+    Every document of the files; everything is decoded and the groups' checksums verified either way.
+    """
     groups = spark.read.schema(SCHEMA).parquet(path)
     base, before = [], 0
     for x in groups.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():  # one row a file
         base.append((x["part"], before))
         before += x["n"]
-    bases = spark.createDataFrame(base, "part int, _base long")
+    bases = small_table(spark, base, "part int, _base long")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,8 +202,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 starts = ends - row["lengths"]
                 for low in range(0, len(ends), 2000):
                     a, z = starts[low:low + 2000], ends[low:low + 2000]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(row["doc_ids"][low:low + 2000], pa.int64()), pa.array(a + row["start"] + row["_base"]), pa.array(z - a),
-                        pa.array([raw[4 * x:4 * y] for x, y in zip(a, z)], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
-
-    return groups.join(bases, "part").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+                    ids = [raw[4 * x:4 * y] for x, y in zip(a, z)]
+                    columns = [pa.array(row["doc_ids"][low:low + 2000], pa.int64()), pa.array(a + row["start"] + row["_base"]),
+                               pa.array(z - a), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns[:len(names)], names=names)
+
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][:4 + with_ids]
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    return groups.join(bases, "part").mapInArrow(decode, schema)
