@@ -7,7 +7,8 @@ two neighbouring segments and two of the next three, 32 equal bits each. Pairs u
 Hamming distance is taken.
 
 Only different fingerprints are filed. A key with more than ``MOST`` of them is refined: what is left of the ring is cut in four, one
-of which must be equal too, until no key holds more. Fingerprints that agree in all but f bits are 2**f at most, so this ends;
+of which must be equal too, until no key holds more. Refined keys hold fingerprints from several starts of the ring, so their pairs
+need no chain but the Hamming distance alone. Fingerprints that agree in all but f bits are 2**f at most, so this ends;
 nothing is left out, and no task compares more than ``MOST`` with each other. A key's links are reduced to a star per
 component before they leave the task.
 """
@@ -87,7 +88,7 @@ def _signed(x: int) -> int:
 
 
 def _file(prints: DataFrame) -> DataFrame:
-    """(mask, key, start, fp): each fingerprint under its 24 keys."""
+    """(mask, key, start, fp): each fingerprint under its 24 keys. No two starts share a mask."""
     masks = F.array(*[F.struct(F.lit(_signed(mask)).alias("mask"), F.lit(start).alias("start")) for start, mask in KEYS])
     return prints.select("fp", F.explode(masks).alias("m")).select(
         F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"), F.col("m.start").alias("start"), "fp")
@@ -102,7 +103,7 @@ def _finer(mask: int) -> list[int]:
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within the keys of sorted rows, as stars around the smallest fingerprint of each component."""
-    def linked(start: int, fps: np.ndarray) -> list[tuple[int, int]]:
+    def linked(start: int | None, fps: np.ndarray) -> list[tuple[int, int]]:
         found, open_ = [], np.ones(len(fps), bool)
         for root in range(len(fps)):
             if not open_[root]:
@@ -112,7 +113,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = ring.pop()
                 rest = np.flatnonzero(open_)
                 differ = fps[rest] ^ fps[at]
-                for chain, most in CHAINS[start]:
+                for chain, most in CHAINS[start] if start is not None else ():
                     near = np.bitwise_count(differ & np.uint64(chain)) <= most
                     rest, differ = rest[near], differ[near]
                 near = rest[np.bitwise_count(differ) <= DISTANCE]
@@ -151,13 +152,13 @@ def near_links(prints: DataFrame, most: int = MOST) -> DataFrame:
         small = marked.filter(F.col("n") <= most).select("mask", "key", "start", "fp")
         found = small.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_stars, "a long, b long").distinct()
         links = found if links is None else links.unionByName(found)
-        large = written(marked.filter(F.col("n") > most).select("mask", "start", "fp"), "refined")
+        large = written(marked.filter(F.col("n") > most).select("mask", "fp"), "refined")
         masks = [x["mask"] for x in large.select("mask").distinct().collect()]  # at most 24 times 4 for each time refined
         if not masks:
             return links
         finer = spark.createDataFrame([(m, _signed(f)) for m in masks for f in _finer(m % (1 << 64))], "mask long, finer long")
         filed = large.join(F.broadcast(finer), "mask").select(
-            F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key"), "start", "fp").distinct()
+            F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key"), F.lit(None).cast("int").alias("start"), "fp").distinct()
 
 
 def _family_links(marked: DataFrame, family: int) -> DataFrame:

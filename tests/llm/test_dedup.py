@@ -111,6 +111,22 @@ def test_links_of_crowded_keys(spark, most):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
 
 
+def test_pairs_alone_in_a_crowd_of_one_key(spark):
+    """Refined keys hold fingerprints from several starts of the ring; pairs that fit one start's chains alone are linked too."""
+    draw, start = random.Random(7), 0x123456789A  # segments 0 to 4 are equal
+    crowd, pairs = [], []
+    while len(crowd) < 600:
+        x = start | draw.getrandbits(24) << 40
+        if all((x ^ y).bit_count() > 6 for y in crowd[-30:]):
+            crowd.append(x)
+    for x in crowd[:60]:
+        pairs.append((x, x ^ sum(1 << 40 + 8 * s + draw.randrange(8) for s in range(3))))
+    prints = sorted({p for pair in pairs for p in pair} | set(crowd))
+    frame = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fp long")
+    found = {r["node"] % (1 << 64): r["root"] for r in connected_components(simhash.near_links(frame)).collect()}
+    assert [pair for pair in pairs if found.get(pair[0], pair[0]) != found.get(pair[1], pair[1])] == []
+
+
 def test_components_of_a_path_and_a_hub(spark):
     links = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 60)] + [(5, 5)]
     found = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
