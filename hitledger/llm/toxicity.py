@@ -166,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     return fit([x[1] for x in rows], np.array([x[2] for x in rows], np.int64))
 
 
-def score_documents(docs: DataFrame, model: Model, offending: float = 0.5, most: int = 20) -> DataFrame:
-    """doc_id, score, sentences: the ``most`` worst sentences that score ``offending`` or more, as (start, end, score) in words.
+def score_documents(docs: DataFrame, model: Model, offending: float = 0.5) -> DataFrame:
+    """doc_id, score, sentences: all sentences that score ``offending`` or more, worst first, as (start, end, score) in words.
 
     Whole texts; a null or empty text scores 0. Rows that repeat an id are scored each.
     """
@@ -184,7 +184,7 @@ def score_documents(docs: DataFrame, model: Model, offending: float = 0.5, most:
                 for i in np.flatnonzero(scores >= offending):
                     start = base[text[i]]
                     found[text[i]].append({"start": int(first[i] - start), "end": int(ends[i] - start), "score": float(scores[i])})
-                found = [sorted(x, key=lambda s: (-s["score"], s["start"]))[:most] for x in found]
+                found = [sorted(x, key=lambda s: (-s["score"], s["start"])) for x in found]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(doc_ids, pa.int64()), pa.array(noisy_or(scores, text, len(texts))),
                     pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))],

@@ -83,6 +83,14 @@ def test_toxicity_without_labels_or_text(spark):
     assert toxicity.score_documents(table(spark, []), model).count() == 0
 
 
+def test_toxicity_places_every_offending_sentence(spark):
+    weights = np.zeros(toxicity.FEATURES, np.float32)
+    weights[toxicity.word_features(b"grumpf.")] = 5.0
+    docs = table(spark, [(1, "grumpf. fine. " * 500, "en", "a"), (2, "fine.", "en", "a")])
+    found = {r["doc_id"]: r["sentences"] for r in toxicity.score_documents(docs, toxicity.Model(weights, -5.0)).collect()}
+    assert [(s["start"], s["end"]) for s in found[1]] == [(2 * i, 2 * i + 1) for i in range(500)] and found[2] == []
+
+
 def judged(url, rules):
     host = path = ""
     if url and "://" in url:
