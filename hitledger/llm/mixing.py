@@ -16,15 +16,16 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from hitledger.llm.common import WORD, small_table, text_or_empty, written
 
 DIGITS = (52, 40, 28, 16, 4, 0)  # shifts that bring a 64-bit hash down to its leading 12, 24, ... 64 bits
-FILLS = 5
 
 
 @dataclass(frozen=True)
 class Mix:
     """``documents``: doc_id, members, size (words), copies and taken (words) of every row. ``targets`` and ``sizes`` by source;
-    ``routes``: words that each (pattern, source) contributes; ``plan``: by pattern, how documents are chosen by their hash."""
+    ``routes``: words that each (pattern, source) contributes; ``plan``: by pattern, how documents are chosen by
+    their hash; ``picks``: those chosen besides."""
     documents: DataFrame
     plan: DataFrame
+    picks: DataFrame
     seed: int
     sizes: dict[str | None, int]
     targets: dict[str | None, float]
@@ -163,27 +164,48 @@ def mix(docs: DataFrame, members: Column, weights=repeating_weights, share: floa
     for (sources, _), n in routes.items():
         given[sources] = given.get(sources, 0) + n
     rounds = {keys[p]: divmod(n, patterns[p]) for p, n in given.items()}
-    cuts = _cuts(sized, {key: rest for key, (_, rest) in rounds.items()})
-    picks: dict[str, list[int]] = {key: [] for key in cuts}
-    for turn in range(FILLS + 1):  # what is missing up to a cut: the largest document beyond it that fits, and so on
-        last = turn == FILLS  # and the smallest that does not fit, if that comes nearer
-        gaps = [(key, cut, missing, picks[key]) for key, (cut, missing) in cuts.items() if missing > 0]
-        if not gaps:
-            break
-        frame = small_table(spark, gaps, "_key string, _cut long, _missing long, _picked array<long>")
-        fits = F.col("size").between(F.col("_missing") + 1, 2 * F.col("_missing") - 1) if last else F.col("size") <= F.col("_missing")
-        beyond = sized.filter("size > 0").join(frame, "_key").filter(fits & F.expr("_hash >= _cut AND NOT array_contains(_picked, _hash)"))
-        pick = (F.min if last else F.max)(F.struct("size", "_hash"))
-        best = beyond.groupBy("_key").agg(pick.alias("best")).collect()
-        for x in best:
-            picks[x["_key"]].append(x["best"]["_hash"])
-            cuts[x["_key"]] = (cuts[x["_key"]][0], cuts[x["_key"]][1] - x["best"]["size"])
+    units = written(sized.groupBy("_key", "_hash").agg(F.sum("size").alias("size")).filter("size > 0"), "units")
+    cuts = _cuts(units, {key: rest for key, (_, rest) in rounds.items()})
+    picks = _fills(units, cuts)
     plan = small_table(
-        spark, [(key, *((rounds.get(key) or (0, 0))[:1]), cuts.get(key, (None, 0))[0], picks.get(key, [])) for key in keys.values()],
-        "_key string, _rounds int, _cut long, _picks array<long>")
-    documents = sized.join(plan, "_key", "left").select("doc_id", "members", "size", _copies().alias("copies")).withColumn(
+        spark, [(key, *((rounds.get(key) or (0, 0))[:1]), cuts.get(key, (None, 0))[0]) for key in keys.values()],
+        "_key string, _rounds int, _cut long")
+    documents = sized.join(plan, "_key", "left").join(picks, ["_key", "_hash"], "left").select("doc_id", "members", "size", _copies().alias("copies")).withColumn(
         "taken", F.col("copies") * F.col("size"))
-    return Mix(documents, plan, seed, sizes, targets, routes)
+    return Mix(documents, plan, picks, seed, sizes, targets, routes)
+
+
+def _fills(units: DataFrame, cuts: dict[str, tuple[int, int]]) -> DataFrame:
+    """(_key, _hash, _picked: true) of the units taken besides those below the cut of a pattern, until none fits that is left.
+
+    From the largest size that fits down, as many units of each size are taken as fit, those of least hash first. Then the smallest
+    unit left is taken too if that comes nearer. Without that last one, picks have no more words than the unit at the cut.
+    """
+    spark = units.sparkSession
+    gaps = [(key, cut, missing) for key, (cut, missing) in cuts.items() if missing > 0]
+    if not gaps:
+        return spark.createDataFrame([], "_key string, _hash long, _picked boolean")
+    beyond = units.join(small_table(spark, gaps, "_key string, _cut long, _missing long"), "_key").filter("_hash >= _cut")
+    sizes = beyond.filter("size <= _missing").groupBy("_key", "_missing", "size").agg(F.count("*").alias("n"))
+    listed = sizes.groupBy("_key", "_missing").agg(F.sort_array(F.collect_list(F.struct("size", "n")), False).alias("sizes"))
+    filled = written(listed.select("_key", F.expr("""
+        aggregate(sizes, named_struct('missing', _missing, 'took', cast(array() AS array<struct<size: bigint, k: bigint, n: bigint>>)),
+            (a, x) -> if(x.size > a.missing, a, named_struct(
+                'missing', a.missing - least(x.n, a.missing div x.size) * x.size,
+                'took', concat(a.took, array(named_struct('size', x.size, 'k', least(x.n, a.missing div x.size), 'n', x.n))))))
+        """).alias("f")).select("_key", F.col("f.missing").alias("_left"), F.col("f.took").alias("_took")), "filled")
+    took = filled.select("_key", F.inline("_took"))
+    # A size of which units stay leaves less than half of what was missing before, so these are few for each pattern.
+    some = {f"{x['size']} {x['_key']}": x for x in took.filter("k < n").collect()}
+    of_size = beyond.select(F.concat_ws(" ", "size", "_key").alias("_key"), "_hash", F.lit(1).cast("long").alias("size"))
+    upto = _cuts(of_size, {name: x["k"] for name, x in some.items()})
+    upto = small_table(spark, [(x["_key"], x["size"], upto[name][0]) for name, x in some.items()], "_key string, size long, _upto long")
+    picks = written(beyond.join(took, ["_key", "size"]).join(upto, ["_key", "size"], "left").filter("k = n OR _hash <= _upto").select(
+        "_key", "_hash", F.lit(True).alias("_picked")), "picks")
+    left = beyond.join(filled.select("_key", "_left"), "_key", "left").join(picks, ["_key", "_hash"], "left").filter("_picked IS NULL").withColumn(
+        "_left", F.coalesce("_left", "_missing")).filter("size BETWEEN _left + 1 AND 2 * _left - 1")
+    nearer = left.groupBy("_key").agg(F.min(F.struct("size", "_hash")).alias("best")).select("_key", F.col("best._hash").alias("_hash"), F.lit(True).alias("_picked"))
+    return written(picks.unionByName(nearer), "picks")
 
 
 def _drawn(members: Column, seed: int) -> list[Column]:
@@ -193,12 +215,16 @@ def _drawn(members: Column, seed: int) -> list[Column]:
 
 
 def _copies() -> Column:
-    once = F.coalesce(F.col("_hash") < F.col("_cut"), F.lit(False)) | F.coalesce(F.array_contains("_picks", F.col("_hash")), F.lit(False))
+    once = F.coalesce(F.col("_hash") < F.col("_cut"), F.lit(False)) | F.coalesce("_picked", F.lit(False))
     return F.coalesce("_rounds", F.lit(0)) + F.when(once, 1).otherwise(0)
 
 
 def mixed_documents(docs: DataFrame, members: Column, result: Mix) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them, repeated ones that many times, with the columns of ``docs``. No text is shuffled."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *_drawn(members, result.seed)).join(result.plan, "_key", "left")
+    """The rows of ``docs`` as the mix takes them, repeated ones that many times, with the columns of ``docs``.
+
+    No text is shuffled unless picks are too many to broadcast.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_drawn(members, result.seed)).join(result.plan, "_key", "left").join(
+        result.picks, ["_key", "_hash"], "left")
     return rows.withColumn("copies", _copies()).filter("copies > 0").select(
         "row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -204,6 +204,18 @@ def test_mix(spark):
     assert mixing.mixed_documents(empty, members, mixing.mix(empty, members)).count() == 0
 
 
+def test_mix_fills_what_a_very_long_document_leaves(spark):
+    """Short documents fill the gap at a cut that falls on a very long one or on many equal rows; what is missing is within half a document."""
+    rows = [(1, prose(30_000, 5), "en", "a"), *[(10 + i, prose(20, i), "en", "a") for i in range(2000)]]
+    rows += [(2, prose(20, 3), "en", "b")] * 300 + [(5000 + i, prose(20, i), "en", "b") for i in range(400)]
+    docs = table(spark, rows)
+    for seed in (1, 2, 3, 4):
+        result = mixing.mix(docs, F.array("source"), weights=lambda s: {"a": 70_000, "b": 14_000}, seed=seed)
+        taken = {r["members"][0]: r["n"] for r in result.documents.groupBy("members").agg(F.sum("taken").alias("n")).collect()}
+        assert all(abs(taken[s] - target) <= 10 for s, target in result.targets.items())
+        assert result.documents.filter("doc_id = 2").select("copies").distinct().count() == 1
+
+
 def test_mix_of_overlapping_sources(spark):
     rows = [(i, prose(10, i), "en", "a") for i in range(300)]
     docs = table(spark, rows)
