@@ -156,13 +156,16 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from at most ``sample`` labelled documents of at most ``sample_bytes`` bytes each that are not held out.
 
-    The sample is drawn by a hash of doc_id and sent to the driver (``sample * sample_bytes`` bounds it). Null labels teach nothing.
+    The sample is drawn by a hash of doc_id and sent to the driver (``sample * sample_bytes`` bounds it): of rows that
+    repeat an id, one text stands for each label, that of least hash. Null labels teach nothing.
     """
     marked = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_labelled"), "toxic")
     drawn = marked.select("*", F.xxhash64("_labelled").alias("_order")).orderBy("_order", "toxic").limit(sample)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).filter(F.octet_length("text") <= sample_bytes).join(
-        F.broadcast(drawn), F.col("doc_id") == F.col("_labelled")).select("_order", "text", "toxic").collect()
-    rows = sorted(((x["_order"], bytes(x["text"]), x["toxic"]) for x in rows))[:2 * sample]
+    labelled = docs.select("doc_id", F.col("text").cast("binary").alias("text")).filter(F.octet_length("text") <= sample_bytes).join(
+        F.broadcast(drawn), F.col("doc_id") == F.col("_labelled"))
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    rows = labelled.groupBy("_order", "_labelled", "toxic").agg(least.alias("least")).collect()
+    rows = sorted((x["_order"], bytes(x["least"]["text"]), x["toxic"]) for x in rows)
     return fit([x[1] for x in rows], np.array([x[2] for x in rows], np.int64))
 
 

@@ -83,6 +83,14 @@ def test_toxicity_without_labels_or_text(spark):
     assert toxicity.score_documents(table(spark, []), model).count() == 0
 
 
+def test_toxicity_trains_on_one_text_of_an_id(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: (texts, labels.tolist()))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:10]
+    docs = table(spark, [(i, f"text {i} {k}", "en", "a") for i in ids for k in range(50 if i == ids[0] else 1)])
+    texts, labels = toxicity.train(docs, spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int"))
+    assert sorted(int(t.split()[1]) for t in texts) == ids and sorted(labels) == sorted(i % 2 for i in ids)
+
+
 def test_toxicity_places_every_offending_sentence(spark):
     weights = np.zeros(toxicity.FEATURES, np.float32)
     weights[toxicity.word_features(b"grumpf.")] = 5.0
