@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -28,6 +29,26 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str, most: int =
     return F.broadcast(frame) if len(rows) <= most else frame
 
 
+def joined_back(rows: DataFrame, keys: list[str], *aggregates: Column, most: int = 10_000) -> DataFrame:
+    """``rows`` with the named ``aggregates`` of their group; null keys are equal. Keys are numbers, hashes or other short values.
+
+    The groups are aggregated in every task before the shuffle. At most ``most`` of them, those with the most rows, are broadcast
+    to the rows; only rows of smaller groups (each less than one in ``most`` of all) are shuffled, so no hot key meets in a task.
+    """
+    own = [f"_key{i}" for i in range(len(keys))]
+    groups = written(rows.groupBy(*keys).agg(F.count("*").alias("_n"), *aggregates).withColumnsRenamed(dict(zip(keys, own))), "groups")
+    least = groups.select("_n").orderBy(F.desc("_n")).offset(most).limit(1).first()
+
+    def same(side: DataFrame) -> Column:
+        return reduce(Column.__and__, [rows[k].eqNullSafe(side[o]) for k, o in zip(keys, own)])
+
+    if least is None:
+        return rows.join(F.broadcast(groups.drop("_n")), same(groups)).drop(*own)
+    hot, cold = F.broadcast(groups.filter(F.col("_n") > least["_n"]).drop("_n")), groups.filter(F.col("_n") <= least["_n"]).drop("_n")
+    quiet = rows.join(hot, same(hot), "left_anti")
+    return rows.join(hot, same(hot)).drop(*own).unionByName(quiet.join(cold, same(cold)).drop(*own))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once a row, also where ``use`` names it inside a lambda."""
     return F.transform(F.array(value), use)[0]

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hitledger.llm import exact_dedup, mixing, packing, quality, simhash, substrings, token_counts, token_files, toxicity, url_filter
+from hitledger.llm import (exact_dedup, lexical, mixing, packing, quality, simhash, substrings, token_counts, token_files, toxicity, url_filter,
+                           vector_codes, warc)
 from hitledger.llm.common import small_table, written
 from hitledger.session import shared_dir
 
@@ -82,6 +83,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.encode(_table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return vector_codes.with_label_error(codes.rows).select(
+        "vec_id", code.alias("code"), "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write_archives(warc.capture(_table(spark, sf_dir, "pages")), path)
+    found = warc.resolved(warc.read_pages(spark, path))
+    whole = F.when(F.col("problem").isNull(), F.col("payload_bytes")).otherwise(F.raise_error("problem").cast("long"))
+    return found.select("page_id", whole.alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"),
+                        F.col("refers_page").alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
@@ -93,4 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_warc": op13_warc,
 }

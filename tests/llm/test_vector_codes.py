@@ -1,0 +1,114 @@
+"""Product codes against plain assignment in every round."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hitledger.llm import vector_codes
+
+SCHEMA = "vec_id long, embedding array<float>, label int, codes string, error string, v int"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, label, "c", "e", 1) for i, v, label in rows], SCHEMA)
+
+
+def brute(rows, parts, entries, rounds):
+    """[(vec_id, codes, error)] sorted, and the final codebooks."""
+    kept = sorted((i is None, i or 0, [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]) for i, v, _ in rows
+                  if v is not None and all(x is not None and np.isfinite(x) for x in v))
+    width = len(kept[0][2]) // parts
+    cut = [[tuple(v[p * width:(p + 1) * width]) for p in range(parts)] for _, _, v in kept]
+    books = [[c[p] for c in cut[:entries]] for p in range(parts)]
+
+    def nearest(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, e)), i) for i, e in enumerate(book))
+
+    for r in range(rounds + 1):
+        found = [[nearest(c[p], books[p]) for p in range(parts)] for c in cut]
+        if r < rounds:
+            for p in range(parts):
+                for e in range(len(books[p])):
+                    mine = [c[p] for c, f in zip(cut, found) if f[p][1] == e]
+                    if mine:
+                        books[p][e] = tuple(sum(x) // len(mine) for x in zip(*mine))
+    return sorted(((None if null else i, [e for _, e in f], sum(d for d, _ in f)) for (null, i, _), f in zip(kept, found)), key=repr), books
+
+
+@pytest.mark.parametrize("entries,groups,rounds,spread", [(64, 4, 2, 0.2), (16, 16, 5, 1.0), (5, 1, 4, 0.05), (16, 3, 0, 1.0)])
+def test_codes(spark, entries, groups, rounds, spread):
+    draw = np.random.default_rng(entries)
+    centres = draw.normal(0, 1, (9, 12))
+    rows = [(int(i), (centres[i % 9] + draw.normal(0, spread, 12)).tolist(), int(i % 4)) for i in draw.permutation(400)]
+    rows += [(i + 1000, rows[i][1], None) for i in range(30)]  # ties: equal vectors
+    got = vector_codes.encode(frame(spark, rows).repartition(5), parts=4, entries=entries, rounds=rounds, groups=groups)
+    want, books = brute(rows, 4, entries, rounds)
+    assert sorted(((r["vec_id"], r["codes"], r["error"]) for r in got.rows.collect()), key=repr) == want
+    assert [[tuple(e) for e in book] for book in got.history[-1].tolist()] == books
+    assert len(got.history) == rounds + 1
+
+
+def test_awkward_rows(spark):
+    good = [(i, [((i * 37 + j * 11) % 100) / 50 - 1 for j in range(4)], i % 2) for i in range(8)]
+    bad = [(50, None, 1), (51, [1.0, None, 0.0, 0.0], 1), (52, [float("nan")] * 4, 1), (53, [0.0, float("inf"), 0.0, 0.0], 0)]
+    repeats = [(3, good[0][1], None), (3, good[3][1], None), (None, [0.5] * 4, None)]
+    got = vector_codes.encode(frame(spark, good + bad + repeats), parts=2, entries=4, rounds=2)
+    want, _ = brute(good + repeats, 2, 4, 2)
+    assert sorted(((r["vec_id"], r["codes"], r["error"]) for r in got.rows.collect()), key=repr) == want
+    odd = [(60, [], 1), (61, [1.0, 2.0], 1), (62, [1.0] * 3, 0), (63, [3e38, 0.0, 0.0, 0.0], 0)]
+    with_odd = vector_codes.encode(frame(spark, good + bad + repeats + odd), parts=2, entries=4, rounds=2)
+    assert sorted(((r["vec_id"], r["codes"], r["error"]) for r in with_odd.rows.collect()), key=repr) == sorted(
+        want + [(i, None, None) for i, *_ in odd], key=repr)
+    assert with_odd.digest() == got.digest()
+    sums = {}
+    for i, _, label in good + repeats:
+        pass
+    rows = vector_codes.with_label_error(got.rows).collect()
+    for r in rows:
+        sums[r["label"]] = sums.get(r["label"], 0) + r["error"]
+    assert {(r["label"], r["label_error"]) for r in rows} == set(sums.items()) and None in sums
+    for empty in ([], bad):
+        none = vector_codes.encode(frame(spark, empty), parts=2)
+        assert none.rows.count() == 0 and none.history is None and vector_codes.with_label_error(none.rows).count() == 0
+        assert none.reconstruct().count() == 0
+
+
+def test_reconstruction_is_as_far_as_the_error_says(spark):
+    rows = [(i, [((i * 37 + j * 11) % 100) / 64 - 1 for j in range(8)], 0) for i in range(100)]
+    got = vector_codes.encode(frame(spark, rows), parts=4, entries=16)
+    near = {r["vec_id"]: r["vector"] for r in got.reconstruct().collect()}
+    for r in got.rows.collect():
+        assert sum((np.floor(256 * a) - 256 * b) ** 2 for a, b in zip(rows[r["vec_id"]][1], near[r["vec_id"]])) == r["error"]
+
+
+def test_bounds_spare_distances_and_stay_below():
+    """In later rounds most groups need no rescan; bounds never exceed the true distances; stamps are of different rounds."""
+    draw = np.random.default_rng(1)
+    centres = draw.integers(-400, 400, (1, 32, 4))
+    vectors = (centres[:, draw.integers(0, 32, 3000)].transpose(1, 0, 2) + draw.integers(-9, 10, (3000, 1, 4))).astype(np.int64)
+    history = [centres[:, :].copy() + draw.integers(-4, 5, centres.shape)]
+    state = (None, None, None)
+    costs = []
+    for _ in range(4):
+        *state, squared, measured = vector_codes.assign(vectors, history, *state)
+        costs.append(measured)
+        exact = vector_codes._squares(vectors[:, 0], history[-1][0])
+        assert (state[0][:, 0] == exact.argmin(axis=1)).all() and (squared[:, 0] == exact.min(axis=1)).all()
+        moved = vector_codes._displacement(history, np.array_split(np.arange(32), 4))
+        others = np.sqrt(exact.astype(float))
+        others[np.arange(3000), state[0][:, 0]] = np.inf
+        for g, members in enumerate(np.array_split(np.arange(32), 4)):
+            bound = state[1][:, 0, g].astype(float) - moved[state[2][:, 0, g], 0, g]
+            assert (bound <= others[:, members].min(axis=1) + 1e-6).all()
+        new = history[-1].copy()
+        for e in range(32):
+            mine = vectors[state[0][:, 0] == e, 0]
+            if len(mine):
+                new[0, e] = mine.sum(axis=0) // len(mine)
+        history.append(new)
+    assert costs[1] < costs[0] / 4 and costs[-1] < costs[0] / 4
+
+
+def test_scaled_components(spark):
+    rows = spark.createDataFrame([([-0.001, 0.001, -1.0, 0.99999],)], "v array<float>")
+    assert rows.select(vector_codes.scaled(F.col("v"))).first()[0] == [-1, 0, -256, 255]

@@ -1,0 +1,143 @@
+"""WARC archives: round trips, segments, chunks, damage."""
+
+import base64
+import gzip
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from hitledger.llm import warc
+from tests.llm.corpus import LONG
+
+SCHEMA = "page_id long, url string, html string, row string, type string, payload string, n int, block binary"
+TRICKY = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n\r\n0\r\n\r\n"
+PAGES = [(1, "http://a/", "<p>é €𝄞</p>" * 30), (2, None, None), (3, "http://c/\r\nX: y", ""), (4, "http://d/", "same"), (5, "http://e/", "same"),
+         (6, "http://f/", TRICKY), (7, "http://g/", LONG), (8, "http://h/", LONG), (8, "http://h/", LONG), (None, "http://i/", "no id"),
+         (None, "http://j/", "same"), (9, "http://k/", "\x00\x01\n\r\r\n"), (10, "http://l/", ""), (11, "http://m/", "x" * 16384), (12, "http://n/", "é" * 40000)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "r", "t", "p", 1, b"b") for r in rows], SCHEMA)
+
+
+def digest(payload):
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def round_trip(spark, tmp_path, pages, at_least=0, **options):
+    path = str(tmp_path / "archives")
+    warc.write_archives(warc.capture(pages, at_least), path, **options)
+    return path
+
+
+def expected(rows, at_least=0):
+    payloads = [(page_id, (html or "").encode()) for page_id, _, html in rows]
+    out = []
+    for i, (page_id, payload) in enumerate(payloads):
+        equal = [(p is not None, p or 0) for p, x in payloads if x == payload]
+        best = max(equal)
+        first = next(j for j, (p, x) in enumerate(payloads) if x == payload and (p is not None, p or 0) == best)
+        response = len(payload) < at_least or i == first
+        out.append((page_id, "response" if response else "revisit", len(payload), digest(payload), None if response else best[1] if best[0] else None, None))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("segment,chunk,at_least", [(16384, 4096, 0), (1000, 7, 0), (100_000, 100_000, 4), (512, 4096, 100)])
+def test_round_trip(spark, tmp_path, segment, chunk, at_least):
+    rows = PAGES if segment > 500 and chunk > 10 else [r for r in PAGES if r[2] != LONG]
+    path = round_trip(spark, tmp_path, frame(spark, rows), at_least, segment=segment, chunk=chunk)
+    found = warc.read_pages(spark, path)
+    got = sorted((tuple(r) for r in warc.resolved(found).collect()), key=repr)
+    assert got == expected(rows, at_least)
+    by_page = {r["page_id"]: (r["html"] or "").encode() for r in frame(spark, rows).collect()}
+    for r in found.filter("type = 'response' AND page_id IS NOT NULL").collect():
+        assert bytes(r["payload"]) == by_page[r["page_id"]] and r["problem"] is None
+
+
+def test_empty_table(spark, tmp_path):
+    path = round_trip(spark, tmp_path, frame(spark, []))
+    assert warc.resolved(warc.read_pages(spark, path)).count() == 0
+
+
+def test_archives_are_well_formed(spark, tmp_path):
+    """A plain reader of the format finds whole records, lengths that fit, and every segment of a long page."""
+    path = round_trip(spark, tmp_path, frame(spark, PAGES).coalesce(1), segment=1000, archive_bytes=20_000)
+    files = sorted((tmp_path / "archives").glob("*.gz"))
+    assert len(files) > 5 and path
+    kinds, long_parts = [], []
+    for file in files:
+        data = gzip.decompress(file.read_bytes())
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+            assert head.startswith(b"WARC/1.1\r\n") and b"WARC-Record-ID" in fields and b"WARC-Date" in fields
+            n = int(fields[b"Content-Length"])
+            assert rest[n:n + 4] == b"\r\n\r\n"
+            rest[:n].decode()  # no character is cut
+            kinds.append(fields[b"WARC-Type"])
+            if b"WARC-Segment-Number" in fields:
+                assert n <= 1000
+                long_parts.append(fields)
+            data = rest[n + 4:]
+    assert {b"response", b"revisit", b"continuation"} == set(kinds)
+    assert sum(int(f.get(b"WARC-Segment-Total-Length", 0)) for f in long_parts) == sum(int(f[b"Content-Length"]) for f in long_parts)
+
+
+def record(kind, block, **fields):
+    lines = [f"WARC-Type: {kind}", *[f"{k.replace('_', '-')}: {v}" for k, v in fields.items()], f"Content-Length: {len(block)}"]
+    return ("WARC/1.0\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nTransfer-Encoding:  Chunked\r\n\r\n"
+
+
+def read(spark, folder):
+    return {r["record_id"]: (r["problem"], r["payload"] and bytes(r["payload"])) for r in warc.read_pages(spark, str(folder)).collect()}
+
+
+def test_foreign_and_damaged_archives(spark, tmp_path):
+    """Segments in another file and order; missing, repeated and false ones; broken chunks; chunk extensions; cut archives."""
+    body = HTTP + b"5;x=1\r\nhello\r\n1\r\n!\r\n0\r\nTrailer: t\r\n\r\n"
+    a = gzip.compress(record("warcinfo", b"made by hand", WARC_Record_ID="<i>")) + gzip.compress(
+        record("continuation", body[40:], WARC_Record_ID="<s3>", WARC_Segment_Number=3, WARC_Segment_Origin_ID="<s>", WARC_Segment_Total_Length=len(body)))
+    b = (record("response", body[:10], WARC_Record_ID="<s>", WARC_Segment_Number=1)
+         + record("continuation", body[10:40], WARC_Record_ID="<s2>", WARC_Segment_Number=2, WARC_Segment_Origin_ID="<s>")
+         + record("response", body[:10], WARC_Record_ID="<gap>", WARC_Segment_Number=1)
+         + record("continuation", body[10:], WARC_Record_ID="<g3>", WARC_Segment_Number=3, WARC_Segment_Origin_ID="<gap>", WARC_Segment_Total_Length=len(body))
+         + record("response", body[:10], WARC_Record_ID="<short>", WARC_Segment_Number=1)
+         + record("continuation", body[10:], WARC_Record_ID="<h2>", WARC_Segment_Number=2, WARC_Segment_Origin_ID="<short>", WARC_Segment_Total_Length=9)
+         + record("response", body[:10], WARC_Record_ID="<open>", WARC_Segment_Number=1)
+         + record("continuation", b"x", WARC_Record_ID="<o2>", WARC_Segment_Number=2, WARC_Segment_Origin_ID="<lost>", WARC_Segment_Total_Length=1)
+         + record("response", HTTP + b"5\r\nhel", WARC_Record_ID="<cut>") + record("response", HTTP + b"zz\r\n", WARC_Record_ID="<hex>")
+         + record("response", b"HTTP/1.1 200 OK\r\n\r\nplain\r\n\r\n", WARC_Record_ID="<plain>"))
+    (tmp_path / "a.warc.gz").write_bytes(a)
+    (tmp_path / "b.warc").write_bytes(b)
+    got = read(spark, tmp_path)
+    assert got == {"<s>": (None, b"hello!"), "<gap>": ("segments are missing or repeated", None), "<short>": ("segments do not have the total length", None),
+                   "<open>": ("not one last segment", None), "<lost>": ("no first segment", None), "<cut>": ("broken chunks", None),
+                   "<hex>": ("broken chunks", None), "<plain>": (None, b"plain\r\n\r\n")}
+    whole = record("response", HTTP + b"0\r\n\r\n", WARC_Record_ID="<w>")
+    for name, data, problem in (("c.warc", whole + whole[:-20], "the archive ends inside a record"), ("d.warc", whole + b"junk", "no record where one should start"),
+                                ("e.warc.gz", gzip.compress(whole + whole)[:-12], "unreadable archive: EOFError"),
+                                ("f.warc", whole + b"WARC/1.0\r\nContent-Length: x\r\n\r\n", "a record without a length")):
+        folder = tmp_path / name.replace(".", "-")
+        folder.mkdir()
+        (folder / name).write_bytes(data)
+        rows = warc.read_pages(spark, str(folder)).collect()
+        assert [r["problem"] for r in rows if r["problem"]] == [problem] and bytes(rows[0]["payload"]) == b""
+
+
+def test_many_revisits_of_one_response(spark, tmp_path):
+    rows = [(i, f"http://{i}/", "hot" if i % 3 else f"own {i}") for i in range(300)]
+    path = round_trip(spark, tmp_path, frame(spark, rows))
+    assert sorted((tuple(r) for r in warc.resolved(warc.read_pages(spark, path)).collect()), key=repr) == expected(rows)
+
+
+def test_framing(spark):
+    for payload in (b"", b"a", "é€𝄞".encode() * 9, b"\x80\x81" * 30, b"\xff\xfe" * 9):
+        for chunk in (4, 7, 1000):
+            framed = spark.createDataFrame([(bytearray(payload),)], "p binary").select(warc.chunked(F.col("p"), chunk)).first()[0]
+            assert warc.dechunked(bytes(framed)) == payload
+    assert [spark.createDataFrame([(bytearray(p),)], "p binary").select(warc.base32_sha1(F.col("p"))).first()[0] for p in (b"", b"abc")] == [
+        digest(b""), digest(b"abc")]
