@@ -37,7 +37,7 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def _cuts(text: Column, every: int) -> Column:
-    """The pieces of a binary column of at most ``every`` bytes, UTF-8 characters whole; an empty array for an empty one."""
+    """The pieces of a binary column, cut before the character that holds each ``every``-th byte; an empty array for an empty one."""
     def edge(at: Column) -> Column:
         """The last place up to ``at`` where no character is open: a character has four bytes at most."""
         def open_(i: int) -> Column:
@@ -108,7 +108,8 @@ def records(captured: DataFrame, date: str, segment: int = SEGMENT, chunk: int =
         _joined(["HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"]))
     framed = captured.withColumn("block", http).drop("payload")
     cut = framed.withColumn("total", F.octet_length("block")).withColumn("parts", _cuts(F.col("block"), segment)).drop("block")
-    each = cut.select("*", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "part")).drop("parts")
+    # No block is empty. The inner form would have Spark filter on the cut block beneath all steps that make it.
+    each = cut.select("*", F.size("parts").alias("n"), F.posexplode_outer("parts").alias("i", "part")).drop("parts")
     own, many, first, last = _record_id("row"), F.col("n") > 1, F.col("i") == 0, F.col("i") == F.col("n") - 1
     number = F.col("i") + 1
     head = F.concat(
