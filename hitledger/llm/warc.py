@@ -183,7 +183,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def found(content: bytes) -> Iterator[tuple]:
         stream = io.BytesIO(content)
         try:
-            yield from _parse(io.BufferedReader(gzip.GzipFile(fileobj=stream)) if content[:2] == b"\x1f\x8b" else stream)
+            yield from _parse(gzip.GzipFile(fileobj=stream) if content[:2] == b"\x1f\x8b" else stream)
         except (EOFError, OSError, zlib.error) as e:
             yield (*[None] * 10, f"unreadable archive: {type(e).__name__}")
 
