@@ -170,3 +170,63 @@ def test_cover_reaches_every_pair_of_positions():
         for b in range(substrings.PERIOD):
             assert any((a + d) % substrings.PERIOD in substrings.COVER and (b + d) % substrings.PERIOD in substrings.COVER
                        for d in range(substrings.PERIOD))
+
+
+def similarity(a, b, shingle=5):
+    one, other = ({tuple(w[i:i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set() for w in (words(lower(a)), words(lower(b))))
+    return len(one & other) / len(one | other) if one | other else 1.0
+
+
+def edited(text, draw, n):
+    w = text.split()
+    for i in draw.sample(range(len(w)), n):
+        w[i] = f"new{draw.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_near_copies_are_linked_by_their_shingles(spark):
+    """Components lie within those of all pairs that are similar, miss few of these, and hold no link that is not."""
+    draw = random.Random(11)
+    bases = [prose(draw.randrange(60, 400), 1000 + i) for i in range(25)]
+    rows = [*EDGES, *[(100 + 20 * i + j, edited(b, draw, draw.randrange(0, max(2, len(b.split()) // 25))), "en", "a") for i, b in enumerate(bases) for j in range(8)]]
+    rows += [(900 + i, edited(bases[i], draw, len(bases[i].split()) // 4), "en", "a") for i in range(25)]  # like, but not like enough
+    got = simhash.near_copies(table(spark, rows)).collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(r[0] for r in rows if r[0] is not None)
+    component = {r["doc_id"]: r["component_id"] for r in got}
+    like = [(a[0], b[0]) for i, a in enumerate(rows) for b in rows[:i] if a[0] is not None and b[0] is not None and similarity(a[1], b[1]) >= 0.8]
+    found = [component[a] == component[b] for a, b in like]
+    assert len(like) > 150 and sum(found) > 0.95 * len(found), (len(like), sum(found))
+    parent = {r[0]: r[0] for r in rows if r[0] is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a, b in like:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    assert all(find(d) == find(c) for d, c in component.items() if d is not None)
+    kept = simhash.keep_dissimilar(table(spark, rows))
+    assert kept.columns == table(spark, rows).columns
+    assert {r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()} == {d for d, c in component.items() if d is not None and d == c}
+    assert simhash.near_copies(table(spark, [])).count() == 0 and simhash.keep_dissimilar(table(spark, rows[:1])).count() == 1
+
+
+def test_a_crowd_of_near_copies_is_compared_a_few_times_each(spark, monkeypatch):
+    base, draw, asked = prose(200, 4), random.Random(2), []
+    rows = [(i, edited(base, draw, 3), "en", "a") for i in range(400)]
+    plain = simhash._compared
+
+    def counting(links, *more):
+        asked.append((links.count(), links.groupBy("a").count().agg(F.max("count")).first()[0]))
+        return plain(links, *more)
+    monkeypatch.setattr(simhash, "_compared", counting)
+    got = simhash.near_copies(table(spark, rows)).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert sum(n for n, _ in asked) < 4 * len(rows)
+
+
+def test_similarity():
+    a, b = prose(100, 1), edited(prose(100, 1), random.Random(1), 4)
+    assert simhash.similarity(a.encode(), b.encode()) == similarity(a, b) and simhash.similarity(b"", b" ") == 1.0 and simhash.similarity(b"a", b"") == 0.0
+    assert simhash.similarity(b"A b", b"a B") == 1.0 and simhash.similarity("Ä".encode(), "ä".encode()) == 0.0
