@@ -20,8 +20,12 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each component of near-duplicates: the smallest doc_id, as component ids in op1, over six families of fingerprints."""
-    return simhash.keep_one(docs, families=6)
+    """One of each component of texts that share 80 % of their five-word shingles: the smallest doc_id, as component ids in op1.
+
+    Candidates come from six families of op1's fingerprints over the different words of texts. Null and empty texts are alike; rows of
+    one doc_id stay or go together; rows without one go where a component has one; an empty table stays empty.
+    """
+    return simhash.keep_dissimilar(docs, least=0.8, shingle=5, families=6)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
