@@ -11,11 +11,11 @@ first of equal windows is a minimum with partial aggregation, and only that hold
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hitledger.llm.common import arrow_table, written
@@ -25,7 +25,7 @@ WINDOW, PERIOD = 20, 13
 COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 PART_BYTES = 16_000_000
-BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so they have inverses modulo 2**64
 
 
 class Words:
@@ -42,6 +42,24 @@ class Words:
         self.ends = np.concatenate([gaps, [len(letters)]])[:n].astype(np.int64)
         self.first = np.cumsum(self.counts) - self.counts
         self.owner = np.repeat(np.arange(len(texts)), self.counts)
+        self.hashes: np.ndarray | None = None
+
+    def _word_hashes(self) -> np.ndarray:
+        """A 64-bit hash of every word, from running sums over its bytes."""
+        hashed, done = np.empty(len(self.starts), np.uint64), 0
+        while done < len(hashed):  # a few megabytes at a time, also inside a very long text
+            low = self.starts[done]
+            upto = max(done + 1, int(np.searchsorted(self.ends, low + 2_000_000)))
+            letters = np.frombuffer(self.buffer, np.uint8)[low:self.ends[upto - 1]].astype(np.uint64) + np.uint64(1)
+            hashed[done:upto] = _spans(letters, self.starts[done:upto] - low, self.ends[done:upto] - low, BASES[0])
+            done = upto
+        return hashed
+
+    def spans(self, at: np.ndarray, length: int, base: int) -> np.ndarray:
+        """A 64-bit hash of the ``length`` words from each of the words ``at`` on; another one for each base."""
+        if self.hashes is None:
+            self.hashes = self._word_hashes()
+        return _spans(self.hashes, at, at + length, base)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """(word number, hash) of every anchor: the first word at a cover position of its text, all words in that text."""
@@ -51,21 +69,7 @@ class Words:
         at = np.arange(n)
         inside = np.isin((at - self.first[self.owner[:n]]) % PERIOD, COVER) & (self.owner[:n] == self.owner[ANCHOR - 1:])
         at = at[inside]
-        hashed = np.empty(len(at), np.uint64)
-        begin, end = self.starts[at], self.ends[at + ANCHOR - 1]
-        done = 0
-        while done < len(at):  # a few megabytes at a time, also inside a very long text
-            low = begin[done]
-            upto = max(done + 1, int(np.searchsorted(end, low + 4_000_000)))
-            letters = np.frombuffer(self.buffer, np.uint8)[low:end[upto - 1]].astype(np.uint64) + np.uint64(1)
-            power, inverse = _powers(len(letters))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * power[:len(letters)])])
-            a, b = begin[done:upto] - low, end[done:upto] - low
-            hashed[done:upto] = (sums[b] - sums[a]) * inverse[a]
-            done = upto
-        hashed ^= hashed >> np.uint64(32)
-        hashed *= np.uint64(0xD6E8FEB86659FD93)
-        return at, hashed ^ hashed >> np.uint64(32)
+        return at, self.spans(at, ANCHOR, BASES[0])
 
     def around(self, anchors: np.ndarray) -> np.ndarray:
         """Numbers of the words at which windows around the given anchors start."""
@@ -76,14 +80,21 @@ class Words:
         last = self.first + self.counts - WINDOW
         return np.flatnonzero((np.cumsum(change)[:n] > 0) & (np.arange(n) <= last[self.owner]))
 
-    def window(self, start: int) -> bytes:
-        return hashlib.blake2b(self.buffer[self.starts[start]:self.ends[start + WINDOW - 1]], digest_size=16).digest()
+    def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each window, in two halves."""
+        return tuple(self.spans(starts, WINDOW, base).view(np.int64) for base in BASES)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n at least."""
+def _spans(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of runs of ``values`` (64-bit) from ``begin`` up to ``end``, the same wherever a run lies: polynomials in ``base``, mixed."""
+    n = len(values)
     with np.errstate(over="ignore"):
-        return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64))]) for x in (BASE, pow(BASE, -1, 1 << 64)))
+        power, inverse = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64))]) for x in (base, pow(base, -1, 1 << 64)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((values ^ np.uint64(base)) * power[:n])])
+        x = (sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0x9FB21C651E98DF25)
+        return x ^ x >> np.uint64(32)
 
 
 def _part(parts: int) -> Column:
@@ -175,15 +186,17 @@ def _list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(high, low, doc_id): the hash of each different window of a slice of documents and the smallest id that has it."""
     for batch in batches:
         for values, texts in slices([batch["doc_id"], batch["windows"]], batch["words"]):
-            least: dict[bytes, int | None] = {}
-            for (doc_id, runs), text in zip(values, texts):
-                words = Words([text])
-                for start in _numbers(runs):
-                    key = words.window(start)
-                    known = least.get(key, doc_id)
-                    least[key] = doc_id if known is None or doc_id is not None and doc_id < known else known
-            halves = np.frombuffer(b"".join(least), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(list(least.values()), pa.int64())],
+            words = Words(texts)
+            own = [_numbers(runs) for _, runs in values]
+            starts = np.concatenate([n + f for n, f in zip(own, words.first)])
+            high, low = words.windows(starts.astype(np.int64))
+            ids = np.repeat(np.array([doc_id or 0 for doc_id, _ in values], np.int64), [len(n) for n in own])
+            nulls = np.repeat(np.array([doc_id is None for doc_id, _ in values], bool), [len(n) for n in own])
+            order = np.lexsort((ids, nulls, low, high))
+            high, low, ids, nulls = high[order], low[order], ids[order], nulls[order]
+            first = np.ones(len(high), bool)
+            first[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(high[first]), pa.array(low[first]), pa.array(ids[first], mask=nulls[first])],
                                              names=["high", "low", "doc_id"])
 
 
@@ -191,23 +204,32 @@ REMOVED = "doc_id long, n_words long, n_removed long, kept binary, removed_spans
 
 
 def _remove(docs: pa.Table, firsts: pa.Table) -> pa.Table:
-    owned = set(zip(firsts["doc_id"].to_pylist(), firsts["low"].to_pylist()))
+    owner, low, nulls = (c.to_numpy() for c in (pc.fill_null(firsts["doc_id"], 0), firsts["low"], pc.is_null(firsts["doc_id"])))
+    order = np.lexsort((owner, nulls))
+    owner, low, nulls = owner[order], low[order], nulls[order]
+    known = int(np.searchsorted(nulls, True))  # rows without an id come last
+
+    def owned(doc_id: int | None) -> np.ndarray:
+        return low[known:] if doc_id is None else low[slice(*np.searchsorted(owner[:known], [doc_id, doc_id + 1]))]
+
     rows = []
-    for doc_id, n, text, runs in zip(*(docs[c].to_pylist() for c in ("doc_id", "n_words", "words", "windows"))):
-        words, starts = Words([text]), _numbers(runs)
-        change = np.zeros(n + 1, np.int64)
-        seen = set()
-        for start in starts:
-            low = int.from_bytes(words.window(start)[8:], "little", signed=True)
-            if low in seen or (doc_id, low) not in owned:
-                change[start] += 1
-                change[start + WINDOW] -= 1
-            seen.add(low)
-        gone = np.cumsum(change)[:n] > 0
-        spans = np.frombuffer(_runs(np.flatnonzero(gone)), np.int32).reshape(-1, 2)
-        split = text.split()
-        kept = b" ".join([split[i] for i in np.flatnonzero(~gone)]) if len(spans) else text
-        rows.append((doc_id, n, int(gone.sum()), kept, [{"start": int(a), "end": int(b)} for a, b in spans]))
+    for values, texts in slices([docs["doc_id"], docs["n_words"], docs["windows"]], docs["words"]):
+        words, own = Words(texts), [_numbers(runs) for *_, runs in values]
+        found = words.windows(np.concatenate([x + f for x, f in zip(own, words.first)]).astype(np.int64))[1]
+        ends = np.cumsum([len(x) for x in own])
+        for i, (doc_id, n, _) in enumerate(values):
+            starts, halves = own[i], found[ends[i] - len(own[i]):ends[i]]
+            first = np.zeros(len(starts), bool)
+            first[np.unique(halves, return_index=True)[1]] = True
+            later = starts[~(first & np.isin(halves, owned(doc_id)))]
+            change = np.zeros(n + 1, np.int64)
+            np.add.at(change, later, 1)
+            np.add.at(change, later + WINDOW, -1)
+            gone = np.cumsum(change)[:n] > 0
+            spans = np.frombuffer(_runs(np.flatnonzero(gone)), np.int32).reshape(-1, 2)
+            split = texts[i].split()
+            kept = b" ".join([split[i] for i in np.flatnonzero(~gone)]) if len(spans) else texts[i]
+            rows.append((doc_id, n, int(gone.sum()), kept, [{"start": int(a), "end": int(b)} for a, b in spans]))
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     return arrow_table(rows, [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()),
                               ("removed_spans", pa.list_(span))])
