@@ -24,6 +24,7 @@ class IngestSummary:
     n_unchanged: int = 0
     files_skipped: dict[str, str] = field(default_factory=dict)  # unreadable archives and why
     errors: dict[str, str] = field(default_factory=dict)  # other unreadable files and why
+    member_errors: dict[str, str] = field(default_factory=dict)  # unusable members of archives that were ingested, and why
     duration_s: float = 0.0
 
 
@@ -67,17 +68,17 @@ def _write_rollups(store: RollupStore, ingest_id: str, parsed: DataFrame, settin
 
 
 def _unusable(parsed: DataFrame) -> DataFrame:
-    """(file, error) of files that can't be read, or whose sizes or times sum to more than a bigint holds."""
+    """(source, file, error) of files and archive members that can't be read, or whose sizes or times sum to more than a bigint holds."""
     wide = [F.sum(F.abs(F.col(c).cast("decimal(38,0)"))) for c in ("bytes", "response_time_us")]
     largest = F.lit(2**63 - 1).cast("decimal(38,0)")
     over = F.when(F.greatest(*wide) > largest, F.lit("sizes or response times sum to more than 2^63 - 1"))
-    return parsed.groupBy("file").agg(F.coalesce(F.min("error"), over).alias("error")).filter("error IS NOT NULL")
+    return parsed.groupBy("source", "file").agg(F.coalesce(F.min("error"), over).alias("error")).filter("error IS NOT NULL")
 
 
 def _entries(store: RollupStore, ingest_id: str, files: list[Row], parsed: DataFrame, now: str,
-             duration_s: float) -> DataFrame:
+             duration_s: float, broken_members: DataFrame) -> DataFrame:
     """Ledger rows of the ingested files: one per file, per archive and per archive member, and tombstones of members
-    that a changed archive no longer has."""
+    that a changed archive no longer has. Members that could not be read keep what they have."""
     listed = store.spark.createDataFrame([(f.source, f.path, f.mtime, f.size, f.kind) for f in files], _FILE)
     counted = parsed.groupBy("source", "file").agg(F.count_if(F.col("outcome") == parse.REQUEST).alias("rows_ingested"))
     archives = listed.filter(F.col("kind") == lg.ARCHIVE).drop("kind")
@@ -89,7 +90,8 @@ def _entries(store: RollupStore, ingest_id: str, files: list[Row], parsed: DataF
         "source", "path", "mtime", "size", "rows_ingested", F.col("file").alias("container"),
         F.lit(ingest_id).alias("data_id"), F.lit(False).alias("deleted"))
     gone = (store.ledger().join(archives.select(F.col("source").alias("container")), "container", "left_semi")
-            .join(members, "source", "left_anti").withColumn("deleted", F.lit(True)).select(*members.columns))
+            .join(members, "source", "left_anti").join(broken_members, "source", "left_anti")
+            .withColumn("deleted", F.lit(True)).select(*members.columns))
     return whole.unionByName(members).unionByName(gone).select(
         "*", F.lit(now).cast("timestamp_ntz").alias("ingested_at"), F.lit(duration_s).alias("duration_s"))
 
@@ -115,19 +117,25 @@ def ingest_listing(store: RollupStore, listing: DataFrame, settings: Settings,
     todo = [f for f in found if f.source not in summary.errors]
     if todo:
         parsed = _stage(store, ingest_id, source_files.read_lines(store.spark, todo))
-        broken = {r.file: r.error for r in _unusable(parsed).collect()}
+        unusable = _unusable(parsed).collect()
+        broken = {r.file: r.error for r in unusable if r.source == r.file}
+        members = {r.source: r.error for r in unusable if r.source != r.file and r.file not in broken}
+        no_members = store.spark.createDataFrame([(m,) for m in members], "source string")
         if broken:
             names = store.spark.createDataFrame([(b,) for b in broken], "file string")
             parsed = parsed.join(names, "file", "left_anti")
+        if members:
+            parsed = parsed.join(no_members, "source", "left_anti")
         good = [f for f in todo if f.source not in broken]
         if good:
             _write_rollups(store, ingest_id, parsed, settings)
-            entries = _entries(store, ingest_id, good, parsed, now, round(time.time() - started, 2))
+            entries = _entries(store, ingest_id, good, parsed, now, round(time.time() - started, 2), no_members)
             store.append_entries(ingest_id, entries, settings.now)
         summary.files_ingested = [f.source for f in good]
         archives = {f.source for f in todo if f.kind == lg.ARCHIVE}
         summary.files_skipped = {f: why for f, why in broken.items() if f in archives}
         summary.errors |= {f: why for f, why in broken.items() if f not in archives}
+        summary.member_errors = members
         if not settings.keep_staging:
             store.drop_staging(ingest_id)
     store.enforce_retention(settings.as_of, settings.retention_days)

@@ -37,7 +37,8 @@ def empty_files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _unpack(frames: Iterator) -> Iterator:
-    """Stream compressed files as blocks of whole lines; a file that fails ends with one null block that tells why."""
+    """Stream compressed files as blocks of whole lines; a file, or a compressed member of an archive, that fails ends with one null
+    block that tells why."""
     import gzip
     import io
     import tarfile
@@ -80,18 +81,29 @@ def _unpack(frames: Iterator) -> Iterator:
                         packed = member.name.lower().endswith(".gz")
                         yield f"{name}/{member.name.removeprefix('./')}", gzip.GzipFile(fileobj=stream) if packed else stream
 
+    def whole_lines(stream):
+        """Blocks of lines without the last line's end, which is \\n, \\r or both."""
+        reader, rest = io.BufferedReader(Bytes(stream)), b""
+        while chunk := reader.read(BLOCK_BYTES):
+            data = rest + chunk
+            cut = max(data.rfind(b"\n"), data.rfind(b"\r", 0, -1))  # what follows a last \r is not known yet
+            if cut >= 0:
+                yield data[:cut].removesuffix(b"\r") if data[cut:cut + 1] == b"\n" else data[:cut]
+            rest = data[cut + 1:]
+        if rest:
+            yield rest.removesuffix(b"\r")
+
     def blocks(path: str, kind: str, name: str):
         try:
             for source, stream in members(path, kind, name):
-                reader, rest = io.BufferedReader(Bytes(stream)), b""
-                while chunk := reader.read(BLOCK_BYTES):
-                    head, end, tail = (rest + chunk).rpartition(b"\n")
-                    if end:
-                        yield source, name, head, None
-                    rest = tail
-                if rest:
-                    yield source, name, rest, None
-        except Exception as problem:  # any damage makes the whole file unreadable; the caller reports it
+                try:
+                    for block in whole_lines(stream):
+                        yield source, name, block, None
+                except Exception as problem:
+                    if source == name or not isinstance(stream, gzip.GzipFile):
+                        raise
+                    yield source, name, None, repr(problem)  # a compressed member is damaged, the archive is not
+        except Exception as problem:  # damage of the file itself; the caller reports it
             yield name, name, None, repr(problem)
 
     for frame in frames:

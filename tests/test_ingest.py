@@ -271,3 +271,46 @@ def test_compact_refuses_when_the_ledger_moved(spark, store, monkeypatch):
     with pytest.raises(RuntimeError, match="compact again"):
         store.compact("whole", "2025-03-10 10:07:00")
     assert total(store) == 5
+
+
+@pytest.mark.parametrize("block_bytes", [1, 7, 4 * 2**20])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_line_ends_are_alike_in_all_kinds_of_files(spark, tmp_path, monkeypatch, end, block_bytes):
+    from hitledger.operators import ledger as lg
+    from hitledger.sources import files
+    monkeypatch.setattr(files, "BLOCK_BYTES", block_bytes)
+    for name, body in (("a", "one{e}two{e}"), ("b", "one{e}{e}two"), ("c", "{e}"), ("d", "x{e}\r\ny\r")):
+        data = body.replace("{e}", end).encode()
+        (tmp_path / f"{name}.log").write_bytes(data)
+        (tmp_path / f"{name}z.log.gz").write_bytes(gzip.compress(data))
+        with tarfile.open(tmp_path / f"{name}t.tar.gz", "w:gz") as archive:
+            entry = tarfile.TarInfo("m.log")
+            entry.size = len(data)
+            archive.addfile(entry, io.BytesIO(data))
+    lines = files.read_lines(spark, lg.classify(files.list_files(spark, str(tmp_path))).collect()).collect()
+    for name in "abcd":
+        kinds = [sorted(r.line for r in lines if r.file == f) for f in (f"{name}.log", f"{name}z.log.gz", f"{name}t.tar.gz")]
+        assert kinds[0] == kinds[1] == kinds[2] and kinds[0]
+
+
+def test_a_damaged_member_does_not_take_the_archive_with_it(store, tmp_path):
+    def pack(third, overflow=1):
+        with tarfile.open(tmp_path / "c.tar.gz", "w:gz") as archive:
+            for name, data in (("one.log", (line() + "\n").encode() * 2), ("two.log.gz", third), ("wide.log", f"{line(size=str(2**63 - 1))}\n".encode() * overflow),
+                               ("last.log", (line() + "\n").encode() * 3)):
+                entry = tarfile.TarInfo(name)
+                entry.size = len(data)
+                archive.addfile(entry, io.BytesIO(data))
+
+    whole = gzip.compress("".join(f"{line(path=f'/{i}')}\n" for i in range(5000)).encode())
+    pack(whole)
+    assert ingest_directory(store, str(tmp_path), at(0)).member_errors == {}
+    assert total(store) == 5006
+    pack(whole[:-500], overflow=2)
+    summary = ingest_directory(store, str(tmp_path), at(30))
+    assert summary.files_ingested == ["c.tar.gz"] and summary.files_skipped == {}
+    assert set(summary.member_errors) == {"c.tar.gz/two.log.gz", "c.tar.gz/wide.log"}
+    assert total(store) == 5006 and total(store, source="c.tar.gz/two.log.gz") == 5000  # their old rows stay
+    pack(b"no gzip")
+    assert set(ingest_directory(store, str(tmp_path), at(59)).member_errors) == {"c.tar.gz/two.log.gz"}
+    assert total(store) == 5006
