@@ -1,6 +1,8 @@
 import gzip
 import os
 
+import pytest
+
 from hitledger import session
 from hitledger.operators import parse, rollups
 from hitledger.plans.ingest import Settings
@@ -107,3 +109,70 @@ def test_watermark_drops_what_is_older(spark, tmp_path):
     days = {str(r.start)[:10]: r["count"] for r in continuous.latest_counts(spark, path).filter("category = 'all'").collect()}
     # 9 March closes 1 and 5 March. Spark still accepts the next batch's lines, and drops those of the batch after it.
     assert days == {"2025-03-09": 1, "2025-03-05": 1, "2025-03-01": 2}
+
+
+ZONES = ("UTC", "America/New_York")
+
+
+def in_zone(spark, zone, action):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        return action()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def text_stream(spark, directory, files=1):
+    return spark.readStream.format("text").option("maxFilesPerTrigger", files).load(str(directory)).select(
+        F.lit("s").alias("source"), F.col("value").alias("line"))
+
+
+def starts(frame):
+    """Windows as the log's clock tells them, whatever zone the session is in."""
+    return sorted((r.start, r["count"]) for r in frame.filter("category = 'all'").select(F.col("start").cast("string"), "count").collect())
+
+
+@pytest.mark.parametrize("zone", ZONES)
+@pytest.mark.parametrize("size,want", [("1 hour", [("2024-03-10 01:00:00", 1), ("2024-03-10 02:00:00", 1), ("2024-03-10 03:00:00", 1), ("2024-03-10 23:00:00", 1)]),
+                                       ("1 day", [("2024-03-10 00:00:00", 4)])])
+def test_windows_are_of_the_logs_clock(spark, tmp_path, zone, size, want):
+    """The night in which New York has no hour from two to three."""
+    (tmp_path / "a.log").write_text("".join(line(at=f"2024-03-10T{t}:00") + "\n" for t in ("01:30", "02:30", "03:30", "23:59")))
+
+    def counted():
+        paths = [session.shared_dir(spark, "counts") for _ in range(3)]
+        for path, mark in zip(paths, ("2 days", None)):
+            continuous.keep_updates(continuous.windowed_counts(text_stream(spark, tmp_path), size, mark), path, session.shared_dir(spark, "checkpoint"),
+                                    available_now=True).awaitTermination()
+            assert starts(continuous.latest_counts(spark, path)) == want
+        continuous.count_windows(text_stream(spark, tmp_path), paths[2], session.shared_dir(spark, "checkpoint"), size, available_now=True).awaitTermination()
+        assert starts(continuous.window_totals(spark, paths[2])) == want
+    in_zone(spark, zone, counted)
+
+
+def test_counts_without_state(spark, tmp_path):
+    """Lines years late count; folders stay few; replayed batches, folded or not, count once; no state is kept."""
+    for i in range(9):
+        (tmp_path / f"{i}.log").write_text("".join(line(at=f"20{20 + i % 5}-01-0{1 + j}T10:00:00", agent=CRAWLER if j else "x") + "\n" for j in range(3)) + "garbage\n")
+        os.utime(tmp_path / f"{i}.log", (1_700_000_000 + i,) * 2)
+    path, checkpoint = session.shared_dir(spark, "counts"), session.shared_dir(spark, "checkpoint")
+    assert continuous.window_totals(spark, path).isEmpty() and continuous.fold_counts(spark, path) is None
+
+    def run(where, fold_every):
+        continuous.count_windows(text_stream(spark, tmp_path), path, where, "1 day", fold_every, available_now=True).awaitTermination()
+
+    def everything():
+        rows = spark.read.text(str(tmp_path)).select(F.lit("s").alias("source"), F.col("value").alias("line"))
+        return sorted(tuple(r) for r in continuous.windowed_counts(rows, "1 day", None).collect())
+
+    run(checkpoint, 2)
+    assert sorted(tuple(r) for r in continuous.window_totals(spark, path).collect()) == everything()
+    assert len(session.children(spark, path)) <= 6 and not session.exists(spark, f"{checkpoint}/state")
+    run(session.shared_dir(spark, "checkpoint"), 100)  # all batches once more under their old numbers
+    assert sorted(tuple(r) for r in continuous.window_totals(spark, path).collect()) == everything()
+    assert continuous.fold_counts(spark, path) == continuous.fold_counts(spark, path) == 8
+    (tmp_path / "late.log").write_text(line(at="1999-12-31T23:59:59") + "\n")
+    run(checkpoint, 2)
+    assert ("1999-12-31 00:00:00", 1) in starts(continuous.window_totals(spark, path))
+    assert sorted(tuple(r) for r in continuous.window_totals(spark, path).collect()) == everything()

@@ -393,3 +393,4 @@ ORACLE: dict[str, str] = {
 ORACLE["stored_top_paths"] = ORACLE["top_paths"]
 ORACLE["stored_subnets"] = ORACLE["subnet_share"]
 ORACLE["stream_hourly_totals"] = ORACLE["hourly_totals"]
+ORACLE["stream_window_parts"] = ORACLE["hourly_totals"]

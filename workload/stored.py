@@ -194,7 +194,18 @@ def stream_hourly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return continuous.latest_counts(spark, path).withColumnRenamed("start", "hour")
 
 
+def stream_window_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hours from stateless batches of every kind of zone: wall-clock windows, folded every few batches."""
+    directory = log_directory(spark, sf_dir, all_text=True)
+    source = F.concat(F.regexp_extract(F.col("_metadata.file_name"), r"^(access_\d+)", 1), F.lit(".log"))
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", 8).load(directory).select(
+        source.alias("source"), F.col("value").alias("line"))
+    path = session.shared_dir(spark, "parts")
+    continuous.count_windows(lines, path, session.shared_dir(spark, "checkpoint"), fold_every=3, available_now=True).awaitTermination()
+    return continuous.window_totals(spark, path).withColumnRenamed("start", "hour")
+
+
 STORED = {f.__name__: f for f in (
     scan_plain_gz_tar, classify_files, replace_by_source, marked_source, delete_source, compacted_store, changed_file_reingest,
     traffic_stats, ingest_and_report, stored_top_paths, stored_subnets, stream_daily_totals, stream_replay_idempotent,
-    stream_late_data, stream_hourly_totals)}
+    stream_late_data, stream_hourly_totals, stream_window_parts)}
