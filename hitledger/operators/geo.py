@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Mapping
+import sys
+from collections.abc import Iterable, Iterator, Mapping
+from itertools import groupby
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hitledger.functions import network as net
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no installed copy of this package
+
 GEO = ("country_code", "country", "city")
 SPREAD = 16
 NO_ADDRESS_PARTS = 1024
@@ -18,12 +24,12 @@ V4_BUCKET, V6_BUCKET = 4, 5  # hexadecimal digits of an address that name its bu
 
 
 def blocks_from_ranges(blocks: DataFrame) -> DataFrame:
-    """Blocks given as inclusive IPv4 integer ranges ``lo`` to ``hi``."""
+    """Blocks given as inclusive IPv4 integer ranges ``lo`` to ``hi`` that do not overlap; ``disjoint`` makes such of others."""
     return blocks.select(net.ipv4_key(F.col("lo")).alias("lo_key"), net.ipv4_key(F.col("hi")).alias("hi_key"), *GEO)
 
 
 def blocks_from_networks(blocks: DataFrame) -> DataFrame:
-    """Blocks given as ``network`` text such as ``203.0.113.0/24`` or ``2001:db8::/32``."""
+    """Blocks given as ``network`` text such as ``203.0.113.0/24`` or ``2001:db8::/32``; ``disjoint`` settles nested ones."""
     parts = F.split("network", "/")
     family_bits = F.when(F.contains("network", F.lit(":")), 128).otherwise(32)
     host_bits = family_bits - F.get(parts, 1).try_cast("int")
@@ -36,6 +42,83 @@ def blocks_from_networks(blocks: DataFrame) -> DataFrame:
     return blocks.select(lo.alias("lo_key"), hi.alias("hi_key"), *GEO).filter(F.col("lo_key").isNotNull())
 
 
+def disjoint(blocks: DataFrame) -> DataFrame:
+    """Blocks (lo_key, hi_key and the geo columns) that hold what the most specific of the given ones holds, without overlap.
+
+    Most specific is the block of fewest addresses; among equally small ones that overlap, the one that starts last, then the least country
+    code, country and city, a missing one after all others. Blocks are cut at bucket borders and swept bucket by bucket in
+    address order, one shuffle; a task holds the blocks that are open at one address. Blocks that end before they start are left out.
+    """
+    ordered = blocks.filter("lo_key <= hi_key").select(
+        F.explode(F.sequence(_bucket(F.col("lo_key")), _bucket(F.col("hi_key")))).alias("bucket"), "lo_key", "hi_key", *GEO)
+    return ordered.repartition("bucket").sortWithinPartitions("bucket", "lo_key").mapInPandas(
+        _sweep, "lo_key string, hi_key string, " + ", ".join(f"{c} string" for c in GEO))
+
+
+def _bounds(bucket: int) -> tuple[int, int]:
+    """First and last address of a bucket, as in ``_bucket``."""
+    if bucket < 16**V4_BUCKET:
+        shift = 4 * (8 - V4_BUCKET)
+        first = (int(net.V4_PREFIX, 16) << 32) + (bucket << shift)
+    else:
+        shift = 4 * (32 - V6_BUCKET)
+        first = bucket - 16**V4_BUCKET << shift
+    return first, first + (1 << shift) - 1
+
+
+def _swept(rows: Iterable[tuple], first: int, last: int) -> Iterator[list]:
+    """[lo, hi, geo] without overlap from (lo, hi, geo) in order of lo, clipped to ``first`` and ``last``."""
+    open_: list[tuple] = []  # most specific on top: size, start from behind, order of names
+    at, made = first, None
+
+    def until(limit: int) -> Iterator[tuple]:
+        nonlocal at
+        while open_ and at <= limit:
+            *_, hi, geo = open_[0]
+            if hi < at:
+                heapq.heappop(open_)
+            else:
+                end = min(hi, limit)
+                yield at, end, geo
+                at = end + 1
+        at = max(at, limit + 1)
+
+    def pieces() -> Iterator[tuple]:
+        for lo, hi, geo in rows:
+            yield from until(max(lo, first) - 1)
+            heapq.heappush(open_, (hi - lo, -lo, [(c is None, c or "") for c in geo], hi, geo))
+        yield from until(last)
+
+    for lo, hi, geo in pieces():
+        if made and made[2] == geo and made[1] + 1 == lo:
+            made[1] = hi
+            continue
+        if made:
+            yield made
+        made = [lo, hi, geo]
+    if made:
+        yield made
+
+
+def _sweep(frames: Iterator) -> Iterator:
+    import pandas as pd
+
+    def rows() -> Iterator[tuple]:
+        for frame in frames:
+            for bucket, lo, hi, *geo in frame.itertuples(index=False, name=None):
+                yield bucket, int(lo, 16), int(hi, 16), tuple(None if c is None or c != c else c for c in geo)
+
+    names, held = ["lo_key", "hi_key", *GEO], []
+    for bucket, group in groupby(rows(), key=lambda row: row[0]):
+        for lo, hi, geo in _swept((row[1:] for row in group), *_bounds(bucket)):
+            held.append((f"{lo:032x}", f"{hi:032x}", *geo))
+            if len(held) >= 10_000:
+                yield pd.DataFrame(held, columns=names)
+                held = []
+    if held:
+        yield pd.DataFrame(held, columns=names)
+
+
 def _bucket(key: Column) -> Column:
     """Number of the /16 (IPv4) or /20 (IPv6) an address lies in; the families do not meet."""
     v4 = F.conv(F.substring(key, 25, V4_BUCKET), 16, 10).cast("int")
@@ -72,7 +155,7 @@ def locate(rows: DataFrame, blocks: DataFrame | None, ip: str = "ip",
            spread: int | Mapping[int, int] = SPREAD) -> DataFrame:
     """Add country code, country and city to ``rows``; null where no block holds the address.
 
-    ``blocks`` has ``lo_key``, ``hi_key`` and the geo columns and its blocks do not overlap, so the only block that can
+    ``blocks`` has ``lo_key``, ``hi_key`` and the geo columns and its blocks do not overlap (see ``disjoint``), so the only block that can
     hold an address is the last one starting at or before it. Rows and blocks are therefore merged in address order
     within each bucket: one shuffle, no pairs. The rows of a bucket are spread over ``spread`` parts, with the bucket's
     blocks copied to each, so a hot network does not end up in one task; ``hot_buckets`` says which need it.

@@ -1,4 +1,5 @@
 import ipaddress
+import random
 from random import Random
 
 import pytest
@@ -116,3 +117,58 @@ def test_clients_of_a_hot_network_are_looked_up_once_each(spark):
     once, each = geo.locate_clients(rows, blocks, hot), geo.locate(rows, blocks, spread=hot)
     assert sorted(map(str, once.select(sorted(once.columns)).collect())) == sorted(map(str, each.select(sorted(each.columns)).collect()))
     assert once.filter("country_code = 'AA'").count() == 250 * 5
+
+
+def specific(blocks, address):
+    """The geo columns of the smallest block (lo, hi, geo) that holds an address, ties as ``disjoint`` says."""
+    holding = [(hi - lo, -lo, [(c is None, c or "") for c in geo], geo) for lo, hi, geo in blocks if lo <= address <= hi]
+    return min(holding)[3] if holding else (None, None, None)
+
+
+def test_nested_networks_most_specific_wins(spark):
+    """IPv4 and IPv6, from the whole address space down to single addresses, equal networks included, against every network in turn."""
+    draw = random.Random(3)
+    networks = ["0.0.0.0/0", "10.0.0.0/8", "10.0.0.0/15", "10.1.0.0/16", "10.1.2.0/24", "10.1.2.0/24", "10.1.2.128/25", "10.1.2.129/32", "10.1.255.0/24",
+                "2001:db8::/32", "2001:db8::/33", "2001:db8:0:1::/64", "2001:db8::/128", "2001:0db8::/32", "2001:d00::/24", "2001:db8:8000::/33", "no network"]
+    networks += [f"10.{draw.randrange(4)}.{draw.randrange(3) * 64}.0/{draw.randrange(17, 27)}" for _ in range(40)]
+    networks = [n if n.startswith("no") else str(ipaddress.ip_network(n, strict=False)) for n in networks]
+    names = [(f"C{draw.randrange(9)}", None if i % 7 == 0 else f"n{i}", None if i % 3 else f"city{i}") for i in range(len(networks))]
+    frame = spark.createDataFrame([(n, *g) for n, g in zip(networks, names)], "network string, country_code string, country string, city string")
+
+    def number(address):
+        ip = ipaddress.ip_address(address)
+        return int(ip) + (0xFFFF << 32 if ip.version == 4 else 0)
+
+    known = []
+    for n, g in zip(networks, names):
+        if not n.startswith("no"):
+            net = ipaddress.ip_network(n)
+            known.append((number(net[0]), number(net[-1]), g))
+    edges = {a + d for lo, hi, _ in known for a in (lo, hi) for d in (-1, 0, 1)}
+    addresses = [str(ipaddress.IPv4Address(a - (0xFFFF << 32))) for a in edges if 0xFFFF << 32 <= a < (0xFFFF << 32) + 2**32]
+    addresses += [str(ipaddress.IPv6Address(a)) for a in edges if a >= 2**100]
+    addresses += [f"10.{draw.randrange(5)}.{draw.randrange(256)}.{draw.randrange(256)}" for _ in range(300)]
+    blocks = geo.disjoint(geo.blocks_from_networks(frame))
+    got = geo.locate(spark.createDataFrame([(a,) for a in addresses], "ip string"), blocks).collect()
+    v4 = [b for b in known if b[0] >= 0xFFFF << 32 and b[1] < (0xFFFF << 32) + 2**32]
+    v6 = [b for b in known if b[0] >= 2**100]
+    for r in got:
+        assert (r.country_code, r.country, r.city) == specific(v6 if ":" in r.ip else v4, number(r.ip)), r.ip
+    assert len(got) == len(addresses)
+
+
+def test_ranges_that_overlap_in_part(spark):
+    draw, base = random.Random(9), (0xFFFF << 32) + (10 << 24)
+    blocks = []
+    for i in range(60):
+        lo = draw.randrange(300_000)
+        blocks.append((lo, lo + draw.choice([0, 1, 50, 5000, 90_000]), (f"C{i % 5}", None, f"t{i}")))
+    blocks.append((7, 3, ("CX", None, None)))
+    frame = spark.createDataFrame([((10 << 24) + lo, (10 << 24) + hi, *g) for lo, hi, g in blocks], "lo bigint, hi bigint, country_code string, country string, city string")
+    flat = [(int(r.lo_key, 16), int(r.hi_key, 16), (r.country_code, r.country, r.city)) for r in geo.disjoint(geo.blocks_from_ranges(frame)).collect()]
+    flat.sort()
+    assert all(a[1] < b[0] for a, b in zip(flat, flat[1:])) and all(lo <= hi for lo, hi, _ in flat)
+    given = [(base + lo, base + hi, g) for lo, hi, g in blocks]
+    for address in sorted({base + x + d for lo, hi, _ in blocks for x in (lo, hi) for d in (-1, 0, 1)}):
+        assert specific(flat, address) == specific(given, address)
+    assert geo.disjoint(geo.blocks_from_ranges(frame.limit(0))).count() == 0

@@ -65,3 +65,14 @@ def geo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         lo.alias("lo"), (lo + 255).alias("hi"), F.concat(F.lit("C"), k.cast("string")).alias("country_code"),
         F.col("n_name").alias("country"),
         F.when(k % 4 != 3, F.concat("n_name", F.lit(" City"))).alias("city"))
+
+
+def geo_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested networks of both families, three for each row of ``nation``: /16 (several nations share one), /24 and /26 inside it."""
+    k = F.col("n_nationkey").cast("int")
+    v4 = F.array(*[F.struct(F.format_string("10.%d.%d.%d/%d", k % 4, second, third, F.lit(bits)).alias("network"), F.lit(bits).alias("bits"))
+                   for bits, second, third in ((16, F.lit(0), F.lit(0)), (24, k % 7, F.lit(0)), (26, k % 7, k % 4 * 64))])
+    v6 = F.array(*[F.struct(F.lit(n).alias("network"), F.lit(bits).alias("bits")) for n, bits in (("2001:db8::/32", 32), ("2001:db8::/120", 120))])
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", k.alias("k"), F.inline(F.concat(v4, F.when(k < 5, v6).otherwise(F.slice(v6, 1, 0))))).select(
+        "network", F.concat(F.lit("C"), F.col("k").cast("string")).alias("country_code"), F.col("n_name").alias("country"),
+        F.when(F.col("bits") > 24, F.concat("n_name", F.lit(" "), F.col("bits").cast("string"))).alias("city"))

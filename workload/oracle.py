@@ -394,3 +394,19 @@ ORACLE["stored_top_paths"] = ORACLE["top_paths"]
 ORACLE["stored_subnets"] = ORACLE["subnet_share"]
 ORACLE["stream_hourly_totals"] = ORACLE["hourly_totals"]
 ORACLE["stream_window_parts"] = ORACLE["hourly_totals"]
+
+# Every network that holds a client, of nations' /16, /24 and /26 and of two for IPv6; the smallest counts, then the least code.
+ORACLE["geo_nested_blocks"] = _BASE + """, clients AS (SELECT DISTINCT ip, string_split(ip, '.') AS q, string_split(ip, ':') AS g FROM reqs),
+nations AS (SELECT CAST(n_nationkey AS BIGINT) AS k, n_name FROM nation),
+held AS (
+    SELECT ip, k, n_name, bits FROM (
+        SELECT ip, k, n_name, unnest([16, 24, 26]) AS bits, CAST(q[2] AS BIGINT) AS b, CAST(q[3] AS BIGINT) AS c, CAST(q[4] AS BIGINT) AS d
+        FROM clients, nations WHERE contains(ip, '.') AND q[1] = '10')
+    WHERE b = k % 4 AND (bits = 16 OR c = k % 7) AND (bits < 26 OR d // 64 = k % 4)
+    UNION ALL
+    SELECT ip, k, n_name, bits FROM (SELECT ip, g, k, n_name, unnest([32, 120]) AS bits FROM clients, nations WHERE contains(ip, ':'))
+    WHERE (bits = 32 OR k < 5) AND (bits = 32 OR g[4] = '0' AND length(g[5]) <= 2)),
+best AS (
+    SELECT ip, k, n_name, bits FROM held QUALIFY row_number() OVER (PARTITION BY ip ORDER BY bits DESC, 'C' || k, n_name) = 1)
+SELECT ip, 'C' || k AS country_code, n_name AS country, CASE WHEN bits > 24 THEN n_name || ' ' || bits END AS city
+FROM clients LEFT JOIN best USING (ip)"""

@@ -10,7 +10,7 @@ from hitledger import session
 from hitledger.operators import geo, ledger, parse, rollups
 from hitledger.plans import reports, traffic
 from hitledger.plans.traffic import Traffic
-from workload.access_log import AS_OF, FROM_DAY, TO_DAY, geo_blocks, raw_log
+from workload.access_log import AS_OF, FROM_DAY, TO_DAY, geo_blocks, geo_networks, raw_log
 from workload.stored import STORED
 
 DAYS = (FROM_DAY, TO_DAY)
@@ -99,6 +99,11 @@ def _geo_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables(spark, sf_dir, located=True)["daily_ips"]
 
 
+def _nested_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients = reqs(spark, sf_dir).select("ip").distinct()
+    return geo.locate_clients(clients, geo.disjoint(geo.blocks_from_networks(geo_networks(spark, sf_dir))))
+
+
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = traffic.nested(Traffic(tables(spark, sf_dir, staged=True)).drill_ip_map(*DAYS, 20, 3), "ip", "path")
     return folded.select("ip", F.explode("counts").alias("path", "n"))
@@ -158,6 +163,7 @@ QUERIES: dict[str, Query] = {
     "top_referers": _traffic(lambda t: t.top_referers(*BOT)),
     # geography
     "geo_enrich_ips": _geo_ips,
+    "geo_nested_blocks": _nested_blocks,
     "top_countries": _traffic(lambda t: t.top_countries(*ALL, 5), located=True),
     "top_cities": _traffic(lambda t: t.top_cities(*ALL, 5), located=True),
     "latest_ip_geo": lambda s, d: geo.latest(_geo_ips(s, d)),
