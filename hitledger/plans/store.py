@@ -1,23 +1,31 @@
 """Rollups and their ledger as parquet folders.
 
-Each ingest writes its rows to folders of its own (``ingest_id=...``) and its ledger rows last. A source's newest ledger
-row names the ingest whose rows are valid, so readers see either the old or the new version of a source in all tables,
-a failed ingest stays invisible, and repeating an ingest under the same id replaces its own folders only.
+Rollups lie by day and, inside a day, by bucket (a hash of the source). An ingest appends its rows, which carry its id, and writes
+its ledger rows last. A source's newest ledger row names the ingest whose rows are valid, so readers see either the old or the
+new version of a source in all tables, and a failed ingest stays invisible. After the commit the (day, bucket) folders that hold
+replaced rows are rewritten without them by dynamic partition overwrite; until that is done a marker tells readers to join the
+ledger. Without markers every table is a plain scan. One ingest at a time may write to a store.
+
+Inside a bucket rows are dealt to files by ranges of their key and sorted by it, and clients and paths have bloom filters, so looking up
+one key reads the row groups that may hold it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from hitledger import fixed_values as fixed, schemas, session
 from hitledger.operators import ledger as lg, rollups
 from hitledger.operators.rollups import KEYED_TABLES, PAIR_TABLES, Rollups
 
 WRITERS = 4  # tables written at a time, so that one table's last tasks do not idle the cluster
+BUCKETS = 8
+LEDGER_FOLDERS = 64  # commits beyond this many are folded into one
+LOOKUPS = ("ip", "path")  # columns with bloom filters
 
 
 def utc_now() -> str:
@@ -25,9 +33,12 @@ def utc_now() -> str:
 
 
 class RollupStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
+    """``buckets`` of a store never change; ``options`` are added to those of the parquet writer."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, options: Mapping[str, str] | None = None):
+        self.spark, self.buckets = spark, buckets
         self.root = session.qualified(spark, root)
+        self.options = {"parquet.bloom.filter.adaptive.enabled": "true", **(options or {})}
 
     # layout
 
@@ -38,6 +49,10 @@ class RollupStore:
     def _ledger_path(self) -> str:
         return f"{self.root}/ledger"
 
+    def _marker(self, ingest_id: str = "") -> str:
+        """Folder that is there while rows of an ingest, or rows it replaces, lie in the tables without being valid."""
+        return f"{self.root}/unsettled/{ingest_id}".rstrip("/")
+
     def staging_path(self, ingest_id: str, name: str = "") -> str:
         return f"{self.root}/staging/{ingest_id}/{name}".rstrip("/")
 
@@ -49,21 +64,41 @@ class RollupStore:
     # ledger
 
     def entries(self) -> DataFrame:
-        """All ledger rows ever committed and not yet vacuumed."""
-        return self._read(self._ledger_path, schemas.LEDGER)
+        """Ledger rows: all since the last fold, before that the newest of every source."""
+        commits = self._read(f"{self._ledger_path}/commits", schemas.LEDGER)
+        folds = session.children(self.spark, f"{self._ledger_path}/folds")
+        for fold in folds[-1:]:
+            commits = commits.unionByName(self.spark.read.schema(schemas.LEDGER).parquet(f"{self._ledger_path}/folds/{fold}"))
+        return commits
 
     def ledger(self) -> DataFrame:
         """One row per current source."""
         return lg.live(self.entries())
 
     def has_ingest(self, ingest_id: str) -> bool:
-        return session.exists(self.spark, f"{self._ledger_path}/ingest_id={ingest_id}/_SUCCESS")
+        return any(session.exists(self.spark, f"{self._ledger_path}/{p}") for p in (f"commits/ingest_id={ingest_id}/_SUCCESS", f"folded/{ingest_id}"))
 
     def append_entries(self, ingest_id: str, entries: DataFrame, now: str | None = None) -> None:
-        """Commit ledger rows; this is what makes an ingest visible."""
+        """Commit ledger rows, which makes an ingest visible, then drop the rows they replace."""
         stamped = entries.withColumn("committed_at", F.lit(now or utc_now()).cast("timestamp_ntz"))
         columns = [c.split()[0] for c in schemas.LEDGER.split(", ") if not c.startswith("ingest_id ")]
-        stamped.select(*columns).write.mode("overwrite").parquet(f"{self._ledger_path}/ingest_id={ingest_id}")
+        stamped.select(*columns).write.mode("overwrite").parquet(f"{self._ledger_path}/commits/ingest_id={ingest_id}")
+        self.settle(ingest_id)
+
+    def _fold_ledger(self) -> None:
+        """Keep the newest row of every source in one folder once there are many commits; committed ids stay known by name."""
+        commits = session.children(self.spark, f"{self._ledger_path}/commits")
+        if len(commits) <= LEDGER_FOLDERS:
+            return
+        folds = session.children(self.spark, f"{self._ledger_path}/folds")
+        number = int(folds[-1]) + 1 if folds else 0
+        lg.newest(self.entries()).write.mode("overwrite").parquet(f"{self._ledger_path}/folds/.new")
+        session.rename(self.spark, f"{self._ledger_path}/folds/.new", f"{self._ledger_path}/folds/{number:09d}")
+        for commit in commits:
+            session.make_folder(self.spark, f"{self._ledger_path}/folded/{commit.removeprefix('ingest_id=')}")
+            session.remove(self.spark, f"{self._ledger_path}/commits/{commit}")
+        for fold in folds:
+            session.remove(self.spark, f"{self._ledger_path}/folds/{fold}")
 
     def mark_ingested(self, source: str, path: str, mtime: float, size: int, ingest_id: str, now: str | None = None) -> None:
         """Record a source as seen; rollup rows it already has stay valid."""
@@ -76,9 +111,10 @@ class RollupStore:
         self.append_entries(ingest_id, entry, now)
 
     def delete_sources(self, sources: Iterable[str], ingest_id: str, now: str | None = None) -> None:
-        """Hide all rows of the sources; ``compact`` and ``vacuum`` remove them physically."""
+        """Remove all rows of the sources."""
         gone = self.spark.createDataFrame([(s,) for s in sources], "source string")
         entries = self.ledger().join(gone, "source", "left_semi").withColumn("deleted", F.lit(True))
+        session.make_folder(self.spark, self._marker(ingest_id))
         self.append_entries(ingest_id, entries, now)
 
     # files a stream could not use
@@ -107,91 +143,101 @@ class RollupStore:
 
     # rollups
 
-    def _write_table(self, ingest_id: str, table: str, rows: DataFrame) -> None:
+    def _writer(self, table: str, rows: DataFrame) -> DataFrameWriter:
+        """Rows of a table in files of their own ranges of the key, sorted by it."""
         key = {**KEYED_TABLES, **{t: outer for t, (outer, _) in PAIR_TABLES.items()}}.get(table)
-        order = [c for c in ("day", "category", key) if c and c in rows.columns]
-        sized = rows.hint("rebalance", F.col("day")).sortWithinPartitions(*order)  # splits hot days, merges quiet ones
-        sized.write.mode("overwrite").partitionBy("day").parquet(f"{self._table_path(table)}/ingest_id={ingest_id}")
+        order = ["day", "bucket", *([key] if key else [])]
+        dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, *(["category"] if "category" in rows.columns else []))
+        blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKUPS if c in rows.columns}
+        return dealt.write.partitionBy("day", "bucket").options(**{**blooms, **self.options})
+
+    def _each_table(self, action: Callable[[str], object]) -> list:
+        with ThreadPoolExecutor(WRITERS) as pool:
+            return list(pool.map(action, schemas.ROLLUPS))
 
     def write_tables(self, ingest_id: str, tables: Mapping[str, DataFrame]) -> None:
-        """Write all rollups of one ingest; invisible until its ledger rows are committed."""
+        """Append all rollups of one ingest; invisible until its ledger rows are committed."""
+        if session.exists(self.spark, self._marker(ingest_id)):  # an attempt before this one did not end
+            self._rewrite(None)
+        session.make_folder(self.spark, self._marker(ingest_id))
+
         def write(table: str) -> None:
             rows = tables[table]
             if table == "hourly_totals" and "day" not in rows.columns:
                 rows = rows.withColumn("day", F.col("hour").cast("date"))
-            columns = [c.split()[0] for c in schemas.ROLLUPS[table].split(", ") if not c.startswith("ingest_id ")]
-            self._write_table(ingest_id, table, rows.select(*columns))
+            rows = rows.withColumns({"ingest_id": F.lit(ingest_id), "bucket": F.pmod(F.xxhash64("source"), F.lit(self.buckets)).cast("int")})
+            self._writer(table, rows.select(*[c.split()[0] for c in schemas.ROLLUPS[table].split(", ")])).mode("append").parquet(self._table_path(table))
 
-        with ThreadPoolExecutor(WRITERS) as pool:
-            list(pool.map(write, schemas.ROLLUPS))
+        self._each_table(write)
 
-    def _versions(self) -> tuple[list[str], list[str], DataFrame]:
-        """Ingests with valid rows; those of them that also hold replaced or deleted ones; and the latter versions.
+    def _rows(self, table: str) -> DataFrame:
+        return self._read(self._table_path(table), schemas.ROLLUPS[table])
 
-        Only ingest ids come to the driver, one per run since the last ``vacuum``.
-        """
-        newest = F.max_by(F.when(~F.col("deleted"), F.col("data_id")), F.struct("committed_at", "ingest_id"))
-        versions = self.entries().groupBy("source").agg(newest.alias("valid"), F.collect_set("data_id").alias("ids")).select(
-            "source", "valid", F.filter("ids", lambda x: ~x.eqNullSafe(F.col("valid"))).alias("replaced"))
-        seen = versions.select("valid", F.explode_outer("replaced").alias("ingest_id")).agg(
-            F.collect_set("valid").alias("valid"), F.collect_set("ingest_id").alias("replaced")).first()
-        mixed = sorted(set(seen.valid) & set(seen.replaced))
-        dead = versions.select("source", F.explode("replaced").alias("ingest_id")).filter(F.col("ingest_id").isin(mixed))
-        return sorted(seen.valid), mixed, dead
+    def _valid(self) -> DataFrame:
+        """(source, ingest_id) of the rows that count."""
+        return self.ledger().filter("data_id IS NOT NULL").select("source", F.col("data_id").alias("ingest_id"))
 
     def tables(self) -> Rollups:
-        """The valid rows of every rollup.
-
-        Folders of failed and fully replaced ingests are pruned. Rows of ingests that were replaced in part are joined
-        with those replaced versions; after ``compact`` there are none and the tables are plain scans.
-        """
-        valid, mixed, dead = self._versions()
+        """The valid rows of every rollup: plain scans, joined with the ledger only while an ingest is unsettled."""
+        unsettled = session.children(self.spark, self._marker())
 
         def plan(table: str) -> DataFrame:
-            rows = self._read(self._table_path(table), schemas.ROLLUPS[table]).filter(F.col("ingest_id").isin(valid))
-            return (rows.join(dead, ["source", "ingest_id"], "left_anti") if mixed else rows).drop("ingest_id")
+            rows = self._rows(table)
+            return (rows.join(self._valid(), ["source", "ingest_id"], "left_semi") if unsettled else rows).drop("ingest_id", "bucket")
 
         return Rollups({table: (lambda t=table: plan(t)) for table in rollups.TABLES})
 
-    # maintenance
+    # upkeep
+
+    def _rewrite(self, buckets: list[int] | None) -> None:
+        """Rewrite the (day, bucket) folders, of some buckets or all, that hold rows which do not count, without those."""
+        valid = self._valid()
+
+        def rewrite(table: str) -> None:
+            if not session.exists(self.spark, self._table_path(table)):
+                return
+            rows = self._rows(table) if buckets is None else self._rows(table).filter(F.col("bucket").isin(buckets))
+            marked = valid.withColumn("counts", F.lit(True))
+            folders = rows.select("day", "bucket", "source", "ingest_id").join(marked, ["source", "ingest_id"], "left").groupBy("day", "bucket").agg(
+                F.bool_or(F.col("counts").isNull()).alias("stale"), F.bool_or(F.col("counts").isNotNull()).alias("live")).filter("stale")
+            # One row for each folder to be rewritten or dropped: at most the days of a retention times the buckets.
+            found = folders.collect()
+            mixed = [(f.day, f.bucket) for f in found if f.live]
+            if mixed:
+                places = self.spark.createDataFrame(mixed, "day date, bucket int")
+                kept = rows.join(places, ["day", "bucket"], "left_semi").join(valid, ["source", "ingest_id"], "left_semi").select(*rows.columns)
+                self._writer(table, kept).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self._table_path(table))
+            for f in found:
+                if not f.live:
+                    session.remove(self.spark, f"{self._table_path(table)}/day={f.day}/bucket={f.bucket}")
+
+        self._each_table(rewrite)
+
+    def settle(self, ingest_id: str) -> None:
+        """Drop the rows that a committed ingest replaced, and those of ingests that failed before it; then its marker goes.
+
+        Only buckets of sources that had other rows are looked at. Interrupted, it is done by the next ingest.
+        """
+        markers = session.children(self.spark, self._marker())
+        if markers == [ingest_id] or not markers:
+            own = F.col("ingest_id") == ingest_id
+            entries = self.entries()
+            before = entries.filter(~own & F.col("data_id").isNotNull()).select("source").distinct()
+            replaced = entries.filter(own).select("source").join(before, "source", "left_semi")
+            buckets = sorted(r[0] for r in replaced.select(F.pmod(F.xxhash64("source"), F.lit(self.buckets)).cast("int")).distinct().collect())
+            if buckets and markers:
+                self._rewrite(buckets)
+        else:
+            self._rewrite(None)
+        for marker in markers:
+            session.remove(self.spark, self._marker(marker))
+        self._fold_ledger()
 
     def enforce_retention(self, as_of: str, days: int = fixed.RETENTION_DAYS) -> int:
-        """Drop whole day folders older than ``days`` before ``as_of``; returns how many."""
+        """Drop whole day folders older than ``days`` before ``as_of``; returns how many. One listing of the tables' days."""
         first = (date.fromisoformat(as_of) - timedelta(days=days)).isoformat()
-        dropped = 0
-        for table in rollups.TABLES:
-            for ingest in session.children(self.spark, self._table_path(table)):
-                folder = f"{self._table_path(table)}/{ingest}"
-                for day in session.children(self.spark, folder):
-                    if day.startswith("day=") and day.removeprefix("day=") < first:
-                        dropped += session.remove(self.spark, f"{folder}/{day}")
-        return dropped
-
-    def compact(self, ingest_id: str, now: str | None = None) -> None:
-        """Rewrite the valid rows of all ingests as one and point the ledger to it."""
-        before = session.children(self.spark, self._ledger_path)
-        entries = self.ledger()
-        has_rows = F.col("data_id").isNotNull()
-        self.write_tables(ingest_id, self.tables())
-        if session.children(self.spark, self._ledger_path) != before:
-            raise RuntimeError("another ingest was committed meanwhile; nothing has changed, compact again")
-        self.append_entries(ingest_id, entries.withColumn("data_id", F.when(has_rows, F.lit(ingest_id))), now)
-
-    def vacuum(self, compacted_id: str) -> int:
-        """Remove the folders that ``compact`` under ``compacted_id`` made obsolete, oldest first; returns how many.
-
-        No other ingest may run between that ``compact`` and this call's start. Oldest ledger folders go first, so an
-        interrupted call never brings back a deleted source.
-        """
-        commits = self.entries().groupBy("ingest_id").agg(F.min("committed_at").alias("at")).orderBy("at", "ingest_id")
-        when = {r.ingest_id: r.at for r in commits.collect()}
-        old = [i for i, at in when.items() if i != compacted_id and at <= when[compacted_id]]
-        removed = 0
-        for ingest in old:
-            for path in (f"{self._ledger_path}/ingest_id={ingest}",
-                         *(f"{self._table_path(t)}/ingest_id={ingest}" for t in rollups.TABLES)):
-                removed += session.remove(self.spark, path)
-        return removed
+        old = [p for p in session.matching(self.spark, f"{self.root}/rollups/*/day=*") if p.rpartition("day=")[2] < first]
+        return sum(session.remove(self.spark, p) for p in old)
 
     def drop_staging(self, ingest_id: str) -> None:
         session.remove(self.spark, self.staging_path(ingest_id))

@@ -9,10 +9,10 @@ LEDGER = ("source string, path string, mtime double, size bigint, ingested_at ti
           "duration_s double, container string, data_id string, deleted boolean, committed_at timestamp_ntz, "
           "ingest_id string")
 
-_PARTITION = "ingest_id string, day date"
+_PARTITION = "ingest_id string, day date, bucket int"
 _GEO = ", ".join(f"{c} string" for c in GEO)
 
-# Columns of each rollup, partition columns last; every row also names its source and, by partition, its ingest.
+# Columns of each rollup, partition columns last; every row also names its source and its ingest.
 ROLLUPS = {
     "daily_totals": "category string, source string, total_requests bigint, bytes_total bigint, errors bigint, "
                     f"rt_sum bigint, rt_n bigint, {_PARTITION}",

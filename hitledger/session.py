@@ -64,3 +64,20 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def remove(spark: SparkSession, path: str) -> bool:
     hadoop, fs = _path(spark, path)
     return fs.delete(hadoop, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    hadoop, fs = _path(spark, path)
+    fs.mkdirs(hadoop)
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Full paths that match a glob, from one listing."""
+    hadoop, fs = _path(spark, pattern)
+    return sorted(s.getPath().toString() for s in (fs.globStatus(hadoop) or []))
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    hadoop, fs = _path(spark, path)
+    if not fs.rename(hadoop, _path(spark, to)[0]):
+        raise OSError(f"{path} could not be renamed to {to}")

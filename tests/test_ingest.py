@@ -3,6 +3,7 @@ import io
 import os
 import tarfile
 
+import pyarrow.parquet as pq
 import pytest
 
 from hitledger import session
@@ -132,23 +133,90 @@ def test_failed_ingest_stays_invisible(spark, store, monkeypatch):
     assert total(store) == 5
 
 
-def test_delete_compact_and_vacuum(spark, store):
+def rows_on_disk(spark, store, table="daily_paths"):
+    return store._rows(table)
+
+
+def test_replaced_and_deleted_rows_leave_the_disk(spark, store):
     for i, source in enumerate(("a", "b", "c")):
         ingest_lines(store, frame(spark, [line()] * (i + 1), source), at(i), f"in-{i}")
     ingest_lines(store, frame(spark, [line()] * 9, "a"), at(5), "in-5")
     store.delete_sources(["b"], "del", "2025-03-10 10:06:00")
     assert {r.source for r in store.ledger().collect()} == {"a", "c"}
     assert total(store) == 12
-    store.compact("whole", "2025-03-10 10:07:00")
-    assert total(store) == 12
-    assert store.vacuum("whole") > 0
-    assert total(store) == 12 and store.entries().count() == 2
+    for table in store.tables():
+        left = {(r.source, r.ingest_id) for r in rows_on_disk(spark, store, table).select("source", "ingest_id").collect()}
+        assert left == ({("a", "in-5"), ("c", "in-2")} if table != "daily_referers" else set())
     plan = store.tables()["daily_paths"]._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan  # nothing is superseded, so the table is a plain scan
+    assert "Join" not in plan  # nothing is unsettled, so the table is a plain scan
     ingest_lines(store, frame(spark, [line()], "c"), at(8), "in-8")
     assert total(store) == 10
 
 
+def test_only_buckets_of_replaced_sources_are_rewritten(spark, store):
+    for i in range(12):
+        ingest_lines(store, frame(spark, [line(), line(at="2025-03-01T00:00:00")], f"s{i}"), at(i), f"in-{i}")
+    before = {p: m for p, m in files_of(store).items()}
+    ingest_lines(store, frame(spark, [line()], "s3"), at(30), "again")
+    after = files_of(store)
+    bucket = rows_on_disk(spark, store).filter("source = 's3'").select("bucket").first()[0]
+    touched = {p for p in set(before) ^ set(after)} | {p for p in before if after.get(p) != before[p]}
+    assert touched and all(f"bucket={bucket}/" in p for p in touched)
+    assert total(store) == 23 and total(store, source="s3") == 1
+
+
+def files_of(store):
+    root = store.root.removeprefix("file:")
+    return {os.path.join(d, n): os.stat(os.path.join(d, n)).st_mtime_ns for d, _, names in os.walk(f"{root}/rollups") for n in names if n.endswith(".parquet")}
+
+
+def test_an_interrupted_rewrite_is_invisible_and_done_by_the_next_ingest(spark, store, monkeypatch):
+    ingest_lines(store, frame(spark, [line()] * 2, "a"), at(0), "one")
+    monkeypatch.setattr(store, "_rewrite", lambda buckets: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        ingest_lines(store, frame(spark, [line()] * 5, "a"), at(1), "two")
+    assert total(store) == 5  # committed; the old rows are still on disk
+    assert rows_on_disk(spark, store).select("ingest_id").distinct().count() == 2
+    monkeypatch.undo()
+    ingest_lines(store, frame(spark, [line()], "b"), at(2), "three")
+    assert total(store) == 6 and not session.children(spark, f"{store.root}/unsettled")
+    assert {r[0] for r in rows_on_disk(spark, store).select("ingest_id").distinct().collect()} == {"two", "three"}
+
+
+def test_planning_does_not_grow_with_ingests(spark, store, monkeypatch):
+    monkeypatch.setattr(stores, "LEDGER_FOLDERS", 4)
+    for i in range(11):
+        store.mark_ingested(f"s{i % 6}", f"/logs/s{i % 6}", float(i), i, f"m{i}", f"2025-03-10 10:{i:02}:00")
+    assert len(session.children(spark, f"{store.root}/ledger/commits")) <= 4 and len(session.children(spark, f"{store.root}/ledger/folds")) == 1
+    assert {(r.source, r["size"]) for r in store.ledger().collect()} == {(f"s{i % 6}", i) for i in range(5, 11)}
+    assert all(store.has_ingest(f"m{i}") for i in range(11)) and not store.has_ingest("m11")
+
+
+def test_a_lookup_reads_few_row_groups(spark):
+    """One client among thousands: most row groups of its day's files are passed over, without knowing which bucket holds it."""
+    store = RollupStore(spark, session.shared_dir(spark, "store"), buckets=2, options={"parquet.block.size": "65536", "parquet.page.row.count.limit": "1000"})
+    lines = spark.range(40_000).selectExpr("concat('s', id % 3) AS source", "concat('10.', id % 200, '.', id div 200 % 200, '.7') AS ip", "id").select(
+        "source", F.concat("ip", F.lit(' - - [05/Mar/2025:10:00:00 +0000] "GET /'), F.col("id").cast("string"), F.lit(' HTTP/1.1" 200 5 "-" "x" 1')).alias("line"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many files as a large day has
+    try:
+        ingest_lines(store, lines, at(0), "one")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert store.tables()["daily_ips"].filter("category = 'all'").count() == 40_000
+    found = store.tables()["daily_ips"].filter("category = 'all' AND ip = '10.7.9.7'")
+    assert found.agg(F.sum("count")).first()[0] == 1
+    groups, holding = 0, 0
+    for path in files_of(store):
+        if "/daily_ips/" in path:
+            meta = pq.ParquetFile(path).metadata
+            column = next(i for i in range(meta.num_columns) if meta.row_group(0).column(i).path_in_schema == "ip")
+            for g in range(meta.num_row_groups):
+                stats = meta.row_group(g).column(column).statistics
+                groups += 1
+                holding += stats.min <= "10.7.9.7" <= stats.max
+    assert groups >= 8 and holding <= groups / 4, (groups, holding)
+
+
 def test_mark_ingested_keeps_rows(spark, store):
     store.mark_ingested("arc.tar.gz", "/logs/arc.tar.gz", 1000.0, 500, "m1", "2025-03-10 10:00:00")
     store.mark_ingested("arc.tar.gz", "/logs/arc.tar.gz", 2000.0, 600, "m2", "2025-03-10 10:01:00")
@@ -259,20 +327,6 @@ def test_driver_work_does_not_grow_with_history(spark, store, tmp_path, monkeypa
     assert len(calls) < 60 and "file_status" not in calls
 
 
-def test_compact_refuses_when_the_ledger_moved(spark, store, monkeypatch):
-    ingest_lines(store, frame(spark, [line()] * 2), at(0), "one")
-    write_tables = store.write_tables
-
-    def interrupted(ingest_id, tables):
-        write_tables(ingest_id, tables)
-        monkeypatch.undo()
-        ingest_lines(store, frame(spark, [line()] * 5), at(2), "two")
-    monkeypatch.setattr(store, "write_tables", interrupted)
-    with pytest.raises(RuntimeError, match="compact again"):
-        store.compact("whole", "2025-03-10 10:07:00")
-    assert total(store) == 5
-
-
 @pytest.mark.parametrize("block_bytes", [1, 7, 4 * 2**20])
 @pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
 def test_line_ends_are_alike_in_all_kinds_of_files(spark, tmp_path, monkeypatch, end, block_bytes):
