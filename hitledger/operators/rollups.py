@@ -21,7 +21,9 @@ KEYED_TABLES = {
 }
 PAIR_TABLES = {"daily_ip_paths": ("ip", "path"), "daily_path_ips": ("path", "ip")}
 Step = Callable[[DataFrame], DataFrame]
-TABLES = ("daily_totals", *KEYED_TABLES, "hourly_totals", *PAIR_TABLES)
+CLIENTS = "daily_clients"
+TABLES = ("daily_totals", *KEYED_TABLES, "hourly_totals", *PAIR_TABLES, CLIENTS)
+SKETCH_BITS = 14  # 16,384 registers: the estimate's standard error is 0.8 %
 
 
 def _category_rows(grouped: DataFrame, keys: list[str], measures: Mapping[str, tuple[Column, Column]]) -> DataFrame:
@@ -91,6 +93,18 @@ def hourly_totals(reqs: DataFrame) -> DataFrame:
     return _counted(reqs, ["hour", "source"]).select("hour", "category", "source", "count")
 
 
+def client_sketches(reqs: DataFrame) -> DataFrame:
+    """A mergeable sketch of the different clients of each day, source and category: at most some 16 KB a row, however many clients.
+
+    Rows of any days and sources give the clients of them all by ``hll_union_agg``; partial sketches absorb hot days before the shuffle.
+    """
+    of = {"all": F.col("ip"), "bot": F.when(F.col("is_bot"), F.col("ip")), "human": F.when(~F.col("is_bot"), F.col("ip"))}
+    grouped = reqs.groupBy("day", "source").agg(
+        *(F.hll_sketch_agg(ip, SKETCH_BITS).alias(name) for name, ip in of.items()), *(F.count(ip).alias(f"n_{name}") for name, ip in of.items()))
+    rows = F.array(*(F.struct(F.lit(name).alias("category"), F.when(F.col(f"n_{name}") > 0, F.col(name)).alias("clients")) for name in of))
+    return grouped.select("day", "source", F.inline(rows)).filter("clients IS NOT NULL").select("day", "category", "source", "clients")
+
+
 def ip_path_pairs(reqs: DataFrame) -> DataFrame:
     """Requests per client and path, all categories together."""
     return (reqs.filter(F.col("path").isNotNull())
@@ -125,7 +139,7 @@ class Rollups(Mapping[str, DataFrame]):
 
 
 def build(parsed: DataFrame, as_of: str, pairs: DataFrame | None = None, locate: Step | None = None) -> Rollups:
-    """All ten rollups, unevaluated and complete.
+    """All rollups, unevaluated and complete.
 
     ``pairs`` may give ready ``ip_path_pairs``; ``locate`` adds the location columns of ``daily_ips`` from its ``ip``.
     The two drill-down tables hold every pair, each ordered for lookups by its first key.
@@ -143,4 +157,5 @@ def build(parsed: DataFrame, as_of: str, pairs: DataFrame | None = None, locate:
         "hourly_totals": lambda: hourly_totals(requests(parsed)),
         "daily_ip_paths": lambda: drill("ip", "path"),
         "daily_path_ips": lambda: drill("path", "ip"),
+        CLIENTS: lambda: client_sketches(requests(parsed)),
     })

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hitledger import fixed_values as fixed
 from hitledger.functions import labels, network
 from hitledger.operators import geo
+from hitledger.operators.rollups import CLIENTS
 from hitledger.operators.topk import top, top_per_group
 
 TOTALS = ("total_requests", "bytes_total", "errors", "rt_sum", "rt_n")
@@ -88,6 +89,11 @@ class Traffic:
     def unique_ips(self, category: str, from_day: str, to_day: str) -> DataFrame:
         return self._scope("daily_ips", category, from_day, to_day).agg(F.count_distinct("ip").alias("unique_ips"))
 
+    def about_unique_ips(self, category: str, from_day: str, to_day: str) -> DataFrame:
+        """Distinct clients from the days' sketches: a standard error of 0.8 %, and a few rows read for each day, whatever the traffic."""
+        every = F.hll_sketch_estimate(F.hll_union_agg("clients"))
+        return self._scope(CLIENTS, category, from_day, to_day).agg(F.coalesce(every, F.lit(0)).alias("unique_ips"))
+
     def status_codes(self, category: str, from_day: str, to_day: str) -> DataFrame:
         return self._by_key("daily_status", "status", (category, from_day, to_day)).orderBy("status")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from hitledger.operators.geo import GEO
-from hitledger.operators.rollups import KEYED_TABLES, PAIR_TABLES
+from hitledger.operators.rollups import CLIENTS, KEYED_TABLES, PAIR_TABLES
 
 LEDGER = ("source string, path string, mtime double, size bigint, ingested_at timestamp_ntz, rows_ingested bigint, "
           "duration_s double, container string, data_id string, deleted boolean, committed_at timestamp_ntz, "
@@ -21,6 +21,7 @@ ROLLUPS = {
     "hourly_totals": f"hour timestamp_ntz, category string, source string, count bigint, {_PARTITION}",
     **{table: f"source string, {outer} string, {inner} string, count bigint, {_PARTITION}"
        for table, (outer, inner) in PAIR_TABLES.items()},
+    CLIENTS: f"category string, source string, clients binary, {_PARTITION}",
 }
 
 PARSED = ("source string, file string, error string, line_chars bigint, outcome string, ip string, ts timestamp_ntz, day date, "

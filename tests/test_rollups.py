@@ -29,7 +29,7 @@ def tables(spark):
 
 KEYS = {"daily_totals": ["day", "category", "source"], "hourly_totals": ["hour", "category", "source"],
         **{t: ["day", "category", "source", k] for t, k in rollups.KEYED_TABLES.items()},
-        **{t: ["day", "source", *pair] for t, pair in rollups.PAIR_TABLES.items()}}
+        **{t: ["day", "source", *pair] for t, pair in rollups.PAIR_TABLES.items()}, rollups.CLIENTS: ["day", "category", "source"]}
 
 
 @pytest.mark.parametrize("table", rollups.TABLES)

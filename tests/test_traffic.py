@@ -123,3 +123,17 @@ def test_session_zone_does_not_matter(spark):
         assert [tuple(r) for r in t.hourly("all", *DAYS).collect()] == [("2025-03-09 02:00", 1)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_sketches_of_clients_merge_over_days_and_sources(spark):
+    """Estimates within five standard errors of the exact count for any range; the same client on all days counts once."""
+    lines = spark.range(60_000).selectExpr(
+        "concat('s', id % 4) AS source", "id", "concat('10.', id % 11, '.', id div 11 % 251, '.', id div 2761 % 5) AS ip").select(
+        "source", F.concat("ip", F.lit(" - - [0"), (F.col("id") % 9 + 1).cast("string"), F.lit('/Mar/2025:10:00:00 +0000] "GET / HTTP/1.1" 200 5 "-" "'),
+                           F.when(F.col("id") % 5 == 0, "Fetchbot/4.2").otherwise("Lynx"), F.lit('" 1')).alias("line"))
+    traffic = Traffic(rollups.build(parse.parse_lines(lines), AS_OF))
+    for category in ("all", "bot", "human"):
+        for days in (("2025-03-01", "2025-03-09"), ("2025-03-03", "2025-03-03"), ("2025-03-02", "2025-03-08")):
+            exact = traffic.unique_ips(category, *days).first()[0]
+            assert exact > 100 and abs(traffic.about_unique_ips(category, *days).first()[0] - exact) <= 0.04 * exact
+    assert traffic.about_unique_ips("all", "2030-01-01", "2030-01-02").first()[0] == 0

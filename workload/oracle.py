@@ -410,3 +410,6 @@ best AS (
     SELECT ip, k, n_name, bits FROM held QUALIFY row_number() OVER (PARTITION BY ip ORDER BY bits DESC, 'C' || k, n_name) = 1)
 SELECT ip, 'C' || k AS country_code, n_name AS country, CASE WHEN bits > 24 THEN n_name || ' ' || bits END AS city
 FROM clients LEFT JOIN best USING (ip)"""
+
+ORACLE["about_unique_ips"] = _with("daily_ips") + " UNION ALL ".join(
+    f"SELECT '{c}' AS category, count(DISTINCT ip) AS unique_ips, true AS is_near FROM daily_ips WHERE {_scope(c)}" for c in ("all", "bot", "human"))

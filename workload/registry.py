@@ -109,6 +109,14 @@ def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("ip", F.explode("counts").alias("path", "n"))
 
 
+def _about_unique_ips(t: Traffic) -> DataFrame:
+    """Distinct clients of each category, exactly, and whether the sketches' estimate is within five standard errors of that."""
+    rows = [t.unique_ips(c, *DAYS).select(F.lit(c).alias("category"), "unique_ips", t.about_unique_ips(c, *DAYS).scalar().alias("about"))
+            for c in ("all", "bot", "human")]
+    found = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return found.select("category", "unique_ips", (F.abs(F.col("about") - F.col("unique_ips")) <= 0.04 * F.col("unique_ips")).alias("is_near"))
+
+
 def _month_scope(t: Traffic) -> DataFrame:
     return t.totals("human", *traffic.month_range(YEAR, 1))
 
@@ -150,6 +158,7 @@ QUERIES: dict[str, Query] = {
     # totals and series
     "window_totals": _traffic(lambda t: t.totals(*ALL), staged=True),
     "unique_ips": _traffic(lambda t: t.unique_ips(*HUMAN)),
+    "about_unique_ips": _traffic(_about_unique_ips, staged=True),
     "status_distribution": _traffic(lambda t: t.status_codes(*ALL)),
     "method_distribution": _traffic(lambda t: t.methods(*BOT)),
     "daily_series": _traffic(lambda t: t.daily(*HUMAN)),
