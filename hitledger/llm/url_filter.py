@@ -1,7 +1,9 @@
 """URL filter: list rules where they fit, gradient-boosted trees on lexical features elsewhere.
 
 The URLs that a rule decides are the labelled ones. The trees (Spark's) learn from them what blocked URLs look like: lengths, depth,
-digit ratio, entropy, parameters, and how often URLs of the same suffixes are blocked. No Python runs over the pages.
+digit ratio, entropy, parameters, and how often other domains under the same suffix are blocked. A URL never sees its own domain's
+labels in that rate, neither when the trees are fitted nor when it is judged: a suffix with one labelled domain tells nothing, and
+the trees have to judge its URLs by their form. No Python runs over the pages.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hitledger.llm.common import written
+
 SAMPLE = 20_000
-SMOOTHING = 20.0
+SMOOTHING = 5.0  # domains of the prior rate that every suffix has besides its own
 LEXICAL = ("url_length", "host_length", "path_length", "labels", "depth", "hyphens", "digit_ratio", "entropy", "parameters", "has_fragment")
-SUFFIXES = ("suffix1", "suffix2")
 
 
 @dataclass(frozen=True)
@@ -51,7 +54,7 @@ def decided(rules: list[Rule]) -> Column:
 
 
 def with_features(pages: DataFrame) -> DataFrame:
-    """``pages`` (with host and path) with the lexical features and the suffixes of the host."""
+    """``pages`` (with host and path) with the lexical features, the host's suffix and its domain (the suffix and the label before)."""
     url = F.coalesce("url", F.lit(""))
     letters = F.filter(F.split(url, ""), lambda c: c != "")
     size = F.greatest(F.length(url), F.lit(1))
@@ -64,7 +67,7 @@ def with_features(pages: DataFrame) -> DataFrame:
         "entropy": F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p)),
         "parameters": F.when(query == "", 0).otherwise(F.regexp_count(query, F.lit("&")) + 1),
         "has_fragment": F.contains(url, F.lit("#")).cast("int"),
-        "suffix1": F.substring_index("host", ".", -1), "suffix2": F.substring_index("host", ".", -2)})
+        "suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)})
 
 
 @dataclass(frozen=True)
@@ -73,16 +76,19 @@ class Filter:
     rules: list[Rule]
     verdict: str
     trees: GBTClassificationModel | None
-    suffixes: dict[str, DataFrame]
+    domains: DataFrame | None
     prior: float
 
 
-def _with_suffix_rates(pages: DataFrame, suffixes: dict[str, DataFrame], prior: float) -> DataFrame:
-    for name in SUFFIXES:
-        pages = pages.join(suffixes[name], name, "left")
-        pages = pages.withColumns({f"{name}_rate": F.coalesce(f"{name}_rate", F.lit(prior)), f"{name}_seen": F.coalesce(f"{name}_seen", F.lit(0.0))})
-    inputs = [*LEXICAL, *[f"{s}_{kind}" for s in SUFFIXES for kind in ("rate", "seen")]]
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(pages)
+def _with_suffix_rates(pages: DataFrame, domains: DataFrame, prior: float) -> DataFrame:
+    """``pages`` with the features' vector. ``domains``: (domain, suffix, rate) of every labelled domain, each counting once."""
+    suffixes = domains.groupBy("suffix").agg(F.sum("rate").alias("_sum"), F.count("*").alias("_domains"))
+    own = domains.select("domain", F.col("rate").alias("_own"))
+    known = pages.join(suffixes, "suffix", "left").join(own, "domain", "left")
+    others = F.coalesce("_domains", F.lit(0)) - F.col("_own").isNotNull().cast("int")
+    blocked = F.coalesce("_sum", F.lit(0.0)) - F.coalesce("_own", F.lit(0.0))
+    rated = known.withColumns({"suffix_rate": (blocked + SMOOTHING * prior) / (others + SMOOTHING), "suffix_seen": F.log1p(others.cast("double"))})
+    return VectorAssembler(inputCols=[*LEXICAL, "suffix_rate", "suffix_seen"], outputCol="features").transform(rated)
 
 
 def _labelled(pages: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -91,19 +97,17 @@ def _labelled(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def train(pages: DataFrame, rules: list[Rule], sample: int = SAMPLE, seed: int = 42) -> Filter:
-    """Trees fitted on at most ``sample`` URLs that rules decide, drawn by a hash of the URL; suffix statistics cover all of them."""
+    """Trees fitted on at most ``sample`` different URLs that rules decide, drawn by a hash of the URL; suffix statistics cover all."""
     labelled = _labelled(pages.select("url"), rules)
     count = labelled.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
     n, blocked = count["n"], count["blocked"] or 0.0
     if not 0 < blocked < n:
-        return Filter(rules, "block" if n and blocked else "allow", None, {}, 0.0)
-    prior = blocked / n
-    suffixes = {name: labelled.groupBy(name).agg(
-        ((F.sum("label") + SMOOTHING * prior) / (F.count("*") + SMOOTHING)).alias(f"{name}_rate"),
-        F.log1p(F.count("*").cast("double")).alias(f"{name}_seen")) for name in SUFFIXES}
-    drawn = labelled.withColumn("_order", F.xxhash64(F.lit(seed), "url")).orderBy("_order", "url").limit(sample)
+        return Filter(rules, "block" if n and blocked else "allow", None, None, 0.0)
+    domains = written(labelled.groupBy("suffix", "domain").agg(F.avg("label").alias("rate")), "domains")
+    prior = domains.agg(F.avg("rate")).first()[0]
+    drawn = labelled.dropDuplicates(["url"]).withColumn("_order", F.xxhash64(F.lit(seed), "url")).orderBy("_order", "url").limit(sample)
     trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, maxBins=32, seed=seed, cacheNodeIds=False, checkpointInterval=-1)
-    return Filter(rules, "allow", trees.fit(_with_suffix_rates(drawn, suffixes, prior).select("label", "features")), suffixes, prior)
+    return Filter(rules, "allow", trees.fit(_with_suffix_rates(drawn, domains, prior).select("label", "features")), domains, prior)
 
 
 def judge(pages: DataFrame, found: Filter) -> DataFrame:
@@ -118,7 +122,7 @@ def judge(pages: DataFrame, found: Filter) -> DataFrame:
     if found.trees is None:
         return parts.select("*", *by_rule, F.lit(None).cast("double").alias("block_score"),
                             F.coalesce("_rule.verdict", F.lit(found.verdict)).alias("verdict")).drop("_rule")
-    scored = found.trees.transform(_with_suffix_rates(with_features(parts), found.suffixes, found.prior))
+    scored = found.trees.transform(_with_suffix_rates(with_features(parts), found.domains, found.prior))
     score = F.when(F.col("_rule").isNull(), vector_to_array("probability")[1])
     verdict = F.coalesce("_rule.verdict", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
     return scored.withColumn("block_score", score).select(*parts.columns, *by_rule, "block_score", verdict.alias("verdict")).drop("_rule")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hitledger.llm import quality, queries, token_counts, toxicity, url_filter
-from tests.llm.corpus import EDGES, prose, table, words
+from tests.llm.corpus import EDGES, lower, prose, table, words
 
 
 def test_counts_equal_the_library_s_unigram_model(spark):
@@ -145,6 +145,52 @@ def test_trees_learn_held_out_urls(spark):
     assert sum((r["verdict"] == "block") == bool(r["page_id"] % 2) for r in rows) > 190
 
 
+def test_url_features(spark):
+    """Lexical features of awkward URLs, counted in plain Python."""
+    urls = [u for u in URLS if u is not None] + ["http://a-b.example.com/x/9/?p=1&q=&&r#f?s", "://", "http://h/\u00e9\u00e9?x#y", "ftp://1.2.3.4"]
+    rows = url_filter.with_features(url_filter.with_parts(spark.createDataFrame([(u,) for u in urls], "url string"))).collect()
+    for r in rows:
+        u, n = r["url"], max(1, len(r["url"]))
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host):])[0]
+        host = lower(host)
+        query = re.search(r"\?([^#]*)", u)
+        entropy = -sum(u.count(c) / n * math.log2(u.count(c) / n) for c in set(u))
+        want = (len(u), len(host), len(path), len(host.split(".")), path.count("/"), host.count("-"), sum(c in "0123456789" for c in u) / n, entropy,
+                query[1].count("&") + 1 if query and query[1] else 0, int("#" in u))
+        assert [r[f] for f in url_filter.LEXICAL] == pytest.approx(want), u
+        assert (r["suffix"], r["domain"]) == (host.split(".")[-1], ".".join(host.split(".")[-2:]))
+
+
+def test_suffix_rates_leave_the_own_domain_out(spark):
+    domains = [("a.x", "x", 1.0), ("b.x", "x", 0.5), ("c.x", "x", 0.0), ("only.y", "y", 1.0)]
+    pages = spark.createDataFrame([("http://h.a.x/",), ("http://new.x/",), ("http://www.only.y/",), ("http://z/",), (None,)], "url string")
+    rated = url_filter._with_suffix_rates(url_filter.with_features(url_filter.with_parts(pages)),
+                                          spark.createDataFrame(domains, "domain string, suffix string, rate double"), 0.25)
+    got = {r["url"]: (r["suffix_rate"], r["suffix_seen"]) for r in rated.collect()}
+    five = url_filter.SMOOTHING
+
+    def rate(*others):
+        return pytest.approx(((sum(others) + five * 0.25) / (len(others) + five), math.log1p(len(others))))
+    assert got["http://h.a.x/"] == rate(0.5, 0.0) and got["http://new.x/"] == rate(1.0, 0.5, 0.0)
+    assert got["http://www.only.y/"] == got["http://z/"] == got[None] == rate()
+
+
+def test_hosts_of_one_suffix_are_told_apart(spark):
+    """Held-out URLs under a suffix whose only labelled domain is blocked: their form decides, not the suffix."""
+    draw = random.Random(8)
+
+    def url(bad, host):
+        return f"http://{host}/" + (f"{draw.randint(10**9, 10**10)}?a=1&b=2" if bad else draw.choice(["news", "about/us", "x"]))
+    known = [(i, url(i % 3 == 0, f"h{i}.{('bad.com', 'good.org', 'fine.net')[i % 3]}")) for i in range(900)]
+    rules = [url_filter.Rule("bad.com/", "block"), url_filter.Rule("good.org/", "allow"), url_filter.Rule("fine.net/", "allow")]
+    fresh = [(2000 + i, url(i % 2, f"n{i}.new.com")) for i in range(200)]
+    found = url_filter.train(spark.createDataFrame(known, "page_id long, url string"), rules)
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(fresh, "page_id long, url string"), found).collect()}
+    assert sum((verdicts[i] == "block") == bool(i % 2) for i, _ in fresh) > 190
+
+
 def statistics(text):
     w, windows, covered, seen, repeats = words(text), {}, set(), set(), 0
     for i in range(len(w) - 7):
