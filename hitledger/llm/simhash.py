@@ -100,11 +100,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _key(*columns: Column | str) -> Column:
+    """One number for a key. Should two keys of a mask ever share it, their fingerprints are compared in vain."""
+    return F.xxhash64(*columns).alias("key")
+
+
 def _file(prints: DataFrame) -> DataFrame:
-    """(family, mask, key, start, fp): each fingerprint under its 24 keys. No two starts share a mask."""
-    masks = F.array(*[F.struct(F.lit(_signed(mask)).alias("mask"), F.lit(start).alias("start")) for start, mask in KEYS])
-    return prints.select("family", "fp", F.explode(masks).alias("m")).select(
-        "family", F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"), F.col("m.start").alias("start"), "fp")
+    """(key, slot, fp): each fingerprint under its 24 keys; the slot tells family and mask. These rows are all fingerprints 24 times over."""
+    masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(mask)).alias("mask")) for i, (_, mask) in enumerate(KEYS)])
+    each = prints.select("family", "fp", F.explode(masks).alias("m"))
+    return each.select(_key("family", F.col("m.mask"), F.col("fp").bitwiseAND(F.col("m.mask"))),
+                       (F.col("family") * len(KEYS) + F.col("m.i")).cast("int").alias("slot"), "fp")
+
+
+def _unfiled(marked: DataFrame) -> DataFrame:
+    """``slot`` as family, mask and the start of the ring that the mask's chains have."""
+    number = F.pmod("slot", F.lit(len(KEYS)))
+    masks, starts = (F.array(*[F.lit(x) for x in values]) for values in ([_signed(m) for _, m in KEYS], [s for s, _ in KEYS]))
+    return marked.select("key", ((F.col("slot") - number) / len(KEYS)).cast("int").alias("family"), masks[number].alias("mask"),
+                         starts[number].alias("start"), "fp", "n", "least")
 
 
 def _finer(mask: int) -> list[int]:
@@ -148,7 +162,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, key_start, held = None, None, []
     for batch in batches:
         links: list[tuple[int, np.ndarray]] = []
-        for family, mask, value, start, fp in zip(*(batch[c].to_pylist() for c in ("family", "mask", "key", "start", "fp"))):
+        for value, family, mask, start, fp in zip(*(batch[c].to_pylist() for c in ("key", "family", "mask", "start", "fp"))):
             if key != (family, mask, value):
                 if len(held) > 1:
                     links.append((key[0], linked(key_start, np.array(held, np.int64).view(np.uint64))))
@@ -163,22 +177,25 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_links(prints: DataFrame, most: int = MOST) -> DataFrame:
     """Links (family, a, b) that connect whatever different fingerprints (columns family and fp, or fp alone) of a family lie within
     DISTANCE bits of each other. All families are refined together; every step is written once."""
-    links, of_key = None, ["family", "mask", "key"]
+    links, order = None, ["key", "family", "mask"]
     filed = _file(prints if "family" in prints.columns else prints.select(F.lit(0).alias("family"), "fp"))
     closed = F.bit_count(F.bitwise_not("mask")) <= DISTANCE
     while True:
-        sizes = written(filed.groupBy(*of_key).agg(F.count("*").alias("n"), F.min("fp").alias("least")).filter("n > 1"), "keys")
-        marked = written(filed.join(sizes, of_key), "marked")
-        small = marked.filter(~closed & (F.col("n") <= most)).select(*of_key, "start", "fp")
-        found = small.repartition(*of_key).sortWithinPartitions(*of_key).mapInArrow(_trees, "family int, a long, b long").unionByName(
-            marked.filter(closed & (F.col("fp") != F.col("least"))).select("family", F.col("fp").alias("a"), F.col("least").alias("b"))).distinct()
+        first = links is None  # half of the bits are open: nothing is closed yet
+        sizes = filed.groupBy("key").agg(F.count("*").alias("n"), *([] if first else [F.min("fp").alias("least")])).filter("n > 1")
+        sizes = written(sizes.withColumn("least", F.lit(None).cast("long")) if first else sizes, "keys")
+        joined = filed.join(sizes, "key")
+        marked = written(_unfiled(joined) if first else joined, "marked")
+        small = marked.filter(~closed & (F.col("n") <= most)).select(*order, "start", "fp")
+        found = small.repartition("key").sortWithinPartitions(*order).mapInArrow(_trees, "family int, a long, b long").unionByName(
+            marked.filter(closed & F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))).between(1, DISTANCE)).select("family", F.col("fp").alias("a"), F.col("least").alias("b"))).distinct()
         links = found if links is None else links.unionByName(found)
         large = marked.filter(~closed & (F.col("n") > most)).select("family", "mask", "fp")
         if large.isEmpty():
             return links
         masks = written(large.select("mask").distinct().mapInArrow(_finer_masks, "mask long, finer long"), "masks")  # Spark knows its size
-        filed = large.join(masks, "mask").select("family", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key"),
-                                                 F.lit(None).cast("int").alias("start"), "fp").distinct()
+        finer = large.join(masks, "mask").select("family", F.col("finer").alias("mask"), "fp").distinct()
+        filed = finer.select(_key("family", "mask", F.col("fp").bitwiseAND(F.col("mask"))), "family", "mask", F.lit(None).cast("int").alias("start"), "fp")
 
 
 def _family_links(prints: DataFrame) -> DataFrame:
