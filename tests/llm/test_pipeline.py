@@ -4,8 +4,8 @@ from collections import defaultdict
 
 import corpus_pipeline
 from hitledger.llm.common import written
-from tests.llm.corpus import lower, words
-from tests.llm.test_dedup import SF_DIR, components_of_families, fingerprints
+from tests.llm.corpus import EDGES, lower, prose, table, words
+from tests.llm.test_dedup import SF_DIR, similarity
 from tests.llm.test_models import statistics
 
 
@@ -23,8 +23,18 @@ def test_stages(spark):
         largest[lower(r[1])] = max(largest.get(lower(r[1]), r), r)
     assert sorted(rows[2]) == sorted(largest.values())
     ordered = sorted(rows[2])
-    near = components_of_families([fingerprints(r[1], 6) for r in ordered])
-    assert sorted(rows[3]) == [r for i, r in enumerate(ordered) if near[i] == i]
+    least = list(range(len(ordered)))  # of the documents that all pairs of similar ones connect
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+    for i, a in enumerate(ordered):
+        for j in range(i):
+            if similarity(a[1], ordered[j][1]) >= 0.8:
+                x, y = find(i), find(j)
+                least[max(x, y)] = min(x, y)
+    assert sorted(rows[3]) == [r for i, r in enumerate(ordered) if find(i) == i]
     times = defaultdict(int)
     for r in rows[4]:
         times[r] += 1
@@ -34,3 +44,18 @@ def test_stages(spark):
     packed = kept[5].filter("piece = 0").groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in packed} == {r[0]: n for r, n in times.items()}
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_awkward_rows_and_an_empty_table(spark):
+    """Null, empty, very long, repeated and clashing rows pass every stage; so does a table without rows."""
+    for rows in ([*EDGES, *[(500 + i, prose(80, 50 + i), "en", None if i % 3 else "a") for i in range(20)]], []):
+        docs = table(spark, rows)
+        columns = docs.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = written(stage(spark, docs, SF_DIR), "test")
+            assert docs.columns == columns
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
+        assert packed.groupBy("sequence_id").sum("length").filter("`sum(length)` > 4096").isEmpty()
+        assert packed.filter("piece = 0").count() == docs.count() and (not rows) == docs.isEmpty()
+        ids = {r["doc_id"] for r in docs.collect()}
+        assert not ids & {0, 1, 2, 3, 14} and (not rows or {500, 519, 13} <= ids)
