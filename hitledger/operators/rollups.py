@@ -6,7 +6,7 @@ rows, so requests are neither doubled before the shuffle nor aggregated twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,6 +23,7 @@ PAIR_TABLES = {"daily_ip_paths": ("ip", "path"), "daily_path_ips": ("path", "ip"
 Step = Callable[[DataFrame], DataFrame]
 CLIENTS = "daily_clients"
 TABLES = ("daily_totals", *KEYED_TABLES, "hourly_totals", *PAIR_TABLES, CLIENTS)
+MONTH_TABLES = tuple(t for t in TABLES if t != "hourly_totals")
 SKETCH_BITS = 14  # 16,384 registers: the estimate's standard error is 0.8 %
 
 
@@ -105,6 +106,18 @@ def client_sketches(reqs: DataFrame) -> DataFrame:
     return grouped.select("day", "source", F.inline(rows)).filter("clients IS NOT NULL").select("day", "category", "source", "clients")
 
 
+def by_month(rows: DataFrame) -> DataFrame:
+    """Rows of a daily rollup merged by month over all sources; ``day`` is the first of the month.
+
+    Counts are summed and sketches united, so answers that sum, count different keys or unite sketches may read months for days.
+    """
+    dropped = {"source", "ingest_id", "bucket"}
+    merged = {c: F.sum(c) for c in ("count", "total_requests", "bytes_total", "errors", "rt_sum", "rt_n")} | {"clients": F.hll_union_agg("clients")}
+    keys = [c for c in rows.columns if c not in merged and c not in dropped]
+    monthly = rows.withColumn("day", F.trunc("day", "month"))
+    return monthly.groupBy(*keys).agg(*(merged[c].alias(c) for c in rows.columns if c in merged))
+
+
 def ip_path_pairs(reqs: DataFrame) -> DataFrame:
     """Requests per client and path, all categories together."""
     return (reqs.filter(F.col("path").isNotNull())
@@ -138,6 +151,14 @@ class Rollups(Mapping[str, DataFrame]):
         return len(self._plans)
 
 
+class Months(Rollups):
+    """Merged rollups by name, and the months (``2024-01``) that they hold."""
+
+    def __init__(self, plans: Mapping[str, Callable[[], DataFrame]], built: Iterable[str]):
+        super().__init__(plans)
+        self.built = frozenset(built)
+
+
 def build(parsed: DataFrame, as_of: str, pairs: DataFrame | None = None, locate: Step | None = None) -> Rollups:
     """All rollups, unevaluated and complete.
 

@@ -180,7 +180,7 @@ def ingest_and_report(store: RollupStore, directory: str, settings: Settings, da
     summary = ingest_directory(store, directory, settings)
     start, _ = default_range(settings.as_of, days)
     start, end = from_day or start, to_day or settings.as_of
-    traffic = Traffic(store.tables())
+    traffic = Traffic(store.tables(), store.months())
     return {
         "window_days": days, "from_date": start, "to_date": end, "ingest": summary,
         **{category: traffic.stats(category, start, end) for category in fixed.CATEGORIES},

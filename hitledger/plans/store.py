@@ -6,6 +6,9 @@ new version of a source in all tables, and a failed ingest stays invisible. Afte
 replaced rows are rewritten without them by dynamic partition overwrite; until that is done a marker tells readers to join the
 ledger. Without markers every table is a plain scan. One ingest at a time may write to a store.
 
+Whole months may be kept a second time, merged from their days (``build_months``). A commit that changes rows of a month first takes
+its marker away, so a month is read only while it equals its days.
+
 Inside a bucket rows are dealt to files by ranges of their key and sorted by it, and clients and paths have bloom filters, so looking up
 one key reads the row groups that may hold it.
 """
@@ -19,8 +22,9 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from hitledger import fixed_values as fixed, schemas, session
+from hitledger.functions import labels
 from hitledger.operators import ledger as lg, rollups
-from hitledger.operators.rollups import KEYED_TABLES, PAIR_TABLES, Rollups
+from hitledger.operators.rollups import KEYED_TABLES, PAIR_TABLES, Months, Rollups
 
 WRITERS = 4  # tables written at a time, so that one table's last tasks do not idle the cluster
 BUCKETS = 8
@@ -79,7 +83,9 @@ class RollupStore:
         return any(session.exists(self.spark, f"{self._ledger_path}/{p}") for p in (f"commits/ingest_id={ingest_id}/_SUCCESS", f"folded/{ingest_id}"))
 
     def append_entries(self, ingest_id: str, entries: DataFrame, now: str | None = None) -> None:
-        """Commit ledger rows, which makes an ingest visible, then drop the rows they replace."""
+        """Commit ledger rows, which makes an ingest visible, then drop the rows they replace. Months it changes go before."""
+        if built := self.built_months():
+            self._drop_months(self._months_changed(ingest_id, entries, built))
         stamped = entries.withColumn("committed_at", F.lit(now or utc_now()).cast("timestamp_ntz"))
         columns = [c.split()[0] for c in schemas.LEDGER.split(", ") if not c.startswith("ingest_id ")]
         stamped.select(*columns).write.mode("overwrite").parquet(f"{self._ledger_path}/commits/ingest_id={ingest_id}")
@@ -143,17 +149,17 @@ class RollupStore:
 
     # rollups
 
-    def _writer(self, table: str, rows: DataFrame) -> DataFrameWriter:
+    def _writer(self, table: str, rows: DataFrame, folders: tuple[str, ...] = ("day", "bucket")) -> DataFrameWriter:
         """Rows of a table in files of their own ranges of the key, sorted by it."""
         key = {**KEYED_TABLES, **{t: outer for t, (outer, _) in PAIR_TABLES.items()}}.get(table)
-        order = ["day", "bucket", *([key] if key else [])]
+        order = [*folders, *([key] if key else [])]
         dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, *(["category"] if "category" in rows.columns else []))
         blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKUPS if c in rows.columns}
-        return dealt.write.partitionBy("day", "bucket").options(**{**blooms, **self.options})
+        return dealt.write.partitionBy(*folders).options(**{**blooms, **self.options})
 
-    def _each_table(self, action: Callable[[str], object]) -> list:
+    def _each_table(self, action: Callable[[str], object], names: Iterable[str] = schemas.ROLLUPS) -> list:
         with ThreadPoolExecutor(WRITERS) as pool:
-            return list(pool.map(action, schemas.ROLLUPS))
+            return list(pool.map(action, names))
 
     def write_tables(self, ingest_id: str, tables: Mapping[str, DataFrame]) -> None:
         """Append all rollups of one ingest; invisible until its ledger rows are committed."""
@@ -187,6 +193,59 @@ class RollupStore:
 
         return Rollups({table: (lambda t=table: plan(t)) for table in rollups.TABLES})
 
+    # months
+
+    def _month_path(self, table: str, month: str = "") -> str:
+        return f"{self.root}/months/tables/{table}" + (f"/day={month}-01" if month else "")
+
+    def built_months(self) -> list[str]:
+        """Months (``2024-01``) whose merged rows are there and equal to their days."""
+        return session.children(self.spark, f"{self.root}/months/built")
+
+    def _months_changed(self, ingest_id: str, entries: DataFrame, built: list[str]) -> list[str]:
+        """Built months in which rows come to count, or cease to, once the ledger rows are committed.
+
+        Every source with rows in any table has rows of the same days in ``daily_totals``, the smallest; only that is read.
+        """
+        totals = self._rows("daily_totals").select("source", "ingest_id", labels.month_label(F.col("day")).alias("month")).filter(F.col("month").isin(built))
+        touched = totals.join(entries.select("source", "data_id", "deleted"), "source").filter(
+            (F.col("ingest_id") == ingest_id) | F.col("deleted") | ~F.col("ingest_id").eqNullSafe(F.col("data_id")))
+        return [r.month for r in touched.select("month").distinct().collect()]
+
+    def _drop_months(self, months: Iterable[str]) -> None:
+        """Markers go first, so rows that are only partly gone are never read."""
+        months = list(months)
+        for month in months:
+            session.remove(self.spark, f"{self.root}/months/built/{month}")
+        for month in months:
+            for table in schemas.MONTHS:
+                session.remove(self.spark, self._month_path(table, month))
+
+    def build_months(self, as_of: str) -> list[str]:
+        """Merge the days of every month before that of ``as_of`` that is not built; returns these months.
+
+        A job of its own, to be run now and then: ingests only drop what they change. Not to be run during an ingest.
+        """
+        found = {p.rpartition("day=")[2][:7] for p in session.matching(self.spark, f"{self._table_path('daily_totals')}/day=*")}
+        todo = sorted(m for m in found - set(self.built_months()) if m < date.fromisoformat(as_of).isoformat()[:7])
+        if todo:
+            self._drop_months(todo)  # what an attempt that did not end has left
+            days = self.tables()
+
+            def write(table: str) -> None:
+                rows = rollups.by_month(days[table].filter(labels.month_label(F.col("day")).isin(todo)))
+                self._writer(table, rows, ("day",)).mode("append").parquet(self._month_path(table))
+
+            self._each_table(write, schemas.MONTHS)
+            for month in todo:
+                session.make_folder(self.spark, f"{self.root}/months/built/{month}")
+        return todo
+
+    def months(self) -> Months:
+        """The month level as it is now: merged rollups and the months they hold."""
+        plans = {t: (lambda t=t: self._read(self._month_path(t), schemas.MONTHS[t])) for t in schemas.MONTHS}
+        return Months(plans, self.built_months())
+
     # upkeep
 
     def _rewrite(self, buckets: list[int] | None) -> None:
@@ -236,6 +295,7 @@ class RollupStore:
     def enforce_retention(self, as_of: str, days: int = fixed.RETENTION_DAYS) -> int:
         """Drop whole day folders older than ``days`` before ``as_of``; returns how many. One listing of the tables' days."""
         first = (date.fromisoformat(as_of) - timedelta(days=days)).isoformat()
+        self._drop_months(m for m in self.built_months() if f"{m}-01" < first)
         old = [p for p in session.matching(self.spark, f"{self.root}/rollups/*/day=*") if p.rpartition("day=")[2] < first]
         return sum(session.remove(self.spark, p) for p in old)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from collections.abc import Mapping
 from datetime import date, timedelta
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hitledger import fixed_values as fixed
 from hitledger.functions import labels, network
 from hitledger.operators import geo
-from hitledger.operators.rollups import CLIENTS
+from hitledger.operators.rollups import CLIENTS, Months
 from hitledger.operators.topk import top, top_per_group
 
 TOTALS = ("total_requests", "bytes_total", "errors", "rt_sum", "rt_n")
@@ -51,6 +52,14 @@ def month_range(year: int, month: int) -> tuple[str, str]:
     return first.isoformat(), last.isoformat()
 
 
+def whole_months(from_day: str, to_day: str) -> list[str]:
+    """Months (``2024-01``) all of whose days are in the range."""
+    start, end = check_range(from_day, to_day)
+    months = [(y, m) for y in range(int(start[:4]), int(end[:4]) + 1) for m in range(1, 13)]
+    return [f"{y:04d}-{m:02d}" for y, m in months
+            if start <= f"{y:04d}-{m:02d}-01" and f"{y:04d}-{m:02d}-{monthrange(y, m)[1]}" <= end]
+
+
 def _in_days(from_day: str, to_day: str) -> Column:
     start, end = check_range(from_day, to_day)
     return F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
@@ -61,14 +70,25 @@ def _total(column: str = "count") -> Column:
 
 
 class Traffic:
-    """Queries over a mapping of rollup tables, such as ``rollups.build`` or ``RollupStore.tables`` give."""
+    """Queries over a mapping of rollup tables, such as ``rollups.build`` or ``RollupStore.tables`` give.
+
+    ``months``, as ``RollupStore.months`` gives them, stand for the days of those whole months of a range that they hold.
+    """
+
+    def __init__(self, tables: Mapping[str, DataFrame], months: Months | None = None):
+        self.tables, self.months = tables, months
 
-    def __init__(self, tables: Mapping[str, DataFrame]):
-        self.tables = tables
+    def _range(self, table: str, from_day: str, to_day: str) -> DataFrame:
+        """Rows of a range of days, from months where they can be; ``day`` and ``source`` tell nothing then."""
+        whole = [m for m in whole_months(from_day, to_day) if m in self.months.built] if self.months else []
+        days = self.tables[table].filter(_in_days(from_day, to_day))
+        if not whole:
+            return days
+        merged = self.months[table].filter(labels.month_label(F.col("day")).isin(whole))
+        return days.filter(~labels.month_label(F.col("day")).isin(whole)).select(*merged.columns).unionByName(merged)
 
     def _scope(self, table: str, category: str, from_day: str, to_day: str) -> DataFrame:
-        return self.tables[table].filter(
-            (F.col("category") == check_category(category)) & _in_days(from_day, to_day))
+        return self._range(table, from_day, to_day).filter(F.col("category") == check_category(category))
 
     def _scope_of_all(self, table: str) -> DataFrame:
         return self.tables[table].filter(F.col("category") == "all")
@@ -101,7 +121,7 @@ class Traffic:
         return self._by_key("daily_methods", "method", (category, from_day, to_day)).orderBy("method")
 
     def daily(self, category: str, from_day: str, to_day: str) -> DataFrame:
-        scope = self._scope("daily_totals", category, from_day, to_day)
+        scope = self.tables["daily_totals"].filter((F.col("category") == check_category(category)) & _in_days(from_day, to_day))
         return scope.groupBy("day").agg(_total("total_requests")).orderBy("day")
 
     def hourly(self, category: str, from_day: str, to_day: str) -> DataFrame:
@@ -167,7 +187,7 @@ class Traffic:
     # drill-downs
 
     def _drill(self, table: str, key: str, value: str, other: str, days: tuple[str, str], limit: int) -> DataFrame:
-        scope = self.tables[table].filter((F.col(key) == F.lit(value)) & _in_days(*days))
+        scope = self._range(table, *days).filter(F.col(key) == F.lit(value))
         return top(scope.groupBy(other).agg(_total()), "n", [other], limit)
 
     def drill_ip(self, ip: str, from_day: str, to_day: str, limit: int = fixed.DRILL_ROWS) -> DataFrame:
@@ -192,7 +212,7 @@ class Traffic:
     def _drill_map(self, top_table: str, pair_table: str, outer: str, inner: str, days: tuple[str, str],
                    outer_n: int, inner_n: int) -> DataFrame:
         busiest = top(self._by_key(top_table, outer, ("all", *days)), "n", [outer], outer_n).select(outer)
-        scope = self.tables[pair_table].filter(_in_days(*days)).join(busiest, outer, "left_semi")
+        scope = self._range(pair_table, *days).join(busiest, outer, "left_semi")
         counted = scope.groupBy(outer, inner).agg(_total())
         return top_per_group(counted, [outer], "n", [inner], inner_n).select(outer, inner, "n")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from hitledger.operators.geo import GEO
-from hitledger.operators.rollups import CLIENTS, KEYED_TABLES, PAIR_TABLES
+from hitledger.operators.rollups import CLIENTS, KEYED_TABLES, MONTH_TABLES, PAIR_TABLES
 
 LEDGER = ("source string, path string, mtime double, size bigint, ingested_at timestamp_ntz, rows_ingested bigint, "
           "duration_s double, container string, data_id string, deleted boolean, committed_at timestamp_ntz, "
@@ -24,6 +24,9 @@ ROLLUPS = {
     CLIENTS: f"category string, source string, clients binary, {_PARTITION}",
 }
 
+# The month level: days' rows over all sources, ``day`` the first of the month.
+MONTHS = {table: ROLLUPS[table].replace("source string, ", "").replace(_PARTITION, "day date") for table in MONTH_TABLES}
+
 PARSED = ("source string, file string, error string, line_chars bigint, outcome string, ip string, ts timestamp_ntz, day date, "
           "hour timestamp_ntz, method string, path string, status string, bytes bigint, referer string, "
           "user_agent string, response_time_us bigint, is_bot boolean")

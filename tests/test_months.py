@@ -1,0 +1,137 @@
+"""The month level of a store: equal to its days, and never read after they change."""
+
+import pytest
+
+from hitledger import session
+from hitledger.plans import traffic
+from hitledger.plans.ingest import Settings, ingest_lines
+from hitledger.plans.store import RollupStore
+from hitledger.plans.traffic import Traffic
+from loglines import CRAWLER, line
+from pyspark.sql import functions as F
+
+AS_OF = "2025-03-10"
+RANGES = {("2025-01-01", "2025-12-31"): "human", ("2025-01-31", "2025-03-02"): "all"}
+
+
+@pytest.fixture
+def store(spark):
+    return RollupStore(spark, session.shared_dir(spark, "store"))
+
+
+def load(spark, store, ingest_id, minute, sources):
+    """Lines of sources by name, each a list of arguments of ``line``."""
+    rows = [(name, line(**x)) for name, lines in sources.items() for x in lines]
+    ingest_lines(store, spark.createDataFrame(rows, "source string, line string"), Settings(AS_OF, f"2025-03-10 10:{minute:02}:00"), ingest_id)
+
+
+def sample(seed=0):
+    days = ("2025-01-01", "2025-01-31", "2025-02-01", "2025-02-28", "2025-03-01", "2025-03-09")
+    return [{"ip": f"10.0.{(i + seed) % 5}.{i % 3}", "path": f"/p{(i * 7 + seed) % 4}", "at": f"{days[i % 6]}T0{i % 10}:00:00", "rt": i, "size": str(i),
+             "agent": CRAWLER if i % 4 == 0 else None, "status": "404" if i % 5 == 0 else None, "method": "POST" if i % 7 == 0 else "GET"} for i in range(60)]
+
+
+def answers(t):
+    """Every answer that may read months, as rows."""
+    found = {}
+    for days, category in RANGES.items():
+        for name, part in t.stats(category, *days).items():
+            found[days, name] = part
+        found[days, "about"] = t.about_unique_ips(category, *days)
+        found[days, "subnets"] = t.subnets(category, *days)
+        found[days, "ip"] = t.drill_ip("10.0.1.1", *days)
+        found[days, "paths"] = t.drill_path_map(*days, 3, 2)
+        found[days, "search"] = t.search_paths("p", "all", *days)
+    found["year"] = t.yearly_totals(2025, "all")
+    found["monthly"] = t.monthly(2025, "human")
+    columns = {k: F.to_json(F.struct(*part.columns)) for k, part in found.items()}
+    rows = [part.select(F.lit(repr(k)).alias("k"), columns[k].alias("row")) for k, part in found.items()]
+    return sorted(tuple(r) for part in rows for r in part.collect())
+
+
+def test_months_of_a_range():
+    assert traffic.whole_months("2024-01-31", "2024-03-30") == ["2024-02"]
+    assert traffic.whole_months("2023-12-01", "2024-02-29") == ["2023-12", "2024-01", "2024-02"]
+    assert traffic.whole_months("2024-02-01", "2024-02-28") == []
+    with pytest.raises(ValueError):
+        traffic.whole_months("2024-02-01", "2024-01-01")
+
+
+def test_answers_from_months_equal_those_from_days(spark, store):
+    load(spark, store, "first", 0, {"a.log": sample(), "b.log": sample(3)})
+    assert store.build_months(AS_OF) == ["2025-01", "2025-02"] and store.build_months(AS_OF) == []
+    assert answers(Traffic(store.tables(), store.months())) == answers(Traffic(store.tables()))
+
+
+def test_whole_months_are_not_read_by_day(spark, store):
+    load(spark, store, "first", 0, {"a.log": sample()})
+    store.build_months("2025-04-01")
+    t = Traffic(store.tables(), store.months())
+    for part in (t.top_paths("all", "2025-01-01", "2025-03-31"), t.unique_ips("all", "2025-01-01", "2025-03-31"), t.drill_ip("10.0.1.1", "2025-02-01", "2025-02-28")):
+        scans = part._jdf.queryExecution().executedPlan().toString()
+        folders = [spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(leaf.relation().location().rootPaths()).get(0).toString()
+                   for leaf in _scans(part) if leaf.selectedPartitions().filePartitionIterator().hasNext()]
+        assert folders and all("/months/" in f for f in folders), scans
+
+
+def _scans(frame):
+    """Parquet scans of a plan before adaptive execution."""
+    plan = frame._jdf.queryExecution().sparkPlan()
+    leaves = frame.sparkSession._jvm.scala.jdk.javaapi.CollectionConverters.asJava(plan.collectLeaves())
+    return [leaf for leaf in leaves if leaf.nodeName().startswith("Scan parquet")]
+
+
+def test_a_change_takes_away_its_months_alone(spark, store):
+    load(spark, store, "first", 0, {"a.log": [{"at": "2025-01-05T00:00:00"}], "b.log": [{"at": "2025-02-05T00:00:00"}], "c.log": [{"at": "2024-12-05T00:00:00"}]})
+    assert store.build_months(AS_OF) == ["2024-12", "2025-01", "2025-02"]
+    load(spark, store, "second", 1, {"a.log": [{"at": "2025-01-05T00:00:00"}] * 3})  # replaced
+    assert store.built_months() == ["2024-12", "2025-02"]
+    t = Traffic(store.tables(), store.months())
+    assert [tuple(r) for r in t.monthly(2025, "all").collect()] == [("2025-01", 3), ("2025-02", 1)]
+    assert store.build_months(AS_OF) == ["2025-01"]
+    store.delete_sources(["b.log"], "third", "2025-03-10 10:02:00")
+    assert store.built_months() == ["2024-12", "2025-01"]
+    load(spark, store, "fourth", 3, {"d.log": [{"at": "2024-12-06T00:00:00"}]})  # a late line of a month that is built
+    assert store.built_months() == ["2025-01"]
+    load(spark, store, "fifth", 4, {"a.log": [{"at": "2025-03-09T00:00:00"}]})  # rows move to another month
+    assert store.built_months() == []
+    store.build_months(AS_OF)
+    rows = Traffic(store.tables(), store.months()).daily("all", "2024-01-01", "2025-12-31").collect()
+    assert [(str(r.day), r.n) for r in rows] == [("2024-12-05", 1), ("2024-12-06", 1), ("2025-03-09", 1)]
+    assert Traffic(store.tables(), store.months()).totals("all", "2024-12-01", "2025-12-31").first().total_requests == 3
+
+
+def test_a_mark_changes_no_month(spark, store):
+    load(spark, store, "first", 0, {"a.log": [{"at": "2025-01-05T00:00:00"}]})
+    store.build_months(AS_OF)
+    store.mark_ingested("a.log", "a.log", 5.0, 9, "second", "2025-03-10 10:01:00")
+    assert store.built_months() == ["2025-01"]
+
+
+def test_retention_takes_months_that_lose_days(spark, store):
+    load(spark, store, "first", 0, {"a.log": [{"at": f"2025-0{m}-{d}T00:00:00"} for m in (1, 2) for d in ("05", "25")]})
+    store.build_months(AS_OF)
+    store.enforce_retention("2025-02-15", 31)  # from 15 January on
+    assert store.built_months() == ["2025-02"]
+    assert Traffic(store.tables(), store.months()).totals("all", "2025-01-01", "2025-02-28").first().total_requests == 3
+
+
+def test_a_build_that_did_not_end_is_not_read(spark, store, monkeypatch):
+    load(spark, store, "first", 0, {"a.log": sample()})
+    make = session.make_folder
+
+    def stop(spark, path):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(session, "make_folder", stop)
+    with pytest.raises(RuntimeError):
+        store.build_months(AS_OF)
+    monkeypatch.setattr(session, "make_folder", make)
+    assert store.built_months() == []
+    store.build_months(AS_OF)
+    assert Traffic(store.tables(), store.months()).totals("all", "2025-01-01", "2025-02-28").first().total_requests == 40
+
+
+def test_an_empty_store_has_no_months(store):
+    assert store.build_months(AS_OF) == []
+    assert Traffic(store.tables(), store.months()).totals("all", "2025-01-01", AS_OF).first().total_requests == 0

@@ -413,3 +413,11 @@ FROM clients LEFT JOIN best USING (ip)"""
 
 ORACLE["about_unique_ips"] = _with("daily_ips") + " UNION ALL ".join(
     f"SELECT '{c}' AS category, count(DISTINCT ip) AS unique_ips, true AS is_near FROM daily_ips WHERE {_scope(c)}" for c in ("all", "bot", "human"))
+
+_HUMAN_YEAR = _scope("human", *_YEAR) + " AND source <> 'access_3.log'"
+ORACLE["stored_months"] = _with("daily_totals", "daily_status", "daily_paths", "daily_ips") + f"""
+    SELECT 'month' AS section, strftime(day, '%Y-%m') AS key, CAST(sum(total_requests) AS BIGINT) AS n FROM daily_totals WHERE {_HUMAN_YEAR} GROUP BY 2
+    UNION ALL SELECT 'status', status, CAST(sum(count) AS BIGINT) FROM daily_status WHERE {_HUMAN_YEAR} GROUP BY 2
+    UNION ALL SELECT * FROM (SELECT 'path', path, CAST(sum(count) AS BIGINT) AS n FROM daily_paths WHERE {_HUMAN_YEAR}
+                             GROUP BY path ORDER BY n DESC, path LIMIT 10)
+    UNION ALL SELECT 'clients', 'all', count(DISTINCT ip) FROM daily_ips WHERE {_HUMAN_YEAR}"""

@@ -110,6 +110,22 @@ def compacted_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.tables()["hourly_totals"].groupBy("hour", "category").agg(F.sum("count").alias("count"))
 
 
+def stored_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The year's answers from months: built over twice the log, changed by a replacement and a deletion, and built again."""
+    store = new_store(spark)
+    doubled = raw_log(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    ingest.ingest_lines(store, doubled, settings(FIRST), "first")
+    store.build_months("2024-12-31")
+    ingest.ingest_lines(store, raw_log(spark, sf_dir), settings(LATER), "second")
+    store.delete_sources(["access_3.log"], "third", LATER)
+    store.build_months("2024-12-31")
+    answers, scope = traffic.Traffic(store.tables(), store.months()), ("human", "2024-01-01", "2024-12-31")
+    parts = {"month": answers.monthly(2024, "human"), "status": answers.status_codes(*scope), "path": answers.top_paths(*scope, 10),
+             "clients": answers.unique_ips(*scope).select(F.lit("all").alias("clients"), "unique_ips")}
+    rows = [part.toDF("key", "n").select(F.lit(section).alias("section"), "key", F.col("n").cast("bigint").alias("n")) for section, part in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 def changed_file_reingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files grow to twice their lines; within the cooldown they stay as they were, after it they are replaced."""
     store = new_store(spark)
@@ -208,6 +224,6 @@ def stream_window_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STORED = {f.__name__: f for f in (
-    scan_plain_gz_tar, classify_files, replace_by_source, marked_source, delete_source, compacted_store, changed_file_reingest,
+    scan_plain_gz_tar, classify_files, replace_by_source, marked_source, delete_source, compacted_store, stored_months, changed_file_reingest,
     traffic_stats, ingest_and_report, stored_top_paths, stored_subnets, stream_daily_totals, stream_replay_idempotent,
     stream_late_data, stream_hourly_totals, stream_window_parts)}
