@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 
 from hitledger import session
 from hitledger.operators.ledger import ARCHIVE, GZIP, TEXT
@@ -17,6 +18,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no ins
 LINES = "source string, file string, line string, error string"
 BLOCKS = "source string, file string, block binary, error string"
 BLOCK_BYTES = 4 * 2**20
+TASK_BYTES = 64 * 2**20  # compressed bytes of the files that share a task
+FILE_BYTES = 2**17  # what opening a file counts beside its size: at most 512 files share a task
+LISTING_PARTS = 64  # parts in which running sums over a listing are taken
 
 
 def as_listing(files: DataFrame) -> DataFrame:
@@ -112,9 +116,28 @@ def _unpack(frames: Iterator) -> Iterator:
                 yield pd.DataFrame([block], columns=["source", "file", "block", "error"])
 
 
+def packed(listing: DataFrame, task_bytes: int = TASK_BYTES, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, int]:
+    """A listing dealt to tasks by size, as a column ``task``, and the number of tasks.
+
+    Files lie one after another, each as long as its size (``task_bytes`` at most) and ``file_bytes``; those that begin in the same stretch
+    of ``task_bytes`` share a task. Small listings are cut into as many stretches as the cluster has cores. Running sums are taken in parts
+    of the listing, whose totals alone come to the driver. A task holds no more than one file beyond its stretch; a null size counts as none.
+    """
+    length = F.least(F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)), F.lit(task_bytes)) + F.lit(file_bytes)
+    parts = listing.withColumns({"_length": length, "_part": F.pmod(F.xxhash64("path"), F.lit(LISTING_PARTS)).cast("int")})
+    totals = dict(tuple(r) for r in parts.groupBy("_part").agg(F.sum("_length")).collect())
+    begin = list(accumulate((totals.get(p, 0) for p in range(LISTING_PARTS)), initial=0))
+    stretch = min(task_bytes, max(file_bytes, -(-begin[-1] // listing.sparkSession.sparkContext.defaultParallelism)))
+    before = Window.partitionBy("_part").orderBy("path", "size").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.element_at(F.lit(begin), F.col("_part") + 1) + F.coalesce(F.sum("_length").over(before), F.lit(0))
+    dealt = parts.withColumn("task", F.floor(place / F.lit(stretch)).cast("int")).drop("_length", "_part")
+    return dealt, max(1, -(-begin[-1] // stretch))
+
+
 def _compressed_lines(spark: SparkSession, files: Sequence[Row]) -> DataFrame:
-    rows = spark.createDataFrame([(f.source, f.path, f.kind) for f in files], "source string, path string, kind string")
-    blocks = rows.repartition(len(files)).mapInPandas(_unpack, BLOCKS)
+    listing = spark.createDataFrame([(f.source, f.path, f.kind, f.size) for f in files], "source string, path string, kind string, size bigint")
+    dealt, tasks = packed(listing)
+    blocks = dealt.repartitionById(tasks, "task").select("source", "path", "kind").mapInPandas(_unpack, BLOCKS)
     line = F.explode_outer(F.split(F.make_valid_utf8(F.col("block").cast("string")), r"\r\n|\r|\n"))
     return blocks.select("source", "file", line.alias("line"), "error")
 
@@ -131,7 +154,7 @@ def read_lines(spark: SparkSession, files: Sequence[Row]) -> DataFrame:
     """``(source, file, line)`` of classified listing rows; archive members are sources named ``archive/member``.
 
     Text is read in splits by many tasks. A compressed stream has one reader, which hands on blocks of
-    some megabytes; these are split into lines by Spark.
+    some megabytes; these are split into lines by Spark. Small compressed files share readers.
     """
     text = [f for f in files if f.kind == TEXT]
     compressed = [f for f in files if f.kind in (GZIP, ARCHIVE)]
