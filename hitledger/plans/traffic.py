@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hitledger import fixed_values as fixed
 from hitledger.functions import labels, network
 from hitledger.operators import geo
-from hitledger.operators.rollups import CLIENTS, Months
-from hitledger.operators.topk import top, top_per_group
+from hitledger.operators.rollups import CLIENTS, KEYED_TABLES, Months
+from hitledger.operators.topk import top, top_of_lists, top_per_group
 
 TOTALS = ("total_requests", "bytes_total", "errors", "rt_sum", "rt_n")
 
@@ -226,6 +226,22 @@ class Traffic:
         """The busiest paths' busiest clients."""
         return self._drill_map("daily_paths", "daily_path_ips", "path", "ip", (from_day, to_day), top_paths, ips_per_path)
 
+    # the same top lists over long ranges: entries of days and sources that can't matter are neither summed nor shuffled
+
+    def top_by_threshold(self, table: str, category: str, from_day: str, to_day: str, limit: int) -> DataFrame:
+        """The busiest keys of a keyed rollup (``KEYED_TABLES``), as ``top_paths`` and the like give them without locations."""
+        key = KEYED_TABLES[table]
+        lists = self.tables[table].filter((F.col("category") == check_category(category)) & _in_days(from_day, to_day))
+        return top_of_lists(lists, [], ["day", "source"], key, "count", limit).orderBy(F.col("n").desc(), key)
+
+    def drill_map_by_threshold(self, outer: str, from_day: str, to_day: str, outer_n: int = fixed.DRILL_MAP_KEYS,
+                               inner_n: int = fixed.DRILL_PATHS_PER_IP) -> DataFrame:
+        """``drill_ip_map`` (``outer`` is "ip") or ``drill_path_map`` ("path")."""
+        busy, pairs, inner = {"ip": ("daily_ips", "daily_ip_paths", "path"), "path": ("daily_paths", "daily_path_ips", "ip")}[outer]
+        busiest = self.top_by_threshold(busy, "all", from_day, to_day, outer_n).select(outer)
+        lists = self.tables[pairs].filter(_in_days(from_day, to_day)).join(busiest, outer, "left_semi")
+        return top_of_lists(lists, [outer], ["day", "source"], inner, "count", inner_n)
+
     # years
 
     def available_years(self, category: str) -> DataFrame:

@@ -421,3 +421,6 @@ ORACLE["stored_months"] = _with("daily_totals", "daily_status", "daily_paths", "
     UNION ALL SELECT * FROM (SELECT 'path', path, CAST(sum(count) AS BIGINT) AS n FROM daily_paths WHERE {_HUMAN_YEAR}
                              GROUP BY path ORDER BY n DESC, path LIMIT 10)
     UNION ALL SELECT 'clients', 'all', count(DISTINCT ip) FROM daily_ips WHERE {_HUMAN_YEAR}"""
+
+ORACLE["threshold_top_paths"] = ORACLE["top_paths"]
+ORACLE["threshold_drill_map"] = ORACLE["drill_ip_map"]

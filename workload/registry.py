@@ -185,6 +185,8 @@ QUERIES: dict[str, Query] = {
     "drill_ip_map": _traffic(lambda t: t.drill_ip_map(*DAYS, 20, 3), staged=True),
     "drill_path_map": _traffic(lambda t: t.drill_path_map(*DAYS, 20, 3), staged=True),
     "drill_ip_nested": _nested,
+    "threshold_top_paths": _traffic(lambda t: t.top_by_threshold("daily_paths", *ALL, 10), staged=True),
+    "threshold_drill_map": _traffic(lambda t: t.drill_map_by_threshold("ip", *DAYS, 20, 3), staged=True),
     "subnet_share": _traffic(lambda t: t.subnets(*ALL, alert_pct=5.0)),
     # years
     "yearly_totals": _traffic(lambda t: t.yearly_totals(YEAR, "bot"), staged=True),
