@@ -58,8 +58,8 @@ def top_of_lists(lists: DataFrame, group: Sequence[str], by: Sequence[str], key:
     """``(*group, key, n)``: the ``n`` keys of the highest totals of each group, equal totals in the order of keys, without summing every key.
 
     A group's entries lie in lists named by the columns ``by``; a list holds a key once at most, with an integer count of 0 or more. Only
-    candidates are summed (``list_candidates``), so the shuffles carry a few highest entries of each list, not all. The result
-    is that of summing everything, whatever the split. Rows without a group, key or count are left out; no rows give no rows.
+    candidates are summed (``list_candidates``): the shuffles carry the highest entries of each list, and all of them only where bounds or
+    candidates are too large for Spark to broadcast. The result is that of summing everything, whatever the split. Rows without a group, key or count are left out; no rows give no rows.
     """
     known = lists.dropna(subset=[*group, key, count]).select(*group, *by, key, F.col(count).alias("_count"))
     if not group:
