@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
@@ -32,6 +32,12 @@ def newest(entries: DataFrame) -> DataFrame:
     return latest.select("source", "e.*")
 
 
+def data_ids(entries: DataFrame | None = None) -> Column:
+    """The ingests whose rows count for a ledger row: its own, and those it kept because the file was read from where it had ended."""
+    kept = F.col("kept") if entries is None or "kept" in entries.columns else F.lit(None).cast("array<string>")
+    return F.concat(F.array("data_id"), F.coalesce(kept, F.array().cast("array<string>")))
+
+
 def live(entries: DataFrame) -> DataFrame:
     """Newest entry of every source that is not deleted."""
     return newest(entries).filter(~F.col("deleted"))
@@ -61,6 +67,21 @@ def changed(listing: DataFrame, ledger: DataFrame, now: str,
     return with_status(listing, ledger, now, cooldown_seconds).filter(~F.col("current")).drop("current", "known_path")
 
 
+def followed(found: DataFrame, ledger: DataFrame, endings: Callable[[DataFrame, str], DataFrame], most: int) -> DataFrame:
+    """Add ``begin``, from where a file has to be read, and what its ledger row then keeps: ``kept``, ``rows_before``.
+
+    A text file is read from the end of what was read before if it has grown, if what it had then is unchanged (``endings`` of files give
+    what tells, by path), and if that was fewer than ``most`` times so already; else ``begin`` is 0 and ``kept`` null.
+    """
+    known = ledger.select("source", F.col("path").alias("_path"), F.col("size").alias("_size"), F.col("ending").alias("_ending"),
+                          data_ids().alias("kept"), F.col("rows_ingested").alias("rows_before"))
+    grown = found.filter(F.col("kind") == TEXT).join(known, "source").filter(
+        (F.col("path") == F.col("_path")) & (F.col("size") > F.col("_size")) & F.col("_ending").isNotNull() & (F.size("kept") <= most))
+    same = grown.join(endings(grown, "_size"), "path").filter(F.col("ending") == F.col("_ending")).select(
+        "source", "path", F.col("_size").alias("begin"), "kept", "rows_before")
+    return found.join(same, ["source", "path"], "left").withColumn("begin", F.coalesce("begin", F.lit(0)).cast("bigint"))
+
+
 def same_names(found: Sequence[Row]) -> dict[str, str]:
     """Why files can't be told from others: their name stands for another path in the ledger, or twice in the listing."""
     clashes, paths = {}, {}

@@ -14,7 +14,8 @@ from hitledger.plans.store import RollupStore, utc_now
 from hitledger.plans.traffic import Traffic, default_range
 from hitledger.sources import files as source_files
 
-_FILE = "source string, path string, mtime double, size bigint, kind string"
+_FILE = "source string, path string, mtime double, size bigint, kind string, begin bigint, kept array<string>, rows_before bigint"
+MOST_FOLLOWED = 100  # times a file is read from where it ended before it is read anew, which merges its rows
 
 
 @dataclass
@@ -22,6 +23,7 @@ class IngestSummary:
     ingest_id: str
     files_ingested: list[str] = field(default_factory=list)
     n_unchanged: int = 0
+    files_followed: list[str] = field(default_factory=list)  # those of the ingested that were read from where they had ended
     files_skipped: dict[str, str] = field(default_factory=dict)  # unreadable archives and why
     errors: dict[str, str] = field(default_factory=dict)  # other unreadable files and why
     member_errors: dict[str, str] = field(default_factory=dict)  # unusable members of archives that were ingested, and why
@@ -30,7 +32,11 @@ class IngestSummary:
 
 @dataclass
 class Settings:
-    """What an ingest may be told: the day of malformed lines, the clock (UTC; now if None) and locations."""
+    """What an ingest may be told: the day of malformed lines, the clock (UTC; now if None) and locations.
+
+    ``follow`` reads text files that only grew from where they ended. That they only grew is told by ``check_bytes`` at both ends of what
+    was read before (by all of it if None); files that do not show it, or ended within a line, are read anew and replaced as without it.
+    """
 
     as_of: str
     now: str | None = None
@@ -38,6 +44,8 @@ class Settings:
     retention_days: int = fixed.RETENTION_DAYS
     blocks: DataFrame | None = None
     keep_staging: bool = False
+    follow: bool = False
+    check_bytes: int | None = source_files.CHECK_BYTES
 
 
 def new_ingest_id() -> str:
@@ -58,6 +66,19 @@ def _stage(store: RollupStore, ingest_id: str, lines: DataFrame) -> DataFrame:
     return store.spark.read.schema(schemas.PARSED).parquet(path)
 
 
+def _lines(store: RollupStore, files: list[Row], settings: Settings) -> DataFrame:
+    """Lines of the files, of followed ones from where they had ended. To follow, text has to be read up to the listed size and no further."""
+    if not settings.follow:
+        return source_files.read_lines(store.spark, files)
+    text = [f for f in files if f.kind == lg.TEXT]
+    others = source_files.read_lines(store.spark, [f for f in files if f.kind != lg.TEXT])
+    if not text:
+        return others
+    ranges = store.spark.createDataFrame([(f.source, f.path, f.begin, f.size) for f in text], "source string, path string, begin bigint, size bigint")
+    lines = source_files.read_ranges(ranges)
+    return lines if len(text) == len(files) else lines.unionByName(others)
+
+
 def _write_rollups(store: RollupStore, ingest_id: str, parsed: DataFrame, settings: Settings) -> None:
     path = store.staging_path(ingest_id, "pairs")
     rollups.ip_path_pairs(parse.requests(parsed)).write.mode("overwrite").parquet(path)
@@ -76,19 +97,26 @@ def _unusable(parsed: DataFrame) -> DataFrame:
 
 
 def _entries(store: RollupStore, ingest_id: str, files: list[Row], parsed: DataFrame, now: str,
-             duration_s: float, broken_members: DataFrame) -> DataFrame:
+             duration_s: float, broken_members: DataFrame, settings: Settings) -> DataFrame:
     """Ledger rows of the ingested files: one per file, per archive and per archive member, and tombstones of members
     that a changed archive no longer has. Members that could not be read keep what they have."""
-    listed = store.spark.createDataFrame([(f.source, f.path, f.mtime, f.size, f.kind) for f in files], _FILE)
+    listed = store.spark.createDataFrame([tuple(f[c.split()[0]] for c in _FILE.split(", ")) for f in files], _FILE)
+    if settings.follow:
+        endings = source_files.endings(listed.filter(F.col("kind") == lg.TEXT), "size", settings.check_bytes)
+        listed = listed.join(endings, "path", "left")
+    else:
+        listed = listed.withColumn("ending", F.lit(None).cast("string"))
     counted = parsed.groupBy("source", "file").agg(F.count_if(F.col("outcome") == parse.REQUEST).alias("rows_ingested"))
-    archives = listed.filter(F.col("kind") == lg.ARCHIVE).drop("kind")
+    archives = listed.filter(F.col("kind") == lg.ARCHIVE).select("source", "path", "mtime", "size")
     whole = listed.join(counted.drop("file"), "source", "left").select(
-        "source", "path", "mtime", "size", F.coalesce("rows_ingested", F.lit(0)).alias("rows_ingested"),
+        "source", "path", "mtime", "size",
+        (F.coalesce("rows_ingested", F.lit(0)) + F.coalesce("rows_before", F.lit(0))).alias("rows_ingested"),
         F.lit(None).cast("string").alias("container"), F.when(F.col("kind") != lg.ARCHIVE, ingest_id).alias("data_id"),
-        F.lit(False).alias("deleted"))
+        "kept", "ending", F.lit(False).alias("deleted"))
+    nothing = (F.lit(None).cast("array<string>").alias("kept"), F.lit(None).cast("string").alias("ending"))
     members = counted.join(archives.withColumnRenamed("source", "file"), "file").select(
         "source", "path", "mtime", "size", "rows_ingested", F.col("file").alias("container"),
-        F.lit(ingest_id).alias("data_id"), F.lit(False).alias("deleted"))
+        F.lit(ingest_id).alias("data_id"), *nothing, F.lit(False).alias("deleted"))
     gone = (store.ledger().join(archives.select(F.col("source").alias("container")), "container", "left_semi")
             .join(members, "source", "left_anti").join(broken_members, "source", "left_anti")
             .withColumn("deleted", F.lit(True)).select(*members.columns))
@@ -112,11 +140,17 @@ def ingest_listing(store: RollupStore, listing: DataFrame, settings: Settings,
         return summary
     status = lg.with_status(lg.classify(listing), store.ledger(), now, settings.cooldown_seconds)
     summary.n_unchanged = status.filter("current").count()
-    found = status.filter("NOT current").orderBy("source", "path").collect()
+    changed = status.filter("NOT current")
+    if settings.follow:
+        changed = lg.followed(changed, store.ledger(), lambda files, size: source_files.endings(files, size, settings.check_bytes), MOST_FOLLOWED)
+    else:
+        changed = changed.select("*", F.lit(0).cast("bigint").alias("begin"), F.lit(None).cast("array<string>").alias("kept"),
+                                 F.lit(None).cast("bigint").alias("rows_before"))
+    found = changed.orderBy("source", "path").collect()
     summary.errors = lg.same_names(found)
     todo = [f for f in found if f.source not in summary.errors]
     if todo:
-        parsed = _stage(store, ingest_id, source_files.read_lines(store.spark, todo))
+        parsed = _stage(store, ingest_id, _lines(store, todo, settings))
         unusable = _unusable(parsed).collect()
         broken = {r.file: r.error for r in unusable if r.source == r.file}
         members = {r.source: r.error for r in unusable if r.source != r.file and r.file not in broken}
@@ -129,9 +163,10 @@ def ingest_listing(store: RollupStore, listing: DataFrame, settings: Settings,
         good = [f for f in todo if f.source not in broken]
         if good:
             _write_rollups(store, ingest_id, parsed, settings)
-            entries = _entries(store, ingest_id, good, parsed, now, round(time.time() - started, 2), no_members)
+            entries = _entries(store, ingest_id, good, parsed, now, round(time.time() - started, 2), no_members, settings)
             store.append_entries(ingest_id, entries, settings.now)
         summary.files_ingested = [f.source for f in good]
+        summary.files_followed = [f.source for f in good if f.kept]
         archives = {f.source for f in todo if f.kind == lg.ARCHIVE}
         summary.files_skipped = {f: why for f, why in broken.items() if f in archives}
         summary.errors |= {f: why for f, why in broken.items() if f not in archives}

@@ -2,7 +2,8 @@
 
 Rollups lie by day and, inside a day, by bucket (a hash of the source). An ingest appends its rows, which carry its id, and writes
 its ledger rows last. A source's newest ledger row names the ingest whose rows are valid, so readers see either the old or the
-new version of a source in all tables, and a failed ingest stays invisible. After the commit the (day, bucket) folders that hold
+new version of a source in all tables, and a failed ingest stays invisible. The row of a file that was followed from where it ended names
+the ingests of its earlier lines too (``kept``). After the commit the (day, bucket) folders that hold
 replaced rows are rewritten without them by dynamic partition overwrite; until that is done a marker tells readers to join the
 ledger. Without markers every table is a plain scan. One ingest at a time may write to a store.
 
@@ -87,8 +88,8 @@ class RollupStore:
         if built := self.built_months():
             self._drop_months(self._months_changed(ingest_id, entries, built))
         stamped = entries.withColumn("committed_at", F.lit(now or utc_now()).cast("timestamp_ntz"))
-        columns = [c.split()[0] for c in schemas.LEDGER.split(", ") if not c.startswith("ingest_id ")]
-        stamped.select(*columns).write.mode("overwrite").parquet(f"{self._ledger_path}/commits/ingest_id={ingest_id}")
+        columns = [c.split() for c in schemas.LEDGER.split(", ") if not c.startswith("ingest_id ")]
+        stamped.select(*(F.col(c) if c in stamped.columns else F.lit(None).cast(kind).alias(c) for c, kind in columns)).write.mode("overwrite").parquet(f"{self._ledger_path}/commits/ingest_id={ingest_id}")
         self.settle(ingest_id)
 
     def _fold_ledger(self) -> None:
@@ -110,7 +111,7 @@ class RollupStore:
         """Record a source as seen; rollup rows it already has stay valid."""
         seen = self.spark.createDataFrame([(source, path, float(mtime), size)],
                                           "source string, path string, mtime double, size bigint")
-        known = self.ledger().select("source", "data_id")
+        known = self.ledger().select("source", "data_id", "kept")
         entry = seen.join(known, "source", "left").select(
             "*", F.lit(now or utc_now()).cast("timestamp_ntz").alias("ingested_at"), F.lit(0).cast("bigint").alias("rows_ingested"),
             F.lit(0.0).alias("duration_s"), F.lit(None).cast("string").alias("container"), F.lit(False).alias("deleted"))
@@ -181,7 +182,7 @@ class RollupStore:
 
     def _valid(self) -> DataFrame:
         """(source, ingest_id) of the rows that count."""
-        return self.ledger().filter("data_id IS NOT NULL").select("source", F.col("data_id").alias("ingest_id"))
+        return self.ledger().filter("data_id IS NOT NULL").select("source", F.explode(lg.data_ids()).alias("ingest_id"))
 
     def tables(self) -> Rollups:
         """The valid rows of every rollup: plain scans, joined with the ledger only while an ingest is unsettled."""
@@ -189,7 +190,7 @@ class RollupStore:
 
         def plan(table: str) -> DataFrame:
             rows = self._rows(table)
-            return (rows.join(self._valid(), ["source", "ingest_id"], "left_semi") if unsettled else rows).drop("ingest_id", "bucket")
+            return (rows.join(self._valid(), ["source", "ingest_id"], "left_semi") if unsettled else rows).drop("bucket")
 
         return Rollups({table: (lambda t=table: plan(t)) for table in rollups.TABLES})
 
@@ -208,8 +209,8 @@ class RollupStore:
         Every source with rows in any table has rows of the same days in ``daily_totals``, the smallest; only that is read.
         """
         totals = self._rows("daily_totals").select("source", "ingest_id", labels.month_label(F.col("day")).alias("month")).filter(F.col("month").isin(built))
-        touched = totals.join(entries.select("source", "data_id", "deleted"), "source").filter(
-            (F.col("ingest_id") == ingest_id) | F.col("deleted") | ~F.col("ingest_id").eqNullSafe(F.col("data_id")))
+        touched = totals.join(entries.select("source", lg.data_ids(entries).alias("ids"), "deleted"), "source").filter(
+            (F.col("ingest_id") == ingest_id) | F.col("deleted") | ~F.coalesce(F.array_contains("ids", F.col("ingest_id")), F.lit(False)))
         return [r.month for r in touched.select("month").distinct().collect()]
 
     def _drop_months(self, months: Iterable[str]) -> None:
@@ -282,7 +283,7 @@ class RollupStore:
             own = F.col("ingest_id") == ingest_id
             entries = self.entries()
             before = entries.filter(~own & F.col("data_id").isNotNull()).select("source").distinct()
-            replaced = entries.filter(own).select("source").join(before, "source", "left_semi")
+            replaced = entries.filter(own & (F.col("kept").isNull() | F.col("deleted"))).select("source").join(before, "source", "left_semi")
             buckets = sorted(r[0] for r in replaced.select(F.pmod(F.xxhash64("source"), F.lit(self.buckets)).cast("int")).distinct().collect())
             if buckets and markers:
                 self._rewrite(buckets)

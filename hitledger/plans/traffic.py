@@ -65,6 +65,11 @@ def _in_days(from_day: str, to_day: str) -> Column:
     return F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
 
 
+def _lists(rows: DataFrame) -> list[str]:
+    """Columns inside whose values a rollup holds each key once: a followed file has rows of several ingests."""
+    return [c for c in ("day", "source", "ingest_id") if c in rows.columns]
+
+
 def _total(column: str = "count") -> Column:
     return F.sum(column).alias("n")
 
@@ -232,7 +237,7 @@ class Traffic:
         """The busiest keys of a keyed rollup (``KEYED_TABLES``), as ``top_paths`` and the like give them without locations."""
         key = KEYED_TABLES[table]
         lists = self.tables[table].filter((F.col("category") == check_category(category)) & _in_days(from_day, to_day))
-        return top_of_lists(lists, [], ["day", "source"], key, "count", limit).orderBy(F.col("n").desc(), key)
+        return top_of_lists(lists, [], _lists(lists), key, "count", limit).orderBy(F.col("n").desc(), key)
 
     def drill_map_by_threshold(self, outer: str, from_day: str, to_day: str, outer_n: int = fixed.DRILL_MAP_KEYS,
                                inner_n: int = fixed.DRILL_PATHS_PER_IP) -> DataFrame:
@@ -240,7 +245,7 @@ class Traffic:
         busy, pairs, inner = {"ip": ("daily_ips", "daily_ip_paths", "path"), "path": ("daily_paths", "daily_path_ips", "ip")}[outer]
         busiest = self.top_by_threshold(busy, "all", from_day, to_day, outer_n).select(outer)
         lists = self.tables[pairs].filter(_in_days(from_day, to_day)).join(busiest, outer, "left_semi")
-        return top_of_lists(lists, [outer], ["day", "source"], inner, "count", inner_n)
+        return top_of_lists(lists, [outer], _lists(lists), inner, "count", inner_n)
 
     # years
 

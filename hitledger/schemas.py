@@ -6,8 +6,8 @@ from hitledger.operators.geo import GEO
 from hitledger.operators.rollups import CLIENTS, KEYED_TABLES, MONTH_TABLES, PAIR_TABLES
 
 LEDGER = ("source string, path string, mtime double, size bigint, ingested_at timestamp_ntz, rows_ingested bigint, "
-          "duration_s double, container string, data_id string, deleted boolean, committed_at timestamp_ntz, "
-          "ingest_id string")
+          "duration_s double, container string, data_id string, kept array<string>, ending string, deleted boolean, "
+          "committed_at timestamp_ntz, ingest_id string")
 
 _PARTITION = "ingest_id string, day date, bucket int"
 _GEO = ", ".join(f"{c} string" for c in GEO)
