@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from hitledger import session
@@ -10,8 +12,9 @@ from hitledger import session
 KINDS = {"access_0.log": "text", "access_1.log": "gzip", "access_2.log": "archive", "access_3.log": "archive"}
 
 
-def write_log_files(lines: DataFrame, directory: str, all_text: bool = False, key: str = "event_id", prefix: str = "") -> int:
-    """Write ``(source, line)`` rows into ``directory``; returns the number of lines. ``prefix`` begins all names."""
+def write_log_files(lines: DataFrame, directory: str, all_text: bool = False, key: str = "event_id", prefix: str = "",
+                    order: Sequence[str] = ()) -> int:
+    """Write ``(source, line)`` rows into ``directory``; returns the number of lines. ``prefix`` begins all names; lines are in ``order``."""
     spark = lines.sparkSession
     target = session.qualified(spark, directory)
     kinds = {name: "text" for name in KINDS} if all_text else KINDS
@@ -62,5 +65,6 @@ def write_log_files(lines: DataFrame, directory: str, all_text: bool = False, ke
             stream.close()
         yield pd.DataFrame({"n": [count]})
 
-    spread = lines.select("source", "line", key).repartition(spark.sparkContext.defaultParallelism, key)
+    spread = lines.repartition(spark.sparkContext.defaultParallelism, key)
+    spread = spread.sortWithinPartitions(*order) if order else spread
     return spread.select("source", "line").mapInPandas(write, "n bigint").agg(F.sum("n")).first()[0]

@@ -424,3 +424,8 @@ ORACLE["stored_months"] = _with("daily_totals", "daily_status", "daily_paths", "
 
 ORACLE["threshold_top_paths"] = ORACLE["top_paths"]
 ORACLE["threshold_drill_map"] = ORACLE["drill_ip_map"]
+
+ORACLE["followed_logs"] = _with("daily_totals") + """
+    SELECT source, CAST(sum(total_requests) AS BIGINT) AS total_requests, CAST(sum(errors) AS BIGINT) AS errors,
+           CASE WHEN source = 'access_3.log' THEN 0 ELSE 1 END AS times_followed
+    FROM daily_totals WHERE category = 'all' GROUP BY source"""

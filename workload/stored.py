@@ -142,6 +142,20 @@ def changed_file_reingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.unionByName(_daily(store).select(F.lit("after").alias("state"), "*"))
 
 
+def followed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files that grow are read from where they ended; those of one source begin with other lines then and are read anew."""
+    store, directory = RollupStore(spark, session.shared_dir(spark, "store"), buckets=1), session.shared_dir(spark, "logs")
+    lines = raw_log(spark, sf_dir).withColumn("part", (F.col("event_id") % 3 == 0).cast("int"))
+    turned = F.when(F.col("source") == "access_3.log", 1 - F.col("part")).otherwise(F.col("part"))
+    for shown, now in ((lines.filter("part = 0"), FIRST), (lines.withColumn("part", turned), LATER)):
+        write_log_files(shown, directory, all_text=True, order=("part", "event_id"))
+        ingest.ingest_directory(store, directory, settings(now, follow=True))
+    number = F.concat(F.regexp_extract("source", r"^(access_\d+)", 1), F.lit(".log"))
+    times = store.ledger().groupBy(number.alias("source")).agg(F.max(F.coalesce(F.size("kept"), F.lit(0))).alias("times_followed"))
+    return _by_source(store).groupBy(number.alias("source")).agg(
+        F.sum("total_requests").alias("total_requests"), F.sum("errors").alias("errors")).join(times, "source")
+
+
 def traffic_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.Traffic(loaded_store(spark, sf_dir).tables()).stats_rows("all", FROM_DAY, TO_DAY)
 
@@ -224,6 +238,6 @@ def stream_window_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STORED = {f.__name__: f for f in (
-    scan_plain_gz_tar, classify_files, replace_by_source, marked_source, delete_source, compacted_store, stored_months, changed_file_reingest,
+    scan_plain_gz_tar, classify_files, replace_by_source, marked_source, delete_source, compacted_store, stored_months, changed_file_reingest, followed_logs,
     traffic_stats, ingest_and_report, stored_top_paths, stored_subnets, stream_daily_totals, stream_replay_idempotent,
     stream_late_data, stream_hourly_totals, stream_window_parts)}
