@@ -187,6 +187,14 @@ def ingest_directory(store: RollupStore, directory: str, settings: Settings,
     return ingest_listing(store, listing.unionByName(empty), settings, ingest_id)
 
 
+def stage_rollups(store: RollupStore, lines: DataFrame, settings: Settings, ingest_id: str) -> DataFrame:
+    """Parse ``(source, line)`` rows once and append their rollups, invisible until ledger rows are committed; returns the parsed lines."""
+    parsed = _stage(store, ingest_id, lines.select(
+        "source", F.col("source").alias("file"), "line", F.lit(None).cast("string").alias("error")))
+    _write_rollups(store, ingest_id, parsed, settings)
+    return parsed
+
+
 def ingest_lines(store: RollupStore, lines: DataFrame, settings: Settings, ingest_id: str | None = None) -> str:
     """Ingest ``(source, line)`` rows from anywhere; every source in them replaces its earlier version."""
     started = time.time()
@@ -194,9 +202,7 @@ def ingest_lines(store: RollupStore, lines: DataFrame, settings: Settings, inges
     if store.has_ingest(ingest_id):
         return ingest_id
     now = settings.now or utc_now()
-    parsed = _stage(store, ingest_id, lines.select(
-        "source", F.col("source").alias("file"), "line", F.lit(None).cast("string").alias("error")))
-    _write_rollups(store, ingest_id, parsed, settings)
+    parsed = stage_rollups(store, lines, settings, ingest_id)
     entries = parsed.groupBy("source").agg(
         F.count_if(F.col("outcome") == parse.REQUEST).alias("rows_ingested"), F.sum("line_chars").alias("size")).select(
         "*", F.col("source").alias("path"), F.unix_seconds(F.lit(now).cast("timestamp")).cast("double").alias("mtime"),

@@ -3,8 +3,8 @@
 Rollups lie by day and, inside a day, by bucket (a hash of the source). An ingest appends its rows, which carry its id, and writes
 its ledger rows last. A source's newest ledger row names the ingest whose rows are valid, so readers see either the old or the
 new version of a source in all tables, and a failed ingest stays invisible. The row of a file that was followed from where it ended names
-the ingests of its earlier lines too (``kept``). After the commit the (day, bucket) folders that hold
-replaced rows are rewritten without them by dynamic partition overwrite; until that is done a marker tells readers to join the
+the ingests of its earlier lines too (``kept``). After the commit the files that hold replaced rows alone are removed, and the (day, bucket)
+folders with files of both kinds rewritten without them by dynamic partition overwrite; until that is done a marker tells readers to join the
 ledger. Without markers every table is a plain scan. One ingest at a time may write to a store.
 
 Whole months may be kept a second time, merged from their days (``build_months``). A commit that changes rows of a month first takes
@@ -20,14 +20,14 @@ from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, Window, functions as F
 
 from hitledger import fixed_values as fixed, schemas, session
 from hitledger.functions import labels
 from hitledger.operators import ledger as lg, rollups
 from hitledger.operators.rollups import KEYED_TABLES, PAIR_TABLES, Months, Rollups
 
-WRITERS = 4  # tables written at a time, so that one table's last tasks do not idle the cluster
+WRITERS = 12  # tables written at a time: all of them, so that small tables, a few tasks of many files, do not idle the cluster
 BUCKETS = 8
 LEDGER_FOLDERS = 64  # commits beyond this many are folded into one
 LOOKUPS = ("ip", "path")  # columns with bloom filters
@@ -250,7 +250,10 @@ class RollupStore:
     # upkeep
 
     def _rewrite(self, buckets: list[int] | None) -> None:
-        """Rewrite the (day, bucket) folders, of some buckets or all, that hold rows which do not count, without those."""
+        """Take the rows that do not count out of the (day, bucket) folders of some buckets or all.
+
+        Files and folders that hold no others are removed, as every ingest writes files of its own; only folders with a file of both kinds are rewritten.
+        """
         valid = self._valid()
 
         def rewrite(table: str) -> None:
@@ -258,18 +261,21 @@ class RollupStore:
                 return
             rows = self._rows(table) if buckets is None else self._rows(table).filter(F.col("bucket").isin(buckets))
             marked = valid.withColumn("counts", F.lit(True))
-            folders = rows.select("day", "bucket", "source", "ingest_id").join(marked, ["source", "ingest_id"], "left").groupBy("day", "bucket").agg(
-                F.bool_or(F.col("counts").isNull()).alias("stale"), F.bool_or(F.col("counts").isNotNull()).alias("live")).filter("stale")
-            # One row for each folder to be rewritten or dropped: at most the days of a retention times the buckets.
-            found = folders.collect()
-            mixed = [(f.day, f.bucket) for f in found if f.live]
-            if mixed:
+            held = rows.select("day", "bucket", F.col("_metadata.file_name").alias("file"), "source", "ingest_id").distinct()
+            files = held.join(marked, ["source", "ingest_id"], "left").groupBy("day", "bucket", "file").agg(
+                F.bool_or(F.col("counts").isNull()).alias("stale"), F.bool_or(F.col("counts").isNotNull()).alias("live"))
+            folder = {c: F.bool_or(e).over(Window.partitionBy("day", "bucket")) for c, e in (("mixed", F.expr("stale AND live")), ("kept", F.col("live")))}
+            found = files.withColumns(folder).filter("stale").select("day", "bucket", "mixed", "kept", F.when(~F.col("mixed") & F.col("kept"), F.col("file")).alias("file"))
+            # One row for each folder to be rewritten or dropped, at most the days of a retention times the buckets, and for each file to be dropped alone.
+            found = found.distinct().collect()
+            if mixed := [(f.day, f.bucket) for f in found if f.mixed]:
                 places = self.spark.createDataFrame(mixed, "day date, bucket int")
-                kept = rows.join(places, ["day", "bucket"], "left_semi").join(valid, ["source", "ingest_id"], "left_semi").select(*rows.columns)
+                pruned = rows.filter(F.col("day").isin(sorted({day for day, _ in mixed})) & F.col("bucket").isin(sorted({b for _, b in mixed})))
+                kept = pruned.join(places, ["day", "bucket"], "left_semi").join(valid, ["source", "ingest_id"], "left_semi").select(*rows.columns)
                 self._writer(table, kept).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self._table_path(table))
             for f in found:
-                if not f.live:
-                    session.remove(self.spark, f"{self._table_path(table)}/day={f.day}/bucket={f.bucket}")
+                if not f.mixed:
+                    session.remove(self.spark, f"{self._table_path(table)}/day={f.day}/bucket={f.bucket}" + (f"/{f.file}" if f.file else ""))
 
         self._each_table(rewrite)
 

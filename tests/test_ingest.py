@@ -165,6 +165,35 @@ def test_only_buckets_of_replaced_sources_are_rewritten(spark, store):
     assert total(store) == 23 and total(store, source="s3") == 1
 
 
+def test_files_of_replaced_rows_alone_are_removed_not_rewritten(spark, store, monkeypatch):
+    """Only folders with a file of both kinds of rows are written again: here that of the two sources that came with one ingest."""
+    written, settling = [], []
+    write, rewrite = store._writer, store._rewrite
+    monkeypatch.setattr(store, "_writer", lambda table, *a: (settling and written.append(table), write(table, *a))[1])
+    monkeypatch.setattr(store, "_rewrite", lambda buckets: (settling.append(1), rewrite(buckets), settling.clear())[1])
+    ingest_lines(store, frame(spark, [line()] * 2, "a"), at(0), "one")
+    ingest_lines(store, frame(spark, [line()] * 5, "a"), at(1), "two")
+    assert written == [] and total(store) == 5
+    assert {r[0] for r in rows_on_disk(spark, store).select("ingest_id").distinct().collect()} == {"two"}
+    same = next(f"b{i}" for i in range(99) if spark.sql(f"SELECT pmod(xxhash64('b{i}'), 8) = pmod(xxhash64('a'), 8)").first()[0])
+    ingest_lines(store, frame(spark, [line()], "a").unionByName(frame(spark, [line()] * 3, same)), at(2), "three")
+    assert written == [] and total(store) == 4
+    ingest_lines(store, frame(spark, [line()] * 7, "a"), at(3), "four")
+    assert "daily_totals" in written and (total(store, source="a"), total(store, source=same)) == (7, 3)
+    assert {tuple(r) for r in rows_on_disk(spark, store).select("source", "ingest_id").collect()} == {("a", "four"), (same, "three")}
+
+
+def test_staged_rollups_are_parsed_once_and_invisible(spark, store, monkeypatch):
+    parsed, parse_lines = [], ingest.parse.parse_lines
+    monkeypatch.setattr(ingest.parse, "parse_lines", lambda lines: (parsed.append(1), parse_lines(lines))[1])
+    ingest_lines(store, frame(spark, [line()] * 2, "a"), at(0), "one")
+    ingest.stage_rollups(store, frame(spark, [line()] * 9, "a"), at(1), "lost")
+    assert len(parsed) == 2 and total(store) == 2
+    assert {r[0] for r in rows_on_disk(spark, store).select("ingest_id").distinct().collect()} == {"one", "lost"}
+    ingest_lines(store, frame(spark, [line()] * 3, "a"), at(2), "two")
+    assert total(store) == 3 and not session.children(spark, f"{store.root}/unsettled")
+
+
 def files_of(store):
     root = store.root.removeprefix("file:")
     return {os.path.join(d, n): os.stat(os.path.join(d, n)).st_mtime_ns for d, _, names in os.walk(f"{root}/rollups") for n in names if n.endswith(".parquet")}

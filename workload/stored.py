@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hitledger import fixed_values as fixed, session
-from hitledger.operators import geo, ledger, parse, rollups
+from hitledger.operators import geo, ledger
 from hitledger.plans import ingest, traffic
 from hitledger.plans.ingest import Settings
 from hitledger.plans.store import RollupStore
@@ -103,8 +103,7 @@ def compacted_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replace, delete and retain as usual, with an ingest that never ended in between: only valid rows are left, in plain scans."""
     store = new_store(spark)
     ingest.ingest_lines(store, raw_log(spark, sf_dir), settings(FIRST), "first")
-    lost = rollups.build(parse.parse_lines(raw_log(spark, sf_dir)), AS_OF, locate=lambda ips: geo.locate_clients(ips, None))
-    store.write_tables("lost", lost)
+    ingest.stage_rollups(store, raw_log(spark, sf_dir), settings(FIRST), "lost")
     ingest.ingest_lines(store, raw_log(spark, sf_dir), settings(LATER, retention_days=15), "second")
     store.delete_sources(["access_3.log"], "third", LATER)
     return store.tables()["hourly_totals"].groupBy("hour", "category").agg(F.sum("count").alias("count"))
