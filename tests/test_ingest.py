@@ -183,6 +183,16 @@ def test_files_of_replaced_rows_alone_are_removed_not_rewritten(spark, store, mo
     assert {tuple(r) for r in rows_on_disk(spark, store).select("source", "ingest_id").collect()} == {("a", "four"), (same, "three")}
 
 
+def test_a_changed_file_replaces_its_rows_without_writing_others_again(spark, store, tmp_path, monkeypatch):
+    written, write_rows = [], store._writer
+    monkeypatch.setattr(store, "_writer", lambda table, *a: (written.append(table), write_rows(table, *a))[1])
+    write(tmp_path / "a.log", [line()] * 2)
+    ingest_directory(store, str(tmp_path), at(0))
+    write(tmp_path / "a.log", [line()] * 4)
+    ingest_directory(store, str(tmp_path), at(30))
+    assert total(store) == 4 and sorted(written) == sorted([*store.tables()] * 2)  # once by each ingest
+
+
 def test_staged_rollups_are_parsed_once_and_invisible(spark, store, monkeypatch):
     parsed, parse_lines = [], ingest.parse.parse_lines
     monkeypatch.setattr(ingest.parse, "parse_lines", lambda lines: (parsed.append(1), parse_lines(lines))[1])
