@@ -135,3 +135,15 @@ def test_a_build_that_did_not_end_is_not_read(spark, store, monkeypatch):
 def test_an_empty_store_has_no_months(store):
     assert store.build_months(AS_OF) == []
     assert Traffic(store.tables(), store.months()).totals("all", "2025-01-01", AS_OF).first().total_requests == 0
+
+
+def test_months_are_built_again_from_replaced_sources_without_rewriting_days(spark, store, monkeypatch):
+    load(spark, store, "one", 0, {"a": sample()})
+    store.build_months(AS_OF)
+    written, write = [], store._writer
+    monkeypatch.setattr(store, "_writer", lambda table, *a: (written.append(table), write(table, *a))[1])
+    load(spark, store, "two", 30, {"a": sample()[:30]})
+    assert sorted(written) == sorted(store.tables())  # by the ingest; its settling wrote nothing
+    assert store.build_months(AS_OF) == ["2025-01", "2025-02"]
+    counted = store.months()["daily_totals"].filter("category = 'all'").agg(F.sum("total_requests")).first()[0]
+    assert counted == sum(x["at"] < "2025-03" for x in sample()[:30])
