@@ -136,10 +136,11 @@ def top_pairs(pairs: DataFrame, outer: str, inner: str, outer_n: int, inner_n: i
 
 
 class Rollups(Mapping[str, DataFrame]):
-    """Tables by name, each planned only when it is asked for."""
+    """Tables by name, each planned only when it is asked for; ``lists`` has the same rows with their ``ingest_id``, where they have one."""
 
-    def __init__(self, plans: Mapping[str, Callable[[], DataFrame]]):
+    def __init__(self, plans: Mapping[str, Callable[[], DataFrame]], lists: Mapping[str, Callable[[], DataFrame]] | None = None):
         self._plans = dict(plans)
+        self.lists = self if lists is None else Rollups(lists)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self._plans[name]()

@@ -192,7 +192,8 @@ class RollupStore:
             rows = self._rows(table)
             return (rows.join(self._valid(), ["source", "ingest_id"], "left_semi") if unsettled else rows).drop("bucket")
 
-        return Rollups({table: (lambda t=table: plan(t)) for table in rollups.TABLES})
+        lists = {table: (lambda t=table: plan(t)) for table in rollups.TABLES}
+        return Rollups({table: (lambda p=p: p().drop("ingest_id")) for table, p in lists.items()}, lists)
 
     # months
 

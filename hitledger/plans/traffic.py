@@ -82,6 +82,7 @@ class Traffic:
 
     def __init__(self, tables: Mapping[str, DataFrame], months: Months | None = None):
         self.tables, self.months = tables, months
+        self._lists = getattr(tables, "lists", tables)
 
     def _range(self, table: str, from_day: str, to_day: str) -> DataFrame:
         """Rows of a range of days, from months where they can be; ``day`` and ``source`` tell nothing then."""
@@ -236,7 +237,7 @@ class Traffic:
     def top_by_threshold(self, table: str, category: str, from_day: str, to_day: str, limit: int) -> DataFrame:
         """The busiest keys of a keyed rollup (``KEYED_TABLES``), as ``top_paths`` and the like give them without locations."""
         key = KEYED_TABLES[table]
-        lists = self.tables[table].filter((F.col("category") == check_category(category)) & _in_days(from_day, to_day))
+        lists = self._lists[table].filter((F.col("category") == check_category(category)) & _in_days(from_day, to_day))
         return top_of_lists(lists, [], _lists(lists), key, "count", limit).orderBy(F.col("n").desc(), key)
 
     def drill_map_by_threshold(self, outer: str, from_day: str, to_day: str, outer_n: int = fixed.DRILL_MAP_KEYS,
@@ -244,7 +245,7 @@ class Traffic:
         """``drill_ip_map`` (``outer`` is "ip") or ``drill_path_map`` ("path")."""
         busy, pairs, inner = {"ip": ("daily_ips", "daily_ip_paths", "path"), "path": ("daily_paths", "daily_path_ips", "ip")}[outer]
         busiest = self.top_by_threshold(busy, "all", from_day, to_day, outer_n).select(outer)
-        lists = self.tables[pairs].filter(_in_days(from_day, to_day)).join(busiest, outer, "left_semi")
+        lists = self._lists[pairs].filter(_in_days(from_day, to_day)).join(busiest, outer, "left_semi")
         return top_of_lists(lists, [outer], _lists(lists), inner, "count", inner_n)
 
     # years
