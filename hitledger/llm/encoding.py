@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 IDS = np.dtype("<u4")
-REMEMBERED, LONGEST = 240_000, 48  # pieces kept by generation (two of them), and their length at most: some 110 MB a worker
+REMEMBERED, LONGEST = 480_000, 48  # pieces kept by generation (two of them), and their length at most: some 220 MB a worker
 WHOLE, FIRST = " w", " f"  # marks of pieces that are a whole text, or the first of one; no other piece has a space in it
 
 # White space that does not fall into single characters: runs of three, or of two at the end.
@@ -80,11 +80,13 @@ class Encoder:
             ids = older.get(piece)
             if ids is None:
                 text = piece if attached or piece[:1] == " " else piece.decode("utf-8", "replace")
-                plain = _PLAIN.fullmatch(text)
-                if not plain:
+                if text.isascii() and text.isalpha():  # as the pattern below, which takes longer
+                    word, tail = text, ""
+                elif plain := _PLAIN.fullmatch(text):
+                    word, tail = plain.groups()
+                else:
                     rest.append((piece, text))
                     continue
-                word, tail = plain.groups()
                 if not tail:
                     ids = self._word(text if attached else text.lower())
                 else:

@@ -43,6 +43,18 @@ def test_pieces_are_forgotten_in_generations(monkeypatch):
         assert len(encoder.known) < 40
 
 
+def test_half_a_million_pieces_are_learned_once():
+    encoder = encoding.Encoder(encoding.read_vocabulary(WORD), "dropped")
+    asked, letters = [], "abcdefghijklmnopqrstuvwxyz"
+    encoder._word = lambda word: asked.append(word) or b"\0\0\0\0"
+    every = [(a + b + c + d).encode() for a in letters for b in letters for c in letters for d in letters]
+    every += [x + b"q" for x in every[:500_000 - len(every)]]
+    runs = [b" ".join(every[at:at + 50_000]) for at in range(0, len(every), 50_000)]
+    for text in [*runs, *runs]:
+        encoder.encode([text])
+    assert len(asked) == len(set(every))
+
+
 def test_slices_hold_whole_texts():
     texts = pa.array([b"abc", None, b"", b"x" * 50, b"d"], pa.binary())
     got = list(encoding.slices([pa.array(range(5))], texts, 10))
